@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import Shop
 from .operators import reports as R
+from .operators import views as V
 from .sources.driver import load_shop
 
 _SHOPS: dict = {}
@@ -59,6 +60,12 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
         "p_top_selling_products": R.p_top_selling_products,
         "p_revenue_by_date": R.p_revenue_by_date,
     }
+    for name in ("v_product_summary", "v_product_variant_detail", "v_order_summary",
+                 "v_order_item_detail", "v_product_stock_status", "v_customer_product_list",
+                 "v_customer_product_detail", "v_customer_sale_products",
+                 "v_customer_cart_detail", "v_customer_order_tracking",
+                 "v_customer_product_reviews"):
+        ops[name] = getattr(V, name)
     return ops
 
 
@@ -69,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     from .oracle_reports import oracle as reports_oracle
     sql: dict[str, str] = {}
+    from .oracle_views import oracle as views_oracle
     sql.update(reports_oracle())
+    sql.update(views_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}
