@@ -82,6 +82,7 @@ class Shop:
     shipping: DataFrame
     reviews: DataFrame
     as_of: dt.datetime = dt.datetime(1998, 6, 15)
+    source: str | None = None
     _dims: dict = field(default_factory=dict, repr=False)
 
     def dim(self, name: str) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import Shop
 from .operators import reports as R
+from .operators import documents as D
+from .operators import lists as L
 from .operators import views as V
 from .sources.driver import load_shop
 
@@ -66,9 +68,64 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
                  "v_customer_cart_detail", "v_customer_order_tracking",
                  "v_customer_product_reviews"):
         ops[name] = getattr(V, name)
+    ops.update(_document_ops())
     return ops
 
 
+# Category-group patterns of the driver run (FIXTURES F2).
+DRIVER_GROUPS = [("bolt", ["bolt"]), ("ring", ["ring"]), ("plate", ["plate"])]
+
+
+def _driver_events(shop: Shop):
+    from pyspark.sql import functions as F
+    from .sources.driver import read_driver
+    part = read_driver(shop.spark, shop.source, "part")
+    n_parts = part.select(F.count(F.lit(1))).scalar()
+    return L.click_cart_events(read_driver(shop.spark, shop.source, "events"), n_parts)
+
+
+def _document_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from pyspark.sql import functions as F
+    from .functions import labels
+    g = DRIVER_GROUPS
+    return {
+        "api_product_search": lambda s: D.api_product_search(s, "ring"),
+        "api_product_document": D.api_product_document,
+        "admin_product_list": D.admin_product_list,
+        "admin_order_list": D.admin_order_list,
+        "api_order_list": D.api_order_list,
+        "admin_user_search": lambda s: D.admin_user_search(s, "c10"),
+        "admin_user_filter": lambda s: L.admin_user_filter(D.admin_user_search(s, None), "admin"),
+        "shop_filter": lambda s: L.shop_filter(D.api_product_search(s, ""), min_price=900,
+                                               max_price=990, sort="asc", groups=g),
+        "sort_price": lambda s: L.sort_price(D.api_product_search(s, ""), "asc"),
+        "facet_brands": lambda s: L.facet_brands(D.api_product_search(s, "")),
+        "home_popular": lambda s: L.home_popular(D.api_product_search(s, "")),
+        "admin_product_filter": lambda s: L.admin_product_filter(D.admin_product_list(s), "ring",
+                                                                 "ring", groups=g),
+        "admin_order_filter": lambda s: L.admin_order_filter(
+            D.admin_order_list(s), "bank", "paymentMethod", (), ("completed", "shipping")),
+        "admin_counts_by_group": lambda s: L.admin_counts_by_group(
+            D.admin_product_list(s), D.admin_user_search(s, None), groups=g),
+        "category_group": lambda s: D.api_product_search(s, "").select(
+            "product_id", "category",
+            labels.category_group(F.col("category"), g).alias("category_group")),
+        "product_group": lambda s: D.admin_product_list(s).select(
+            "product_id", "name", "category",
+            labels.product_group(F.col("category"), F.col("name"), g).alias("product_group")),
+        "is_shoe": lambda s: D.api_product_search(s, "").select(
+            "product_id", labels.is_shoe(F.col("category"), F.col("name"), F.col("brand"))
+            .alias("is_shoe")),
+        "distinct_sizes": D.distinct_sizes,
+        "distinct_colors": D.distinct_colors,
+        "sort_sizes": L.product_sizes_sorted,
+        "size_color_availability": L.size_color_availability,
+        "colors_by_size": L.colors_by_size,
+        "cart_totals": L.cart_totals,
+        "cart_merge": lambda s: L.cart_merge(_driver_events(s)),
+    }
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _q(fn) for name, fn in _operators().items()}
 
@@ -79,5 +136,7 @@ def oracle_sql() -> dict[str, str]:
     from .oracle_views import oracle as views_oracle
     sql.update(reports_oracle())
     sql.update(views_oracle())
+    from .oracle_documents import oracle as documents_oracle
+    sql.update(documents_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}

@@ -198,4 +198,5 @@ def load_shop(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> S
                 product_variants=product_variants, sales=sales,
                 product_sales=product_sales, product_images=product_images, cart=cart,
                 cart_items=cart_items, orders=orders, order_details=order_details,
-                payments=payments, shipping=shipping, reviews=reviews, as_of=as_of)
+                payments=payments, shipping=shipping, reviews=reviews, as_of=as_of,
+                source=sf_dir)
