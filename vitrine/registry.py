@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .model import Shop
 from .operators import reports as R
+from .operators import audits as A
 from .operators import documents as D
 from .operators import lists as L
 from .operators import views as V
@@ -69,6 +70,22 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
                  "v_customer_product_reviews"):
         ops[name] = getattr(V, name)
     ops.update(_document_ops())
+    ops.update(_audit_ops())
+    return ops
+
+
+def _audit_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from pyspark.sql import functions as F
+
+    def cascade(s: Shop) -> DataFrame:
+        return A.c_delete_cascade(s, {
+            "products": s.products.filter(F.col("product_id") % 50 == 0),
+            "brands": s.brands.filter(F.col("brand_id") == 1)})
+
+    ops = {name: getattr(A, name) for name in (
+        "c_unique", "c_domain", "c_range", "c_foreign_keys", "c_not_null", "c_length",
+        "c_price_snapshot_drift")}
+    ops["c_delete_cascade"] = cascade
     return ops
 
 
@@ -138,5 +155,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(views_oracle())
     from .oracle_documents import oracle as documents_oracle
     sql.update(documents_oracle())
+    from .oracle_audits import oracle as audits_oracle
+    sql.update(audits_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}
