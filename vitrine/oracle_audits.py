@@ -108,6 +108,6 @@ UNION ALL SELECT 'c_delete_cascade', 'order_details', CAST(order_detail_id AS VA
                                                WHERE product_id IN (SELECT product_id FROM del_products))
 UNION ALL SELECT 'c_delete_cascade', 'products', CAST(product_id AS VARCHAR), 'set null brand_id'
   FROM shop_products WHERE brand_id IN (SELECT brand_id FROM del_brands)
-) x""", extra=[("del_products", "SELECT product_id FROM shop_products WHERE product_id % 50 = 0"),
+) x""", extra=[("del_products", "SELECT product_id FROM shop_products WHERE category_id IS NULL"),
                ("del_brands", "SELECT brand_id FROM shop_brands WHERE brand_id = 1")])
     return q

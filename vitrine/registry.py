@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .model import Shop
 from .operators import reports as R
 from .operators import audits as A
+from .operators import changes as C
 from .operators import documents as D
 from .operators import lists as L
 from .operators import views as V
@@ -71,15 +72,37 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
         ops[name] = getattr(V, name)
     ops.update(_document_ops())
     ops.update(_audit_ops())
+    ops.update(_change_ops())
     return ops
 
 
+def _change_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    def b(s: Shop) -> dict:
+        return C.demo_batches(s)
+
+    return {
+        "t_stock_check": lambda s: C.t_stock_check(s.order_details, s.product_variants),
+        "t_stock_delta": lambda s: C.t_stock_delta(s.product_variants, b(s)["inserted"],
+                                                   b(s)["deleted"]),
+        "affected_orders": lambda s: C.affected_orders(b(s)["inserted"], b(s)["deleted"]),
+        "t_order_total_recompute": lambda s: C.t_order_total_recompute(
+            b(s)["lines_after"], b(s)["inserted"], b(s)["deleted"]),
+        "t_cancel_restores_stock": lambda s: C.t_cancel_restores_stock(
+            s.orders, b(s)["after"], s.order_details, s.product_variants),
+        "t_sold_product_delete_guard": lambda s: C.t_sold_product_delete_guard(
+            s.products, s.product_variants, s.order_details),
+        "t_review_purchase_check": lambda s: C.t_review_purchase_check(
+            s.reviews, s.orders, s.order_details, s.product_variants),
+        "t_missing_carts": lambda s: C.t_missing_carts(s.users, s.cart),
+    }
+
+
 def _audit_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from pyspark.sql import functions as F
 
     def cascade(s: Shop) -> DataFrame:
         return A.c_delete_cascade(s, {
-            "products": s.products.filter(F.col("product_id") % 50 == 0),
+            "products": s.products.filter(F.col("category_id").isNull()),
             "brands": s.brands.filter(F.col("brand_id") == 1)})
 
     ops = {name: getattr(A, name) for name in (
@@ -157,5 +180,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(documents_oracle())
     from .oracle_audits import oracle as audits_oracle
     sql.update(audits_oracle())
+    from .oracle_changes import oracle as changes_oracle
+    sql.update(changes_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}
