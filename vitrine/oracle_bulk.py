@@ -1,0 +1,34 @@
+"""Oracle SQL (DuckDB) for the bulk jobs whose answer does not depend on a
+sequential fold (review batches). Checkout and add-to-cart are checked against
+a sequential replay in the tests instead."""
+
+from __future__ import annotations
+
+from .oracle import with_shop
+
+PURCHASE_FEED = """SELECT event_id AS seq, user_id,
+       (event_id * 31) % (SELECT count(*) FROM part WHERE p_partkey % 4 = 0) AS product_id,
+       CAST(1 + event_id % 6 AS INT) AS rating, 'review ' || CAST(event_id AS VARCHAR) AS comment
+FROM events WHERE event_type = 'purchase'"""
+
+
+def oracle() -> dict[str, str]:
+    q = {}
+    q["p_bulk_review_insert"] = with_shop(["reviews", "orders", "order_details", "product_variants"], """
+SELECT seq, user_id, product_id, rating, comment,
+       reason2 IS NULL AS accepted, reason2 AS reason
+FROM (SELECT *, CASE WHEN reason IS NOT NULL THEN reason
+                     WHEN seq <> min(CASE WHEN reason IS NULL THEN seq END) OVER (PARTITION BY user_id, product_id)
+                     THEN 'duplicate review' END AS reason2
+      FROM (SELECT b.*,
+                   CASE WHEN NOT (b.rating BETWEEN 1 AND 5) THEN 'rating out of range'
+                        WHEN NOT EXISTS (SELECT 1 FROM shop_orders o JOIN shop_order_details od ON o.order_id = od.order_id
+                                         JOIN shop_product_variants v ON od.variant_id = v.variant_id
+                                         WHERE o.user_id = b.user_id AND v.product_id = b.product_id
+                                           AND o.status = 'Completed') THEN 'no purchase'
+                        WHEN length(rtrim(b.comment)) < 5 THEN 'comment too short'
+                        WHEN EXISTS (SELECT 1 FROM shop_reviews r WHERE r.user_id = b.user_id
+                                     AND r.product_id = b.product_id) THEN 'duplicate review'
+                   END AS reason
+            FROM feed b) x) y""", extra=[("feed", PURCHASE_FEED)])
+    return q

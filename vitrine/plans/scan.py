@@ -22,6 +22,7 @@ result to be deterministic, as with any running sum.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -30,63 +31,74 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PID = "_scan_pid"
+IDX = "_scan_idx"
 
 
-def _scan_partition(keys: list[str], value: str, out: str):
+def _scan_partition(keys: list[str], values: list[str], outs: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         carry_key = None
-        carry_sum = 0
+        carry = np.zeros(len(values), dtype="int64")
+        pos = 0
         for pdf in batches:
             if pdf.empty:
-                yield pdf.assign(**{out: pd.Series([], dtype="int64")})
+                yield pdf.assign(**{o: pd.Series([], dtype="int64") for o in outs},
+                                 **{IDX: pd.Series([], dtype="int64")})
                 continue
-            vals = pdf[value].fillna(0).astype("int64").to_numpy()
+            idx = np.arange(pos, pos + len(pdf), dtype="int64")
+            pos += len(pdf)
+            vals = pdf[values].fillna(0).astype("int64").to_numpy()
             if keys:
                 kdf = pdf[keys]
                 change = (kdf != kdf.shift()).any(axis=1).to_numpy()
                 change[0] = True
                 gid = np.cumsum(change)
-                sums = pd.Series(vals).groupby(gid).cumsum().to_numpy()
-                first_key = tuple(kdf.iloc[0])
-                if carry_key is not None and first_key == carry_key:
-                    sums = np.where(gid == 1, sums + carry_sum, sums)
-                last = len(pdf) - 1
-                carry_key = tuple(kdf.iloc[last])
-                carry_sum = int(sums[last])
+                sums = pd.DataFrame(vals).groupby(gid).cumsum().to_numpy()
+                if carry_key is not None and tuple(kdf.iloc[0]) == carry_key:
+                    sums[gid == 1] += carry
+                carry_key = tuple(kdf.iloc[len(pdf) - 1])
             else:
-                sums = np.cumsum(vals) + carry_sum
-                carry_sum = int(sums[-1])
-            yield pdf.assign(**{out: sums.astype("int64")})
+                sums = np.cumsum(vals, axis=0) + carry
+            carry = sums[-1].copy()
+            yield pdf.assign(**{o: sums[:, i].astype("int64") for i, o in enumerate(outs)},
+                             **{IDX: idx})
     return run
 
 
-def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value: str,
-               out: str, inclusive: bool = True,
-               num_partitions: int | None = None) -> DataFrame:
-    """Add ``out`` = running sum of integer column ``value`` per ``keys`` in
-    ``order`` (inclusive of the row itself unless ``inclusive=False``)."""
+def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value, out,
+               inclusive: bool = True, num_partitions: int | None = None) -> DataFrame:
+    """Add running sums of integer column(s) ``value`` per ``keys`` in
+    ``order`` as ``out`` (inclusive of the row itself unless
+    ``inclusive=False``). ``value`` / ``out`` may be lists of equal length."""
+    values = [value] if isinstance(value, str) else list(value)
+    outs = [out] if isinstance(out, str) else list(out)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort_cols = [F.col(k).asc() for k in keys] + list(order)
     ranged = (df.repartitionByRange(n, *sort_cols)
               .sortWithinPartitions(*sort_cols)
               .withColumn(PID, F.spark_partition_id()))
-    local_col = "_scan_local"
-    schema = T.StructType(ranged.schema.fields + [T.StructField(local_col, T.LongType())])
-    scanned = ranged.mapInPandas(_scan_partition(keys, value, local_col), schema)
-
-    totals = scanned.groupBy(PID, *keys).agg(F.max(local_col).alias("_scan_tot"))
+    locals_ = [f"_scan_local{i}" for i in range(len(values))]
+    schema = T.StructType(ranged.schema.fields
+                          + [T.StructField(c, T.LongType()) for c in locals_]
+                          + [T.StructField(IDX, T.LongType())])
+    scanned = ranged.mapInPandas(_scan_partition(keys, values, locals_), schema)
+
+    totals = scanned.groupBy(PID, *keys).agg(
+        *[F.max_by(c, IDX).alias(f"_scan_tot{i}") for i, c in enumerate(locals_)])
     w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(PID) \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (totals.withColumn("_scan_off", F.coalesce(F.sum("_scan_tot").over(w), F.lit(0)))
-               .filter(F.col("_scan_off") != 0)
-               .select(PID, *keys, "_scan_off"))
+    offs = [F.coalesce(F.sum(f"_scan_tot{i}").over(w), F.lit(0)).alias(f"_scan_off{i}")
+            for i in range(len(values))]
+    nonzero = reduce(lambda a, b: a | b, [F.col(f"_scan_off{i}") != 0 for i in range(len(values))])
     # Bounded by the number of partitions (see module doc): a proven broadcast.
+    offsets = totals.select(PID, *keys, *offs).filter(nonzero)
     joined = scanned.join(F.broadcast(offsets), [PID, *keys], "left")
-    running = F.col(local_col) + F.coalesce(F.col("_scan_off"), F.lit(0))
-    if not inclusive:
-        running = running - F.coalesce(F.col(value), F.lit(0))
-    return joined.withColumn(out, running.cast("long")).drop(local_col, "_scan_off", PID)
+    for i, (v, o) in enumerate(zip(values, outs)):
+        running = F.col(locals_[i]) + F.coalesce(F.col(f"_scan_off{i}"), F.lit(0))
+        if not inclusive:
+            running = running - F.coalesce(F.col(v), F.lit(0))
+        joined = joined.withColumn(o, running.cast("long"))
+    return joined.drop(*locals_, *[f"_scan_off{i}" for i in range(len(values))], PID, IDX)
 
 
 def global_rank(df: DataFrame, value: str, out: str = "ranking",

@@ -13,6 +13,7 @@ from .model import Shop
 from .operators import reports as R
 from .operators import audits as A
 from .operators import changes as C
+from .operators import checkout as K
 from .operators import documents as D
 from .operators import lists as L
 from .operators import views as V
@@ -73,9 +74,27 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
     ops.update(_document_ops())
     ops.update(_audit_ops())
     ops.update(_change_ops())
+    ops.update(_bulk_ops())
     return ops
 
 
+def _purchase_feed(shop: Shop) -> DataFrame:
+    from pyspark.sql import functions as F
+    from .sources.driver import read_driver
+    part = read_driver(shop.spark, shop.source, "part")
+    n_parts = part.select(F.count(F.lit(1))).scalar()
+    n_products = part.filter(F.col("p_partkey") % 4 == 0).select(F.count(F.lit(1))).scalar()
+    return K.purchase_events(read_driver(shop.spark, shop.source, "events"), n_parts, n_products)
+
+
+def _bulk_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    return {
+        "p_bulk_checkout": lambda s: K.p_bulk_checkout(s, s.users)["outcome"],
+        "p_bulk_add_to_cart": lambda s: K.p_bulk_add_to_cart(s, _purchase_feed(s))["outcome"],
+        "p_bulk_review_insert": lambda s: K.p_bulk_review_insert(s, _purchase_feed(s))["outcome"],
+    }
+
+
 def _change_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     def b(s: Shop) -> dict:
         return C.demo_batches(s)
@@ -182,5 +201,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(audits_oracle())
     from .oracle_changes import oracle as changes_oracle
     sql.update(changes_oracle())
+    from .oracle_bulk import oracle as bulk_oracle
+    sql.update(bulk_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}
