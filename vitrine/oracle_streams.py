@@ -1,0 +1,26 @@
+"""Oracle SQL (DuckDB) for the final state of the streaming jobs: each equals
+a batch aggregate over the whole feed."""
+
+from __future__ import annotations
+
+from .oracle import with_shop
+
+LINE_FEED = """SELECT order_id, variant_id, quantity, price, 1 AS sign FROM shop_order_details
+UNION ALL SELECT order_id, variant_id, quantity, price, -1 FROM shop_order_details
+WHERE order_id IN (SELECT order_id FROM shop_orders WHERE status = 'Cancelled')"""
+
+
+def oracle() -> dict[str, str]:
+    q = {}
+    q["s_order_totals"] = with_shop(["order_details", "orders"], """
+SELECT order_id, CAST(sum(sign * quantity * price) AS DECIMAL(38,2)) AS total_amount FROM feed GROUP BY order_id""",
+        extra=[("feed", LINE_FEED)])
+    q["s_stock_ledger"] = with_shop(["order_details", "orders", "product_variants"], """
+SELECT v.variant_id, CAST(v.stock - coalesce(f.taken, 0) AS BIGINT) AS stock
+FROM shop_product_variants v
+LEFT JOIN (SELECT variant_id, sum(sign * quantity) AS taken FROM feed GROUP BY variant_id) f
+       ON f.variant_id = v.variant_id""", extra=[("feed", LINE_FEED)])
+    q["s_cancel_restores"] = with_shop(["order_details", "orders"], """
+SELECT od.variant_id, CAST(sum(od.quantity) AS BIGINT) AS restored FROM shop_order_details od
+JOIN shop_orders o ON o.order_id = od.order_id WHERE o.status = 'Shipping' GROUP BY od.variant_id""")
+    return q

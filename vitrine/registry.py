@@ -75,9 +75,25 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
     ops.update(_audit_ops())
     ops.update(_change_ops())
     ops.update(_bulk_ops())
+    ops.update(_stream_ops())
     return ops
 
 
+def _stream_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from .streaming import feeds as S
+
+    def cart(s: Shop) -> DataFrame:
+        feed = _purchase_feed(s).select("seq", "user_id", "variant_id", "quantity")
+        return S.s_cart_merge(s, S.cart_feed_steps(feed))
+
+    return {
+        "s_order_totals": S.s_order_totals,
+        "s_stock_ledger": S.s_stock_ledger,
+        "s_cancel_restores": S.s_cancel_restores,
+        "s_cart_merge": cart,
+    }
+
+
 def _purchase_feed(shop: Shop) -> DataFrame:
     from pyspark.sql import functions as F
     from .sources.driver import read_driver
@@ -203,5 +219,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(changes_oracle())
     from .oracle_bulk import oracle as bulk_oracle
     sql.update(bulk_oracle())
+    from .oracle_streams import oracle as streams_oracle
+    sql.update(streams_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}
