@@ -1,0 +1,119 @@
+"""Oracle SQL (DuckDB) for the write path over the driver-run request feeds."""
+
+from __future__ import annotations
+
+from .oracle import with_shop
+
+HEADERS = """SELECT o_orderkey AS payload_id, c_name AS name,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
+       ' 08' || CAST(c_custkey AS VARCHAR) AS phone, n_name AS address
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderpriority = '1-URGENT'"""
+
+ITEMS = """SELECT l_orderkey AS payload_id, l_linenumber - 1 AS pos, CAST(floor(l_partkey / 4) AS BIGINT) AS product_id,
+       CASE WHEN l_linenumber % 2 = 1 THEN CAST(p_size AS VARCHAR) ELSE '' END AS size,
+       CASE WHEN l_linenumber % 2 = 1 THEN split_part(p_name, ' ', 1) ELSE '' END AS color
+FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+
+VN = """SELECT pv.*, s.name AS size_name, c.name AS color_name
+FROM shop_product_variants pv JOIN shop_sizes s ON pv.size_id = s.size_id JOIN shop_colors c ON pv.color_id = c.color_id"""
+
+PRODUCT_FEED = """SELECT p_partkey AS seq,
+       CASE WHEN p_size > 25 THEN CAST(floor(p_partkey / 4) AS BIGINT) END AS product_id,
+       p_name AS name, CAST(p_retailprice AS DECIMAL(10,2)) AS price, p_type AS category, p_brand AS brand,
+       concat_ws(', ', CAST(p_size AS VARCHAR), ' ', CAST(p_size % 7 + 40 AS VARCHAR)) AS sizes
+FROM part"""
+
+USER_FEED = """SELECT c_custkey AS seq, c_custkey AS user_id, upper(c_name) AS name,
+       'c' || CAST(CASE WHEN c_acctbal < -800 THEN c_custkey % 50 + 1 ELSE c_custkey END AS VARCHAR) || '@example.com' AS email,
+       CASE WHEN c_mktsegment = 'BUILDING' THEN 'admin' WHEN c_mktsegment = 'MACHINERY' THEN 'manager' ELSE 'user' END AS role
+FROM customer WHERE c_acctbal < 0"""
+
+
+def _dims_sql() -> str:
+    blocks = []
+    for kind, table, id_col, expr in (
+            ("brand", "brands", "brand_id", "SELECT trim(brand) AS name, seq FROM feed"),
+            ("category", "categories", "category_id", "SELECT trim(category) AS name, seq FROM feed"),
+            ("size", "sizes", "size_id",
+             "SELECT trim(unnest(string_split(sizes, ','))) AS name, seq FROM feed"),
+            ("color", "colors", "color_id", "SELECT 'Default' AS name, seq FROM feed")):
+        blocks.append(f"""SELECT '{kind}' AS kind,
+       CAST((SELECT max({id_col}) FROM shop_{table}) + row_number() OVER (ORDER BY seq, k) AS BIGINT) AS id, name
+FROM (SELECT lower(rtrim(name)) AS k, arg_min(name, seq) AS name, min(seq) AS seq
+      FROM ({expr}) n WHERE name <> '' GROUP BY 1) f
+WHERE k NOT IN (SELECT lower(rtrim(name)) FROM shop_{table})""")
+    return "\nUNION ALL\n".join(blocks)
+
+
+def oracle() -> dict[str, str]:
+    q = {}
+    q["w_variant_resolve"] = with_shop(["product_variants", "sizes", "colors"], """
+SELECT i.payload_id, i.pos, i.product_id,
+       CASE WHEN i.size <> '' AND i.color <> '' THEN e.vid ELSE f.vid END AS variant_id
+FROM items i
+LEFT JOIN (SELECT product_id, size_name, color_name, min(variant_id) AS vid FROM vn GROUP BY 1, 2, 3) e
+       ON e.product_id = i.product_id AND e.size_name = i.size AND e.color_name = i.color
+LEFT JOIN (SELECT product_id, min(variant_id) AS vid FROM vn GROUP BY 1) f ON f.product_id = i.product_id""",
+        extra=[("items", ITEMS), ("vn", VN)])
+    q["w_assign_keys"] = with_shop(["orders"], """
+SELECT payload_id, (SELECT max(order_id) FROM shop_orders) + row_number() OVER (ORDER BY payload_id) AS order_id
+FROM headers""", extra=[("headers", HEADERS)])
+    q["w_customer_upsert"] = with_shop(["users"], """
+SELECT * FROM shop_users WHERE user_id NOT IN (SELECT user_id FROM upd)
+UNION ALL SELECT * FROM upd UNION ALL SELECT * FROM fresh""", extra=[
+        ("headers", HEADERS),
+        ("h", """SELECT payload_id,
+       CASE WHEN trim(coalesce(email, '')) <> '' THEN trim(email)
+            ELSE 'guest_' || CAST(payload_id AS VARCHAR) || '@guest.local' END AS email,
+       CASE WHEN name IS NULL OR name = '' THEN 'Khách hàng' ELSE trim(name) END AS name,
+       trim(coalesce(phone, '')) AS phone, trim(coalesce(address, '')) AS address FROM headers"""),
+        ("per", """SELECT lower(rtrim(email)) AS k, arg_min(email, payload_id) AS email, min(payload_id) AS first_pid,
+       arg_max(name, payload_id) FILTER (WHERE name <> '') AS nb_name,
+       arg_max(phone, payload_id) FILTER (WHERE phone <> '') AS nb_phone,
+       arg_max(address, payload_id) FILTER (WHERE address <> '') AS nb_address,
+       arg_min(name, payload_id) AS first_name, arg_min(phone, payload_id) AS first_phone,
+       arg_min(address, payload_id) AS first_address
+FROM h GROUP BY 1"""),
+        ("m", """SELECT per.*, uk.uid FROM per LEFT JOIN
+       (SELECT lower(rtrim(email)) AS k, min(user_id) AS uid FROM shop_users GROUP BY 1) uk ON uk.k = per.k"""),
+        ("upd", """SELECT u.user_id, coalesce(m.nb_name, u.name) AS name, u.email, coalesce(m.nb_phone, u.phone) AS phone,
+       coalesce(m.nb_address, u.address) AS address, u.role, u.created_at
+FROM shop_users u JOIN m ON m.uid = u.user_id"""),
+        ("fresh", """SELECT (SELECT max(user_id) FROM shop_users) + row_number() OVER (ORDER BY first_pid) AS user_id,
+       coalesce(nb_name, first_name) AS name, email, coalesce(nb_phone, first_phone) AS phone,
+       coalesce(nb_address, first_address) AS address, 'user' AS role, TIMESTAMP '1998-06-15 00:00:00' AS created_at
+FROM m WHERE uid IS NULL""")])
+    q["w_dimension_get_or_create"] = with_shop(["brands", "categories", "sizes", "colors"], _dims_sql(),
+                                               extra=[("feed", PRODUCT_FEED)])
+    q["w_product_upsert"] = with_shop(["products"], """
+SELECT p.seq, coalesce(p.product_id, c.new_id) AS product_id, p.reason IS NULL AS accepted, p.reason
+FROM p LEFT JOIN c ON c.seq = p.seq""", extra=[
+        ("feed", PRODUCT_FEED),
+        ("p", """SELECT f.*, CASE WHEN trim(coalesce(name, '')) = '' THEN 'name required'
+                     WHEN price IS NULL OR price < 0 THEN 'invalid price'
+                     WHEN product_id IS NOT NULL AND product_id NOT IN (SELECT product_id FROM shop_products)
+                     THEN 'product not found' END AS reason FROM feed f"""),
+        ("c", """SELECT seq, (SELECT max(product_id) FROM shop_products) + row_number() OVER (ORDER BY seq) AS new_id
+FROM p WHERE reason IS NULL AND product_id IS NULL""")])
+    q["w_user_update"] = with_shop(["users"], """
+SELECT v.seq, v.user_id, r2 IS NULL AS accepted, r2 AS reason FROM (
+  SELECT v.*, CASE WHEN v.reason IS NOT NULL THEN v.reason
+                   WHEN fc.claimer <> v.user_id THEN 'email exists' END AS r2
+  FROM v LEFT JOIN fc ON fc.k = v.k) v""", extra=[
+        ("feed", USER_FEED),
+        ("v", """SELECT u.*, lower(rtrim(u.email)) AS k,
+       CASE WHEN trim(u.name) = '' THEN 'name required' WHEN trim(u.email) = '' THEN 'email required'
+            WHEN u.role NOT IN ('admin', 'user') THEN 'invalid role'
+            WHEN NOT EXISTS (SELECT 1 FROM shop_users s WHERE s.user_id = u.user_id) THEN 'user not found'
+            WHEN EXISTS (SELECT 1 FROM shop_users s WHERE lower(rtrim(s.email)) = lower(rtrim(trim(u.email)))
+                                                     AND s.user_id <> u.user_id) THEN 'email exists'
+       END AS reason FROM feed u"""),
+        ("fc", "SELECT k, arg_min(user_id, seq) AS claimer FROM v WHERE reason IS NULL GROUP BY k")])
+    q["w_order_status_update"] = with_shop(["orders"], """
+SELECT o_orderkey AS seq, o_orderkey AS order_id,
+       o_orderkey IN (SELECT order_id FROM shop_orders) AS accepted,
+       CASE WHEN o_orderkey NOT IN (SELECT order_id FROM shop_orders) THEN 'order not found' END AS reason
+FROM orders WHERE o_orderpriority = '2-HIGH'""")
+    return q

@@ -76,9 +76,53 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
     ops.update(_change_ops())
     ops.update(_bulk_ops())
     ops.update(_stream_ops())
+    ops.update(_write_ops())
     return ops
 
 
+def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from pyspark.sql import functions as F
+    from .operators import writes as W
+    from .sources import payloads as P
+
+    def intake(s: Shop):
+        return P.driver_order_payloads(s.spark, s.source)
+
+    def dims(s: Shop) -> DataFrame:
+        feed = P.driver_product_payloads(s.spark, s.source)
+        parts = []
+        for kind, table, id_col, names in (
+                ("brand", s.brands, "brand_id", feed.select(F.col("brand").alias("name"), "seq")),
+                ("category", s.categories, "category_id",
+                 feed.select(F.col("category").alias("name"), "seq")),
+                ("size", s.sizes, "size_id", feed.select(
+                    F.explode(F.split("sizes", ",")).alias("name"), "seq")),
+                ("color", s.colors, "color_id", feed.select(F.lit("Default").alias("name"), "seq"))):
+            new = W.w_dimension_get_or_create(names, table, id_col)["new"]
+            parts.append(new.select(F.lit(kind).alias("kind"), F.col(id_col).cast("long").alias("id"),
+                                    "name"))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    return {
+        "w_order_intake": lambda s: W.w_order_intake(s, *intake(s))["outcome"],
+        "w_variant_resolve": lambda s: W.w_variant_resolve(s, intake(s)[1]).select(
+            "payload_id", "pos", "product_id", "variant_id"),
+        "w_customer_upsert": lambda s: W.w_customer_upsert(s, intake(s)[0])["users"],
+        "w_assign_keys": lambda s: W.w_assign_keys(intake(s)[0].select("payload_id"), s.orders,
+                                                   "order_id", [F.col("payload_id").asc()]),
+        "w_dimension_get_or_create": dims,
+        "w_product_upsert": lambda s: W.w_product_upsert(
+            s, P.driver_product_payloads(s.spark, s.source))["outcome"],
+        "w_user_update": lambda s: W.w_user_update(
+            s, P.driver_user_updates(s.spark, s.source))["outcome"],
+        "w_order_status_update": lambda s: W.w_order_status_update(
+            s, P.driver_order_status_updates(s.spark, s.source))["outcome"],
+    }
+
+
 def _stream_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from .streaming import feeds as S
 
@@ -221,5 +265,7 @@ def oracle_sql() -> dict[str, str]:
     sql.update(bulk_oracle())
     from .oracle_streams import oracle as streams_oracle
     sql.update(streams_oracle())
+    from .oracle_writes import oracle as writes_oracle
+    sql.update(writes_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}
