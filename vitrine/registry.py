@@ -77,9 +77,74 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
     ops.update(_bulk_ops())
     ops.update(_stream_ops())
     ops.update(_write_ops())
+    ops.update(_source_ops())
+    ops.update(_shared_ops())
     return ops
 
 
+def _shared_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from pyspark.sql import functions as F
+    from .functions import labels as LB
+    from .operators import shared as SH
+
+    def status_maps(s: Shop) -> DataFrame:
+        rows = s.payments.select("payment_id", "order_id", F.col("method"),
+                                 F.col("status").alias("pay_status")).join(
+            s.orders.select("order_id", "status"), "order_id")
+        return rows.select(
+            "payment_id", "order_id",
+            LB.norm_order_status(F.col("status")).alias("norm_order_status"),
+            LB.norm_payment_status(F.col("pay_status")).alias("norm_payment_status"),
+            LB.norm_payment_method(F.col("method")).alias("norm_payment_method"),
+            LB.db_order_status(F.col("status")).alias("db_order_status"),
+            LB.db_payment_status(F.col("pay_status")).alias("db_payment_status"),
+            LB.db_payment_method(F.col("method")).alias("db_payment_method"),
+            LB.map_payment_method(F.col("method")).alias("intake_payment_method"))
+
+    return {
+        "agg_variant_rollup": SH.agg_variant_rollup,
+        "agg_review_rollup": SH.agg_review_rollup,
+        "agg_active_discount": SH.agg_active_discount,
+        "top1_first_image": SH.top1_first_image,
+        "top1_latest_payment": SH.top1_latest_payment,
+        "top1_latest_shipping": SH.top1_latest_shipping,
+        "top1_best_discount": SH.agg_active_discount,
+        "op_size_guide": L.op_size_guide,
+        "status_maps": status_maps,
+    }
+
+
+def _source_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+    from .model import TABLES
+    from .sources import payloads as P
+    from .sources import tables as TB
+    from .streaming.feeds import scratch
+
+    def src_tables(s: Shop) -> DataFrame:
+        parts = [getattr(s, t).agg(F.count(F.lit(1)).alias("n_rows"))
+                 .select(F.lit(t).alias("tbl"), "n_rows") for t in TABLES]
+        return reduce(DataFrame.unionByName, parts)
+
+    def snk_documents(s: Shop) -> DataFrame:
+        doc = D.api_product_document(s)
+        path = scratch(s.spark, "documents") + "/products"
+        TB.write_documents(doc, path, "json")
+        return TB.read_documents(s.spark, path, doc.schema, "json")
+
+    def src_order_payloads(s: Shop) -> DataFrame:
+        headers, items = P.driver_order_payloads(s.spark, s.source)
+        n = items.groupBy("payload_id").agg(F.count(F.lit(1)).alias("n_items"))
+        return (headers.join(n, "payload_id", "left")
+                .select("payload_id", "name", "email", "phone", "address",
+                        F.coalesce("n_items", F.lit(0)).alias("n_items")))
+
+    return {"src_tables": src_tables, "snk_documents": snk_documents,
+            "src_order_payloads": src_order_payloads}
+
+
 def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from pyspark.sql import functions as F
     from .operators import writes as W
@@ -267,5 +332,9 @@ def oracle_sql() -> dict[str, str]:
     sql.update(streams_oracle())
     from .oracle_writes import oracle as writes_oracle
     sql.update(writes_oracle())
+    from .oracle_sources import oracle as sources_oracle
+    sql.update(sources_oracle())
+    from .oracle_shared import oracle as shared_oracle
+    sql.update(shared_oracle())
     known = set(_operators())
     return {k: v for k, v in sql.items() if k in known}
