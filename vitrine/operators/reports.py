@@ -237,10 +237,9 @@ def p_order_lines(shop: Shop, order_id=None) -> DataFrame:
     lines = shop.order_details
     if order_id is not None:
         lines = lines.filter(F.col("order_id") == order_id)
-    return (lines.select("order_id", "variant_id", "quantity", "price")
-            .join(shared.variants_named(shop).select("variant_id", "product_id", "size_name",
-                                                     "color_name"), "variant_id")
-            .join(shop.products.select("product_id", "name"), "product_id")
+    vdim = shared.variant_dim(shop).select("variant_id", F.col("product_name").alias("name"),
+                                           "size_name", "color_name")
+    return (lines.select("order_id", "variant_id", "quantity", "price").join(vdim, "variant_id")
             .select("order_id", "name", F.col("size_name").alias("size"),
                     F.col("color_name").alias("color"), "quantity", "price"))
 

@@ -80,3 +80,11 @@ def variants_named(shop: Shop) -> DataFrame:
     s = shop.dim("sizes").select("size_id", F.col("name").alias("size_name"))
     c = shop.dim("colors").select("color_id", F.col("name").alias("color_name"), "hex_code")
     return shop.product_variants.join(s, "size_id").join(c, "color_id")
+
+
+def variant_dim(shop: Shop) -> DataFrame:
+    """One row per variant with its size, colour and product columns, so a
+    fact table joins the whole dimension once on variant_id (a star join
+    written dimension-first: the fact is shuffled once, not per dimension)."""
+    prod = shop.products.select("product_id", F.col("name").alias("product_name"))
+    return variants_named(shop).join(prod, "product_id")

@@ -84,16 +84,17 @@ def v_customer_order_tracking(shop: Shop) -> DataFrame:
 
 
 def v_order_item_detail(shop: Shop) -> DataFrame:
-    orders = shop.orders.select("order_id", "order_date", F.col("status").alias("order_status"),
-                                "user_id")
-    users = shop.users.select("user_id", F.col("name").alias("customer_name"), "email")
-    rows = (shop.order_details
-            .join(orders, "order_id").join(users, "user_id")
-            .join(shared.variants_named(shop).select("variant_id", "product_id", "size_name",
-                                                     "color_name"), "variant_id")
-            .join(shop.products.select("product_id", F.col("name").alias("product_name")),
-                  "product_id")
+    """Order lines with order, customer, variant and product columns. The
+    dimensions are joined among themselves first (one row per order, one per
+    variant), so the line table is shuffled once per key."""
+    header = (shop.orders.select("order_id", "order_date", F.col("status").alias("order_status"),
+                                 "user_id")
+              .join(shop.users.select("user_id", F.col("name").alias("customer_name"), "email"),
+                    "user_id"))
+    vdim = (shared.variant_dim(shop)
+            .select("variant_id", "product_id", "product_name", "size_name", "color_name")
             .join(_image(shop, "img"), "product_id", "left"))
+    rows = shop.order_details.join(header, "order_id").join(vdim, "variant_id")
     return rows.select(
         "order_detail_id", "order_id", "order_date", "order_status", "user_id",
         "customer_name", "email", "product_id", "product_name", "variant_id", "size_name",
@@ -177,17 +178,16 @@ def v_customer_sale_products(shop: Shop, as_of=None) -> DataFrame:
 
 def v_customer_cart_detail(shop: Shop, as_of=None) -> DataFrame:
     """Cart lines with the discounted price; the line total rounds quantity x
-    the unrounded discounted price."""
-    users = shop.users.select("user_id", F.col("name").alias("customer_name"))
-    rows = (shop.cart.join(users, "user_id")
-            .join(shop.cart_items, "cart_id")
-            .join(shared.variants_named(shop).select("variant_id", "product_id", "size_name",
-                                                     "color_name", "price", "stock"),
-                  "variant_id")
-            .join(shop.products.select("product_id", F.col("name").alias("product_name")),
-                  "product_id")
+    the unrounded discounted price. Cart lines join a per-cart header and a
+    per-variant dimension, each once."""
+    header = shop.cart.join(shop.users.select("user_id", F.col("name").alias("customer_name")),
+                            "user_id")
+    vdim = (shared.variant_dim(shop)
+            .select("variant_id", "product_id", "product_name", "size_name", "color_name",
+                    "price", "stock")
             .join(shared.agg_active_discount(shop, as_of), "product_id", "left")
             .join(_image(shop, "img"), "product_id", "left"))
+    rows = shop.cart_items.join(header, "cart_id").join(vdim, "variant_id")
     d = F.coalesce(F.col("max_discount_percent"), F.lit(0))
     return rows.select(
         "user_id", "customer_name", "cart_id", "cart_item_id", "product_id", "product_name",

@@ -11,7 +11,8 @@ job must equal its batch twin once all input is processed:
   static stock table;
 - ``s_cancel_restores``: order-status feed -> stock given back once per
   transition into Cancelled, by ``foreachBatch`` against the stored last
-  status of each order;
+  status of each order (changes inside a micro-batch are paired with their
+  predecessor by position, not by a per-order window);
 - ``s_cart_merge``: add-to-cart feed -> cart lines, by ``foreachBatch``
   running the bulk add-to-cart job against the stored lines (a plain running
   sum would count rejected events).
@@ -35,6 +36,7 @@ from pyspark.sql import types as T
 from ..functions.money import TOTAL
 from ..model import Shop
 from ..operators import checkout
+from ..plans.scan import prefix_sum
 from ..session import ensure_checkpoint_dir
 
 CANCELLED = "Cancelled"
@@ -165,7 +167,6 @@ def status_feed_steps(shop: Shop) -> list[DataFrame]:
 def s_cancel_restores(shop: Shop, steps: list[DataFrame] | None = None) -> DataFrame:
     """Quantities given back per variant, once per transition into Cancelled
     (a first sighting of an order is an insert, not a transition)."""
-    from pyspark.sql import Window
     spark = shop.spark
     root = scratch(spark, "cancel-restores")
     last = VersionedTable(spark, f"{root}/last-status",
@@ -176,12 +177,17 @@ def s_cancel_restores(shop: Shop, steps: list[DataFrame] | None = None) -> DataF
 
     def apply(batch: DataFrame, b: int) -> None:
         prev = last.read(b - 1).withColumnRenamed("status", "_stored")
-        # Status changes of one order inside one micro-batch, in feed order.
-        w = Window.partitionBy("order_id").orderBy("seq")
-        ev = (batch.join(prev, "order_id", "left")
-              .withColumn("_before", F.coalesce(F.lag("status").over(w), F.col("_stored")))
-              .withColumn("_first", F.lag("status").over(w).isNull() & F.col("_stored").isNull()))
-        moves = ev.filter((F.col("status") == CANCELLED) & ~F.col("_first")
+        # Position of each status change inside its order (a range-partitioned
+        # running count, so one busy order spans many tasks), then the previous
+        # change by an equi-join on (order, position - 1).
+        ev = prefix_sum(batch.withColumn("_one", F.lit(1)), ["order_id"], [F.col("seq").asc()],
+                        "_one", "_pos").drop("_one")
+        before = ev.select("order_id", (F.col("_pos") + 1).alias("_pos"),
+                           F.col("status").alias("_prev"))
+        ev = (ev.join(before, ["order_id", "_pos"], "left").join(prev, "order_id", "left")
+              .withColumn("_before", F.when(F.col("_pos") == 1, F.col("_stored"))
+                          .otherwise(F.col("_prev"))))
+        moves = ev.filter((F.col("status") == CANCELLED) & F.col("_before").isNotNull()
                           & (F.col("_before") != CANCELLED))
         back = (lines.join(moves.select("order_id"), "order_id")
                 .groupBy("variant_id").agg(F.sum("quantity").cast("long").alias("restored")))
