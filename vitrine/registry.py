@@ -30,8 +30,12 @@ def shop_for(spark: SparkSession, sf_dir: str) -> Shop:
 
 
 def _q(fn: Callable[[Shop], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    from .plans.encode import encode_nested
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return fn(shop_for(spark, sf_dir))
+        # Nested columns are registered in a canonical text form (see
+        # plans.encode); the operators themselves return the nested documents.
+        return encode_nested(fn(shop_for(spark, sf_dir)))
     run.__name__ = getattr(fn, "__name__", "query")
     return run
 
@@ -337,4 +341,36 @@ def oracle_sql() -> dict[str, str]:
     from .oracle_shared import oracle as shared_oracle
     sql.update(shared_oracle())
     known = set(_operators())
-    return {k: v for k, v in sql.items() if k in known}
+    return {k: _encode_sql(k, v) for k, v in sql.items() if k in known}
+
+
+# Nested output columns per query: name -> list of (column, kind, fields).
+NESTED = {
+    "api_product_document": [("images", "array", None), ("sizes", "array", None),
+                             ("colors", "struct_array", ["name", "hex"]),
+                             ("variants", "struct_array",
+                              ["variantId", "size", "color", "hex", "price", "stock"])],
+    "api_order_list": [("customer", "struct", ["name", "email", "phone"])],
+    "admin_product_list": [("sizes", "array", None)],
+    "admin_product_filter": [("sizes", "array", None)],
+    "distinct_sizes": [("sizes", "array", None)],
+    "distinct_colors": [("colors", "struct_array", ["name", "hex"])],
+    "sort_sizes": [("sizes", "array", None)],
+    "size_color_availability": [("sizes", "array", None)],
+    "colors_by_size": [("colors", "struct_array", ["name", "hex"])],
+}
+NESTED["snk_documents"] = NESTED["api_product_document"]
+
+
+def _encode_sql(name: str, sql: str) -> str:
+    from .plans.encode import sql_array, sql_struct, sql_struct_array
+    spec = NESTED.get(name)
+    if not spec:
+        return sql
+    cols = ", ".join(c for c, _, _ in spec)
+    enc = []
+    for col, kind, fields in spec:
+        enc.append(sql_array(col) if kind == "array" else
+                   sql_struct_array(col, fields) if kind == "struct_array" else
+                   sql_struct(col, fields))
+    return f"SELECT * EXCLUDE ({cols}), {', '.join(enc)} FROM (\n{sql}\n) nested_q"
