@@ -12,8 +12,50 @@ PURCHASE_FEED = """SELECT event_id AS seq, user_id,
 FROM events WHERE event_type = 'purchase'"""
 
 
+CART_FEED = """SELECT event_id AS seq, user_id, (event_id * 17) % (SELECT count(*) FROM part) AS variant_id,
+       CAST(1 + event_id % 3 AS INT) AS quantity
+FROM events WHERE event_type = 'purchase'"""
+
+# The sequential add-to-cart fold per (cart, variant) as a recursive CTE: each
+# step adds the next event's quantity when it fits the stock, else skips it.
+CART_FOLD = [
+    ("feed", CART_FEED),
+    ("ev", """SELECT f.*, c.cart_id, v.stock,
+       CASE WHEN f.quantity <= 0 THEN 'invalid quantity' WHEN c.cart_id IS NULL THEN 'no cart'
+            WHEN v.stock IS NULL THEN 'unknown variant' END AS pre
+FROM feed f LEFT JOIN shop_cart c ON c.user_id = f.user_id
+LEFT JOIN shop_product_variants v ON v.variant_id = f.variant_id"""),
+    ("cand", """SELECT ev.*, row_number() OVER (PARTITION BY cart_id, variant_id ORDER BY seq) AS rn
+FROM ev WHERE pre IS NULL"""),
+    ("r", """SELECT k.cart_id, k.variant_id, CAST(0 AS BIGINT) AS rn, CAST(coalesce(h.quantity, 0) AS BIGINT) AS cur,
+       CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS ok
+FROM (SELECT DISTINCT cart_id, variant_id FROM cand) k
+LEFT JOIN shop_cart_items h ON h.cart_id = k.cart_id AND h.variant_id = k.variant_id
+UNION ALL
+SELECT r.cart_id, r.variant_id, c.rn,
+       CASE WHEN r.cur + c.quantity <= c.stock THEN r.cur + c.quantity ELSE r.cur END,
+       c.seq, r.cur + c.quantity <= c.stock
+FROM r JOIN cand c ON c.cart_id = r.cart_id AND c.variant_id = r.variant_id AND c.rn = r.rn + 1"""),
+]
+
+
+def _recursive(sql: str) -> str:
+    return "WITH RECURSIVE " + sql[len("WITH "):]
+
+
 def oracle() -> dict[str, str]:
     q = {}
+    q["p_bulk_add_to_cart"] = _recursive(with_shop(["cart", "cart_items", "product_variants"], """
+SELECT e.seq, e.user_id, e.cart_id, e.variant_id, e.quantity,
+       coalesce(e.pre IS NULL AND r.ok, false) AS accepted,
+       CASE WHEN e.pre IS NOT NULL THEN e.pre WHEN NOT r.ok THEN 'insufficient stock' END AS reason
+FROM ev e LEFT JOIN r ON r.seq = e.seq AND r.rn > 0""", extra=CART_FOLD))
+    q["s_cart_merge"] = _recursive(with_shop(["cart", "cart_items", "product_variants"], """
+SELECT coalesce(h.cart_id, a.cart_id) AS cart_id, coalesce(h.variant_id, a.variant_id) AS variant_id,
+       CAST(coalesce(h.quantity, 0) + coalesce(a.q, 0) AS INT) AS quantity
+FROM shop_cart_items h FULL JOIN (
+  SELECT e.cart_id, e.variant_id, sum(e.quantity) AS q FROM ev e JOIN r ON r.seq = e.seq AND r.rn > 0 AND r.ok
+  GROUP BY 1, 2) a ON a.cart_id = h.cart_id AND a.variant_id = h.variant_id""", extra=CART_FOLD))
     q["p_bulk_review_insert"] = with_shop(["reviews", "orders", "order_details", "product_variants"], """
 SELECT seq, user_id, product_id, rating, comment,
        reason2 IS NULL AS accepted, reason2 AS reason
