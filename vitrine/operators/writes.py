@@ -162,7 +162,8 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
     res = res.withColumn("_why", item_reason)
     per_payload = res.groupBy("payload_id").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.min_by("_why", F.when(F.col("_why").isNotNull(), F.col("pos"))).alias("_why"))
+        # The first failing item decides the reason (ties on position: by reason).
+        F.min_by("_why", F.when(F.col("_why").isNotNull(), F.struct("pos", "_why"))).alias("_why"))
     h = (headers.join(per_payload, "payload_id", "left")
          .withColumn("reason", F.when(~F.coalesce(F.col("has_customer"), F.lit(False))
                                       | (F.coalesce(F.col("_n"), F.lit(0)) == 0),

@@ -39,6 +39,85 @@ FROM r JOIN cand c ON c.cart_id = r.cart_id AND c.variant_id = r.variant_id AND
 ]
 
 
+# Bulk checkout as a recursive CTE: one step per cart in cart_id order, one row
+# per contested variant carrying its remaining stock; a window over the step's
+# rows decides the cart all-or-nothing.
+CHECKOUT_FOLD = [
+    ("carts", """SELECT cart_id, row_number() OVER (ORDER BY cart_id) AS step
+FROM (SELECT DISTINCT cart_id FROM shop_cart_items) x
+WHERE cart_id IN (SELECT c.cart_id FROM shop_cart c JOIN shop_users u ON u.user_id = c.user_id)"""),
+    ("lines", """SELECT cs.step, ci.cart_id, ci.variant_id, ci.quantity, v.price
+FROM shop_cart_items ci JOIN carts cs ON cs.cart_id = ci.cart_id
+JOIN shop_product_variants v ON v.variant_id = ci.variant_id"""),
+    ("r", """SELECT 0 AS step, variant_id, CAST(stock AS BIGINT) AS remaining, CAST(NULL AS BOOLEAN) AS ok
+FROM shop_product_variants WHERE variant_id IN (SELECT variant_id FROM lines)
+UNION ALL
+SELECT step, variant_id, remaining - CASE WHEN ok THEN q ELSE 0 END, ok FROM (
+  SELECT r.step + 1 AS step, r.variant_id, r.remaining, coalesce(l.quantity, 0) AS q,
+         bool_and(coalesce(l.quantity, 0) <= r.remaining) OVER () AS ok
+  FROM r LEFT JOIN lines l ON l.step = r.step + 1 AND l.variant_id = r.variant_id
+  WHERE r.step < (SELECT max(step) FROM carts)) s"""),
+    ("decided", """SELECT cs.cart_id, coalesce(d.ok, true) AS ok
+FROM carts cs LEFT JOIN (SELECT DISTINCT step, ok FROM r WHERE step > 0) d ON d.step = cs.step"""),
+    ("outcome", """SELECT u.user_id, c.cart_id,
+       CASE WHEN c.cart_id IS NULL THEN 'no cart' WHEN dc.cart_id IS NULL THEN 'empty cart'
+            WHEN NOT dc.ok THEN 'insufficient stock' END AS reason
+FROM shop_users u LEFT JOIN shop_cart c ON c.user_id = u.user_id
+LEFT JOIN decided dc ON dc.cart_id = c.cart_id"""),
+]
+
+
+INTAKE_FOLD = [
+    ("headers", """SELECT o_orderkey AS payload_id, c_name AS name,
+       CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
+       CAST(o_totalprice AS DECIMAL(12,2)) AS client_total
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+WHERE o_orderpriority = '1-URGENT'"""),
+    ("items", """SELECT l_orderkey AS payload_id, l_linenumber - 1 AS pos, CAST(floor(l_partkey / 4) AS BIGINT) AS product_id,
+       CASE WHEN l_linenumber % 2 = 1 THEN CAST(p_size AS VARCHAR) ELSE '' END AS size,
+       CASE WHEN l_linenumber % 2 = 1 THEN split_part(p_name, ' ', 1) ELSE '' END AS color,
+       l_quantity AS quantity, p_retailprice AS price
+FROM lineitem JOIN part ON l_partkey = p_partkey
+WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""),
+    ("vn", """SELECT pv.*, s.name AS size_name, c.name AS color_name
+FROM shop_product_variants pv JOIN shop_sizes s ON pv.size_id = s.size_id JOIN shop_colors c ON pv.color_id = c.color_id"""),
+    ("res", """SELECT i.*, CASE WHEN i.size <> '' AND i.color <> '' THEN e.vid ELSE f.vid END AS variant_id
+FROM items i
+LEFT JOIN (SELECT product_id, size_name, color_name, min(variant_id) AS vid FROM vn GROUP BY 1, 2, 3) e
+       ON e.product_id = i.product_id AND e.size_name = i.size AND e.color_name = i.color
+LEFT JOIN (SELECT product_id, min(variant_id) AS vid FROM vn GROUP BY 1) f ON f.product_id = i.product_id"""),
+    ("why", """SELECT r.*, v.stock,
+       CASE WHEN coalesce(r.product_id, 0) = 0 OR r.quantity <= 0 OR r.price <= 0 THEN 'invalid item'
+            WHEN r.variant_id IS NULL OR v.stock IS NULL THEN 'variant not found' END AS w
+FROM res r LEFT JOIN shop_product_variants v ON v.variant_id = r.variant_id"""),
+    ("pre", """SELECT h.payload_id,
+       CASE WHEN n.n IS NULL THEN 'invalid payload' ELSE n.w END AS reason
+FROM headers h LEFT JOIN (SELECT payload_id, count(*) AS n, arg_min(w, (pos, w)) FILTER (WHERE w IS NOT NULL) AS w
+                          FROM why GROUP BY payload_id) n ON n.payload_id = h.payload_id"""),
+    ("steps", """SELECT payload_id, row_number() OVER (ORDER BY payload_id) AS step FROM pre WHERE reason IS NULL"""),
+    ("lines", """SELECT s.step, w.payload_id, w.variant_id, CAST(sum(CAST(w.quantity AS INT)) AS BIGINT) AS quantity
+FROM why w JOIN steps s ON s.payload_id = w.payload_id GROUP BY 1, 2, 3"""),
+    ("r", """SELECT 0 AS step, variant_id, CAST(stock AS BIGINT) AS remaining, CAST(NULL AS BOOLEAN) AS ok
+FROM shop_product_variants WHERE variant_id IN (SELECT variant_id FROM lines)
+UNION ALL
+SELECT step, variant_id, remaining - CASE WHEN ok THEN q ELSE 0 END, ok FROM (
+  SELECT r.step + 1 AS step, r.variant_id, r.remaining, coalesce(l.quantity, 0) AS q,
+         bool_and(coalesce(l.quantity, 0) <= r.remaining) OVER () AS ok
+  FROM r LEFT JOIN lines l ON l.step = r.step + 1 AND l.variant_id = r.variant_id
+  WHERE r.step < (SELECT max(step) FROM steps)) s"""),
+    ("verdict", """SELECT p.payload_id,
+       CASE WHEN p.reason IS NOT NULL THEN p.reason WHEN NOT coalesce(d.ok, true) THEN 'insufficient stock' END AS reason
+FROM pre p LEFT JOIN steps s ON s.payload_id = p.payload_id
+LEFT JOIN (SELECT DISTINCT step, ok FROM r WHERE step > 0) d ON d.step = s.step"""),
+    ("acc", """SELECT v.payload_id, lower(rtrim(CASE WHEN trim(coalesce(h.email, '')) <> '' THEN trim(h.email)
+            ELSE 'guest_' || CAST(v.payload_id AS VARCHAR) || '@guest.local' END)) AS k
+FROM verdict v JOIN headers h ON h.payload_id = v.payload_id WHERE v.reason IS NULL"""),
+    ("known", "SELECT lower(rtrim(email)) AS k, min(user_id) AS uid FROM shop_users GROUP BY 1"),
+    ("fresh", """SELECT k, (SELECT max(user_id) FROM shop_users) + row_number() OVER (ORDER BY first_pid) AS uid
+FROM (SELECT k, min(payload_id) AS first_pid FROM acc WHERE k NOT IN (SELECT k FROM known) GROUP BY k) x"""),
+]
+
+
 def _recursive(sql: str) -> str:
     return "WITH RECURSIVE " + sql[len("WITH "):]
 
@@ -50,6 +129,26 @@ SELECT e.seq, e.user_id, e.cart_id, e.variant_id, e.quantity,
        coalesce(e.pre IS NULL AND r.ok, false) AS accepted,
        CASE WHEN e.pre IS NOT NULL THEN e.pre WHEN NOT r.ok THEN 'insufficient stock' END AS reason
 FROM ev e LEFT JOIN r ON r.seq = e.seq AND r.rn > 0""", extra=CART_FOLD))
+    q["p_bulk_checkout"] = _recursive(with_shop(
+        ["users", "cart", "cart_items", "product_variants", "orders"], """
+SELECT o.user_id, o.cart_id, o.reason IS NULL AS accepted, o.reason,
+       CASE WHEN o.reason IS NULL THEN (SELECT max(order_id) FROM shop_orders)
+            + row_number() OVER (PARTITION BY o.reason IS NULL ORDER BY o.cart_id) END AS order_id,
+       CASE WHEN o.reason IS NULL THEN t.total END AS total_amount
+FROM outcome o LEFT JOIN (SELECT cart_id, CAST(sum(quantity * price) AS DECIMAL(38,2)) AS total
+                          FROM lines GROUP BY cart_id) t ON t.cart_id = o.cart_id""", extra=CHECKOUT_FOLD))
+    q["w_order_intake"] = _recursive(with_shop(
+        ["users", "product_variants", "sizes", "colors", "orders"], """
+SELECT v.payload_id, v.reason IS NULL AS accepted, v.reason,
+       CASE WHEN v.reason IS NULL THEN (SELECT max(order_id) FROM shop_orders)
+            + row_number() OVER (PARTITION BY v.reason IS NULL ORDER BY v.payload_id) END AS order_id,
+       coalesce(kn.uid, fr.uid) AS user_id, h.client_total,
+       CASE WHEN v.reason IS NULL THEN t.total END AS computed_total
+FROM verdict v JOIN headers h ON h.payload_id = v.payload_id
+LEFT JOIN acc a ON a.payload_id = v.payload_id
+LEFT JOIN known kn ON kn.k = a.k LEFT JOIN fresh fr ON fr.k = a.k
+LEFT JOIN (SELECT payload_id, CAST(sum(CAST(quantity AS INT) * CAST(price AS DECIMAL(10,2))) AS DECIMAL(38,2)) AS total
+           FROM why GROUP BY payload_id) t ON t.payload_id = v.payload_id""", extra=INTAKE_FOLD))
     q["s_cart_merge"] = _recursive(with_shop(["cart", "cart_items", "product_variants"], """
 SELECT coalesce(h.cart_id, a.cart_id) AS cart_id, coalesce(h.variant_id, a.variant_id) AS variant_id,
        CAST(coalesce(h.quantity, 0) + coalesce(a.q, 0) AS INT) AS quantity

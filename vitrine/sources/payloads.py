@@ -54,7 +54,8 @@ def driver_order_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     The customer carries the shop user's e-mail, except household customers,
     who check out as guests (blank e-mail); items name a product with size and
     colour on odd line numbers and leave them blank on even ones (so the
-    intake falls back to the product's first variant).
+    intake falls back to the product's first variant); the client price is
+    the part's list price.
     """
     orders = read_driver(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
     customer = read_driver(spark, sf_dir, "customer")
@@ -86,7 +87,7 @@ def driver_order_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
                      F.when(odd, F.split_part(F.col("p_name"), F.lit(" "), F.lit(1)))
                       .otherwise(F.lit("")).alias("color"),
                      F.col("l_quantity").alias("quantity"),
-                     F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).alias("price")))
+                     F.col("p_retailprice").alias("price")))
     return headers, items
 
 
