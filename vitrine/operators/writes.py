@@ -208,7 +208,8 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
                                         F.col("quantity_i").alias("quantity"),
                                         F.col("price_d").alias("price")),
                         shop.order_details, "order_detail_id",
-                        [F.col("order_id").asc(), F.col("pos").asc(), F.col("variant_id").asc()]
+                        [F.col("order_id").asc(), F.col("pos").asc(), F.col("variant_id").asc(),
+                         F.col("quantity").asc(), F.col("price").asc()]
                         ).drop("pos")
     taken = details.groupBy("variant_id").agg(F.sum("quantity").alias("_t"))
     stock = (shop.product_variants.join(taken, "variant_id", "left")

@@ -51,6 +51,12 @@ def allocate_in_order(lines: DataFrame, capacity: DataFrame, res_keys: list[str]
     while True:
         rnd += 1
         live = req.join(status.filter(F.col("st") != REJECTED).select("req_id", "st"), "req_id")
+        if rnd > 1:
+            # Only resources that still carry an undecided request need new
+            # running sums; every line of an undecided request is on one of them.
+            open_res = (req.join(status.filter(F.col("st") == UNDECIDED).select("req_id"),
+                                 "req_id", "left_semi").select(*res_keys).distinct())
+            live = live.join(open_res, res_keys, "left_semi")
         live = live.withColumn("_acc", F.when(F.col("st") == ACCEPTED, F.col("qty"))
                                .otherwise(F.lit(0)).cast("long"))
         scanned = prefix_sum(live, res_keys, [F.col("seq").asc()], ["qty", "_acc"],
