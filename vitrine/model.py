@@ -91,6 +91,13 @@ class Shop:
             self._dims[name] = bounded_broadcast(getattr(self, name), DIMENSION_ROW_LIMIT)
         return self._dims[name]
 
+    def bounded(self, name: str, build) -> DataFrame:
+        """A derived dimension (e.g. variants with their product columns),
+        broadcast only after its row count is checked, once per snapshot."""
+        if name not in self._dims:
+            self._dims[name] = bounded_broadcast(build(), DIMENSION_ROW_LIMIT)
+        return self._dims[name]
+
     def with_tables(self, **tables: DataFrame) -> "Shop":
         """A new snapshot with some tables replaced (write path output)."""
         return replace(self, _dims={}, **tables)

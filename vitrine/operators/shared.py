@@ -86,5 +86,7 @@ def variant_dim(shop: Shop) -> DataFrame:
     """One row per variant with its size, colour and product columns, so a
     fact table joins the whole dimension once on variant_id (a star join
     written dimension-first: the fact is shuffled once, not per dimension)."""
-    prod = shop.products.select("product_id", F.col("name").alias("product_name"))
-    return variants_named(shop).join(prod, "product_id")
+    def build() -> DataFrame:
+        prod = shop.products.select("product_id", F.col("name").alias("product_name"))
+        return variants_named(shop).join(prod, "product_id")
+    return shop.bounded("variant_dim", build)
