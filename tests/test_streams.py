@@ -36,3 +36,12 @@ def test_order_totals_stream_equals_recompute(spark, shop_small):
     # Every order's lines arrive, then Cancelled orders' lines leave.
     batch = C.t_order_total_recompute(b["lines_after"], shop_small.order_details, b["deleted"])
     assert rows(streamed, ["order_id", "total_amount"]) == rows(batch, ["order_id", "total_amount"])
+
+
+def test_order_totals_stream_resumes_after_restart(spark, shop_small):
+    steps = S.line_feed_steps(shop_small)
+    root = S.scratch(spark, "restart-test")
+    S.s_order_totals(shop_small, steps[:1], root=root)        # first arrival, then stop
+    resumed = S.s_order_totals(shop_small, steps[1:], root=root)
+    once = S.s_order_totals(shop_small)
+    assert rows(resumed, ["order_id", "total_amount"]) == rows(once, ["order_id", "total_amount"])

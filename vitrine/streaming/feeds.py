@@ -18,7 +18,8 @@ job must equal its batch twin once all input is processed:
   sum would count rejected events).
 
 State tables live under the shared checkpoint folder
-(``spark.checkpoint.dir``). Micro-batch ``b`` reads version ``b-1`` and writes
+(``spark.checkpoint.dir``), or under a caller-given ``root`` so that a restarted
+driver resumes the same stream. Aggregation state uses the RocksDB state store. Micro-batch ``b`` reads version ``b-1`` and writes
 version ``b``, so a retried batch rewrites the same version (idempotent), and
 the stream's own checkpoint makes restarts resume where they stopped. Feeds are
 processed with ``trigger(availableNow=True)``: each arriving step of the feed
@@ -27,6 +28,7 @@ is one run of the same query.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,8 +49,21 @@ class VersionedTable:
 
     def __init__(self, spark: SparkSession, path: str, seed: DataFrame):
         self.spark, self.path = spark, path
-        seed.write.mode("overwrite").parquet(self._dir(-1))
-        self.last = -1
+        found = self._discover()
+        if found is None:
+            seed.write.mode("overwrite").parquet(self._dir(-1))
+            found = -1
+        self.last = found
+
+    def _discover(self) -> int | None:
+        """Latest version already written under ``path`` (a restart), from the
+        file listing of the ``v=N`` folders; None for a new table."""
+        try:
+            files = self.spark.read.parquet(self.path).inputFiles()
+        except Exception:  # noqa: BLE001 - no table yet
+            return None
+        versions = [int(m.group(1)) for m in (re.search(r"/v=(\d+)/", f) for f in files) if m]
+        return max(versions) - 1 if versions else None
 
     def _dir(self, b: int) -> str:
         return f"{self.path}/v={b + 1:010d}"
@@ -69,6 +84,19 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base}/vitrine-streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
+STATE_PROVIDER_CONF = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb_state(spark: SparkSession) -> None:
+    """Keep streaming state in RocksDB (on local disk, checkpointed to the
+    shared folder) rather than on the JVM heap, unless the session already
+    chose a provider: per-order state grows with the number of orders."""
+    current = spark.conf.get(STATE_PROVIDER_CONF, None)
+    if not current or current.endswith("HDFSBackedStateStoreProvider"):
+        spark.conf.set(STATE_PROVIDER_CONF, ROCKSDB_PROVIDER)
+
+
 def run_steps(spark: SparkSession, steps: list[DataFrame], schema: T.StructType, root: str,
               start_query) -> None:
     """Append each feed step to the feed folder, then run the stream until it
@@ -104,9 +132,10 @@ def line_feed_steps(shop: Shop) -> list[DataFrame]:
             lines.join(cancelled, "order_id", "left_semi").withColumn("sign", F.lit(-1))]
 
 
-def s_order_totals(shop: Shop, steps: list[DataFrame] | None = None) -> DataFrame:
+def s_order_totals(shop: Shop, steps: list[DataFrame] | None = None,
+                   root: str | None = None) -> DataFrame:
     spark = shop.spark
-    root = scratch(spark, "order-totals")
+    root = root or scratch(spark, "order-totals")
     table = VersionedTable(spark, f"{root}/totals", spark.createDataFrame(
         [], T.StructType([T.StructField("order_id", T.LongType()),
                           T.StructField("total_amount", T.DecimalType(38, 2))])))
@@ -114,6 +143,8 @@ def s_order_totals(shop: Shop, steps: list[DataFrame] | None = None) -> DataFram
     def upsert(batch: DataFrame, b: int) -> None:
         table.write(b, _merge(table.read(b - 1), batch, ["order_id"]))
 
+    use_rocksdb_state(spark)
+
     def start(stream: DataFrame, ckpt: str):
         agg = (stream.groupBy("order_id")
                .agg(F.sum(F.col("sign") * F.col("quantity") * F.col("price")).cast(TOTAL)
@@ -125,11 +156,12 @@ def s_order_totals(shop: Shop, steps: list[DataFrame] | None = None) -> DataFram
     return table.latest()
 
 
-def s_stock_ledger(shop: Shop, steps: list[DataFrame] | None = None) -> DataFrame:
+def s_stock_ledger(shop: Shop, steps: list[DataFrame] | None = None,
+                   root: str | None = None) -> DataFrame:
     """Stock per variant: seed stock - sum(sign * quantity) of the feed; lines
     of unknown variants change nothing (the trigger's join skips them)."""
     spark = shop.spark
-    root = scratch(spark, "stock-ledger")
+    root = root or scratch(spark, "stock-ledger")
     seed = shop.product_variants.select("variant_id", F.col("stock").cast("long").alias("stock"))
     table = VersionedTable(spark, f"{root}/stock", seed)
     static = shop.product_variants.select("variant_id", F.col("stock").cast("long").alias("_s0"))
@@ -139,6 +171,8 @@ def s_stock_ledger(shop: Shop, steps: list[DataFrame] | None = None) -> DataFram
             "variant_id", (F.col("_s0") - F.col("_taken")).alias("stock"))
         table.write(b, _merge(table.read(b - 1), updated, ["variant_id"]))
 
+    use_rocksdb_state(spark)
+
     def start(stream: DataFrame, ckpt: str):
         agg = stream.groupBy("variant_id").agg(
             F.sum(F.col("sign") * F.col("quantity")).cast("long").alias("_taken"))
@@ -164,11 +198,12 @@ def status_feed_steps(shop: Shop) -> list[DataFrame]:
             .select("order_id", F.lit(CANCELLED).alias("status"), F.lit(2).cast("long").alias("seq"))]
 
 
-def s_cancel_restores(shop: Shop, steps: list[DataFrame] | None = None) -> DataFrame:
+def s_cancel_restores(shop: Shop, steps: list[DataFrame] | None = None,
+                      root: str | None = None) -> DataFrame:
     """Quantities given back per variant, once per transition into Cancelled
     (a first sighting of an order is an insert, not a transition)."""
     spark = shop.spark
-    root = scratch(spark, "cancel-restores")
+    root = root or scratch(spark, "cancel-restores")
     last = VersionedTable(spark, f"{root}/last-status",
                           spark.createDataFrame([], "order_id long, status string"))
     restored = VersionedTable(spark, f"{root}/restored",
@@ -219,9 +254,9 @@ def cart_feed_steps(events: DataFrame) -> list[DataFrame]:
     return [ev.filter(F.col("seq") <= mid), ev.filter(F.col("seq") > mid)]
 
 
-def s_cart_merge(shop: Shop, steps: list[DataFrame]) -> DataFrame:
+def s_cart_merge(shop: Shop, steps: list[DataFrame], root: str | None = None) -> DataFrame:
     spark = shop.spark
-    root = scratch(spark, "cart-merge")
+    root = root or scratch(spark, "cart-merge")
     table = VersionedTable(spark, f"{root}/cart-items", shop.cart_items)
 
     def apply(batch: DataFrame, b: int) -> None:
