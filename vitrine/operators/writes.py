@@ -276,7 +276,8 @@ def w_product_upsert(shop: Shop, payloads: DataFrame) -> dict[str, DataFrame]:
     rows = _resolve_names(rows.withColumn("name", F.col("category")), cats, "category_id", "category_id")
     new_products = rows.select(
         "product_id", F.col("_name").alias("name"),
-        F.when(F.trim(F.coalesce(F.col("description"), F.lit(""))) != "",
+        # A missing or empty description is NULL; blanks trim to ''.
+        F.when(F.coalesce(F.col("description"), F.lit("")) != "",
                F.trim(F.col("description"))).alias("description"),
         F.col("brand_id").cast("int"), F.col("category_id").cast("int"),
         F.lit(None).cast(shop.products.schema["created_at"].dataType).alias("created_at"))
