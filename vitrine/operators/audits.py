@@ -153,7 +153,8 @@ def c_range(shop: Shop) -> DataFrame:
 def c_foreign_keys(shop: Shop) -> DataFrame:
     parts = []
     for child, col, parent, pcol, _action in FOREIGN_KEYS:
-        keys = _table(shop, parent).select(F.col(pcol).alias("_pk")).distinct()
+        # An anti join ignores duplicate keys on its right side: no distinct.
+        keys = _table(shop, parent).select(F.col(pcol).alias("_pk"))
         orphan = (_table(shop, child).filter(F.col(col).isNotNull())
                   .join(keys, F.col(col) == F.col("_pk"), "left_anti"))
         parts.append(_report(orphan, "c_foreign_keys", child, _key(PRIMARY_KEYS[child]),
