@@ -47,9 +47,9 @@ CANCELLED = "Cancelled"
 class VersionedTable:
     """A table rewritten once per micro-batch: version b-1 in, version b out."""
 
-    def __init__(self, spark: SparkSession, path: str, seed: DataFrame):
+    def __init__(self, spark: SparkSession, path: str, seed: DataFrame, resume: bool = False):
         self.spark, self.path = spark, path
-        found = self._discover()
+        found = self._discover() if resume else None
         if found is None:
             seed.write.mode("overwrite").parquet(self._dir(-1))
             found = -1
@@ -135,8 +135,9 @@ def line_feed_steps(shop: Shop) -> list[DataFrame]:
 def s_order_totals(shop: Shop, steps: list[DataFrame] | None = None,
                    root: str | None = None) -> DataFrame:
     spark = shop.spark
+    resume = root is not None
     root = root or scratch(spark, "order-totals")
-    table = VersionedTable(spark, f"{root}/totals", spark.createDataFrame(
+    table = VersionedTable(spark, f"{root}/totals", resume=resume, seed=spark.createDataFrame(
         [], T.StructType([T.StructField("order_id", T.LongType()),
                           T.StructField("total_amount", T.DecimalType(38, 2))])))
 
@@ -161,9 +162,10 @@ def s_stock_ledger(shop: Shop, steps: list[DataFrame] | None = None,
     """Stock per variant: seed stock - sum(sign * quantity) of the feed; lines
     of unknown variants change nothing (the trigger's join skips them)."""
     spark = shop.spark
+    resume = root is not None
     root = root or scratch(spark, "stock-ledger")
     seed = shop.product_variants.select("variant_id", F.col("stock").cast("long").alias("stock"))
-    table = VersionedTable(spark, f"{root}/stock", seed)
+    table = VersionedTable(spark, f"{root}/stock", resume=resume, seed=seed)
     static = shop.product_variants.select("variant_id", F.col("stock").cast("long").alias("_s0"))
 
     def upsert(batch: DataFrame, b: int) -> None:
@@ -203,11 +205,12 @@ def s_cancel_restores(shop: Shop, steps: list[DataFrame] | None = None,
     """Quantities given back per variant, once per transition into Cancelled
     (a first sighting of an order is an insert, not a transition)."""
     spark = shop.spark
+    resume = root is not None
     root = root or scratch(spark, "cancel-restores")
     last = VersionedTable(spark, f"{root}/last-status",
-                          spark.createDataFrame([], "order_id long, status string"))
+                          spark.createDataFrame([], "order_id long, status string"), resume)
     restored = VersionedTable(spark, f"{root}/restored",
-                              spark.createDataFrame([], "variant_id long, restored long"))
+                              spark.createDataFrame([], "variant_id long, restored long"), resume)
     lines = shop.order_details.select("order_id", "variant_id", "quantity")
 
     def apply(batch: DataFrame, b: int) -> None:
@@ -256,8 +259,9 @@ def cart_feed_steps(events: DataFrame) -> list[DataFrame]:
 
 def s_cart_merge(shop: Shop, steps: list[DataFrame], root: str | None = None) -> DataFrame:
     spark = shop.spark
+    resume = root is not None
     root = root or scratch(spark, "cart-merge")
-    table = VersionedTable(spark, f"{root}/cart-items", shop.cart_items)
+    table = VersionedTable(spark, f"{root}/cart-items", resume=resume, seed=shop.cart_items)
 
     def apply(batch: DataFrame, b: int) -> None:
         state = shop.with_tables(cart_items=table.read(b - 1))
