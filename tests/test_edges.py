@@ -161,3 +161,27 @@ def test_global_rank_with_ties(spark):
     df = spark.createDataFrame([(1, 10), (2, 30), (3, 30), (4, 0), (5, 0), (6, 20)], "id long, v long")
     got = {r.id: r.ranking for r in global_rank(df, "v").collect()}
     assert got == {2: 1, 3: 1, 6: 3, 1: 4, 4: 5, 5: 5}
+
+
+def test_prefix_sum_carries_across_arrow_batches(spark):
+    # Many keys per partition and tiny Arrow batches: sums must carry across
+    # batch boundaries inside a partition and across partitions.
+    rows = [(k, i, (k * 7 + i) % 5 + 1) for k in range(12) for i in range(120)]
+    rows += [(99, i, 1) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k long, o long, v long").repartition(5)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        out = prefix_sum(df, ["k"], [F.col("o").asc()], ["v", "v"], ["run", "run2"],
+                         num_partitions=6)
+        got = {(r.k, r.o): (r.run, r.run2) for r in out.collect()}
+        glob = {r.o: r.g for r in prefix_sum(df.filter("k = 99"), [], [F.col("o").desc()], "v", "g",
+                                             inclusive=False, num_partitions=4).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want, run = {}, {}
+    for k, o, v in sorted(rows):
+        run[k] = run.get(k, 0) + v
+        want[(k, o)] = (run[k], run[k])
+    assert got == want
+    assert glob == {o: 1999 - o for o in range(2000)}

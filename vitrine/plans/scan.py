@@ -16,7 +16,8 @@ is split across many partitions:
 4. the offsets are added back by a broadcast join.
 
 The ordering must be total inside a key (unique ``keys + order``) for the
-result to be deterministic, as with any running sum.
+result to be deterministic, as with any running sum, and key columns must not
+be NULL.
 """
 
 from __future__ import annotations
