@@ -158,3 +158,15 @@ def test_order_status_update_sets_latest_payment_or_adds_one(spark):
     pays = {r.payment_id: (r.order_id, r.method, r.status) for r in res["payments"].collect()}
     assert pays == {10: (1, "COD", "Pending"), 11: (1, "Bank", "Paid"), 12: (2, "Bank", "Pending")}
     assert {r.seq: r.accepted for r in res["outcome"].collect()} == {1: True, 2: True, 3: False}
+
+
+def test_order_only_and_payment_only_edits(spark):
+    s = shop(spark, orders=[(1, 1, None, "Pending", D("1")), (2, 1, None, "Pending", D("1"))],
+             payments=[(10, 1, "COD", "Pending")])
+    u = spark.createDataFrame([(1, 1, "cancelled", None, None), (2, 2, None, "paid", "bank")],
+                              "seq long, order_id long, order_status string, payment_status string, "
+                              "payment_method string")
+    res = W.w_order_status_update(s, u)
+    assert {r.order_id: r.status for r in res["orders"].collect()} == {1: "Cancelled", 2: "Pending"}
+    pays = {r.payment_id: (r.order_id, r.method, r.status) for r in res["payments"].collect()}
+    assert pays == {10: (1, "COD", "Pending"), 11: (2, "Bank", "Paid")}

@@ -362,22 +362,26 @@ def w_order_status_update(shop: Shop, updates: DataFrame) -> dict[str, DataFrame
     """Admin order edits (seq, order_id, order_status, payment_status,
     payment_method): statuses are normalised and mapped to stored values; the
     order's status is set; the latest payment's status is set, or a payment
-    is added when the order has none. Unknown orders are rejected; per order
-    the last edit wins."""
+    is added when the order has none. A NULL status leaves that part alone
+    (the order-only and payment-only edits). Unknown orders are rejected; per
+    order the last edit wins."""
     exists = shop.orders.select("order_id").withColumn("_exists", F.lit(True))
     u = (updates.join(exists, "order_id", "left")
          .withColumn("reason", F.when(F.col("_exists").isNull(), F.lit("order not found"))))
     good = u.filter(F.col("reason").isNull())
     last = good.groupBy("order_id").agg(F.max("seq").alias("seq"))
     final = good.join(last, ["order_id", "seq"]).select(
-        "order_id", labels.db_order_status(F.col("order_status")).alias("_status"),
-        labels.db_payment_status(F.col("payment_status")).alias("_pay_status"),
+        "order_id",
+        F.when(F.col("order_status").isNotNull(), labels.db_order_status(F.col("order_status")))
+        .alias("_status"),
+        F.when(F.col("payment_status").isNotNull(),
+               labels.db_payment_status(F.col("payment_status"))).alias("_pay_status"),
         labels.db_payment_method(F.col("payment_method")).alias("_pay_method"))
     orders = (shop.orders.join(final.select("order_id", "_status"), "order_id", "left")
               .withColumn("status", F.coalesce(F.col("_status"), F.col("status"))).drop("_status")
               .select(*shop.orders.columns))
     latest = shop.payments.groupBy("order_id").agg(F.max("payment_id").alias("payment_id"))
-    target = final.join(latest, "order_id", "left")
+    target = final.filter(F.col("_pay_status").isNotNull()).join(latest, "order_id", "left")
     set_rows = target.filter(F.col("payment_id").isNotNull()).select("payment_id", "_pay_status")
     payments = (shop.payments.join(set_rows, "payment_id", "left")
                 .withColumn("status", F.coalesce(F.col("_pay_status"), F.col("status")))
