@@ -55,3 +55,22 @@ def test_best_seller_has_no_window_by_category(shop_small):
     plan = _plan(R.q16_best_seller_per_category(shop_small))
     windows = [line for line in plan.splitlines() if "windowspecdefinition" in line.lower()]
     assert all("category_id" not in w for w in windows)
+
+
+def test_bounded_broadcast_only_under_the_limit(spark):
+    from vitrine.plans.broadcast import bounded_broadcast
+    small = spark.range(5)
+    big = spark.range(50)
+    assert "broadcast" in _plan(big.join(bounded_broadcast(small, 10), "id")).lower()
+    assert bounded_broadcast(big, 10) is big
+
+
+def test_next_keys_follow_the_largest_id_in_order(spark):
+    from vitrine.plans.keys import next_keys
+    existing = spark.createDataFrame([(7,), (3,)], "id long")
+    new = spark.createDataFrame([("c",), ("a",), ("b",)], "name string").repartition(3)
+    got = {r.name: r.id for r in next_keys(new, existing, "id", [F.col("name").asc()]).collect()}
+    assert got == {"a": 8, "b": 9, "c": 10}
+    empty = existing.limit(0)
+    got = {r.name: r.id for r in next_keys(new, empty, "id", [F.col("name").desc()]).collect()}
+    assert got == {"c": 1, "b": 2, "a": 3}
