@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .oracle import with_shop
-from .operators import audits as A
+from . import with_shop
+from ..operators import audits as A
 
 
 def _key(cols):

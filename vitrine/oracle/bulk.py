@@ -4,7 +4,7 @@ a sequential replay in the tests instead."""
 
 from __future__ import annotations
 
-from .oracle import with_shop
+from . import with_shop
 
 PURCHASE_FEED = """SELECT event_id AS seq, user_id,
        (event_id * 31) % (SELECT count(*) FROM part WHERE p_partkey % 4 = 0) AS product_id,

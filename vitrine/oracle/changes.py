@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import with_shop
+from . import with_shop
 
 BATCHES = [
     ("ins", "SELECT od.* FROM shop_order_details od WHERE od.order_id IN "

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import with_shop
+from . import with_shop
 
 PRODUCT_LIST = """SELECT CAST(p.product_id AS VARCHAR) AS id, p.product_id, coalesce(p.name, '') AS name,
        coalesce(p.description, '') AS description, coalesce(c.name, '') AS category, coalesce(b.name, '') AS brand,

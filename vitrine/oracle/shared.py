@@ -3,8 +3,8 @@ label maps."""
 
 from __future__ import annotations
 
-from .functions.sizes import CLOTHING_CHART, SHOE_CHART
-from .oracle import with_shop
+from ..functions.sizes import CLOTHING_CHART, SHOE_CHART
+from . import with_shop
 
 
 def _chart_values() -> str:

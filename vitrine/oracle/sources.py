@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .model import TABLES
-from .oracle import with_shop
-from .oracle_documents import oracle as documents_oracle
-from .oracle_writes import HEADERS
+from ..model import TABLES
+from . import with_shop
+from .documents import oracle as documents_oracle
+from .writes import HEADERS
 
 
 def oracle() -> dict[str, str]:

@@ -3,7 +3,7 @@ a batch aggregate over the whole feed."""
 
 from __future__ import annotations
 
-from .oracle import with_shop
+from . import with_shop
 
 LINE_FEED = """SELECT order_id, variant_id, quantity, price, 1 AS sign FROM shop_order_details
 UNION ALL SELECT order_id, variant_id, quantity, price, -1 FROM shop_order_details

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracle import with_shop
+from . import with_shop
 
 HEADERS = """SELECT o_orderkey AS payload_id, c_name AS name,
        CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,

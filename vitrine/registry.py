@@ -319,26 +319,26 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .oracle_reports import oracle as reports_oracle
+    from .oracle.reports import oracle as reports_oracle
     sql: dict[str, str] = {}
-    from .oracle_views import oracle as views_oracle
+    from .oracle.views import oracle as views_oracle
     sql.update(reports_oracle())
     sql.update(views_oracle())
-    from .oracle_documents import oracle as documents_oracle
+    from .oracle.documents import oracle as documents_oracle
     sql.update(documents_oracle())
-    from .oracle_audits import oracle as audits_oracle
+    from .oracle.audits import oracle as audits_oracle
     sql.update(audits_oracle())
-    from .oracle_changes import oracle as changes_oracle
+    from .oracle.changes import oracle as changes_oracle
     sql.update(changes_oracle())
-    from .oracle_bulk import oracle as bulk_oracle
+    from .oracle.bulk import oracle as bulk_oracle
     sql.update(bulk_oracle())
-    from .oracle_streams import oracle as streams_oracle
+    from .oracle.streams import oracle as streams_oracle
     sql.update(streams_oracle())
-    from .oracle_writes import oracle as writes_oracle
+    from .oracle.writes import oracle as writes_oracle
     sql.update(writes_oracle())
-    from .oracle_sources import oracle as sources_oracle
+    from .oracle.sources import oracle as sources_oracle
     sql.update(sources_oracle())
-    from .oracle_shared import oracle as shared_oracle
+    from .oracle.shared import oracle as shared_oracle
     sql.update(shared_oracle())
     known = set(_operators())
     return {k: _encode_sql(k, v) for k, v in sql.items() if k in known}
