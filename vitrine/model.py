@@ -12,7 +12,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .plans.broadcast import bounded_broadcast
+from pyspark.sql import functions as F
+
+from .plans.broadcast import bounded_broadcast, is_bounded
 
 TABLES = (
     "users", "brands", "categories", "colors", "sizes", "products",
@@ -95,9 +97,18 @@ class Shop:
         """A derived dimension (e.g. variants with their product columns),
         broadcast only after its row count is checked, once per snapshot."""
         if name not in self._dims:
-            self._dims[name] = bounded_broadcast(build(), DIMENSION_ROW_LIMIT)
+            df = build()
+            small = is_bounded(df, DIMENSION_ROW_LIMIT)
+            self._dims[name] = F.broadcast(df) if small else df
+            self._dims[name + ":small"] = small
         return self._dims[name]
 
+    def broadcast_like(self, name: str, df: DataFrame) -> DataFrame:
+        """Broadcast ``df`` when it has no more rows than the checked derived
+        dimension ``name`` (the caller guarantees that: only joins on a unique
+        key were added) and that dimension was proven small."""
+        return F.broadcast(df) if self._dims.get(name + ":small") else df
+
     def with_tables(self, **tables: DataFrame) -> "Shop":
         """A new snapshot with some tables replaced (write path output)."""
         return replace(self, _dims={}, **tables)

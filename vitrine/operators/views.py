@@ -93,7 +93,8 @@ def v_order_item_detail(shop: Shop) -> DataFrame:
                     "user_id"))
     vdim = (shared.variant_dim(shop)
             .select("variant_id", "product_id", "product_name", "size_name", "color_name")
-            .join(_image(shop, "img"), "product_id", "left"))
+            .join(_image(shop, "img"), "product_id", "left"))  # one image row per product
+    vdim = shop.broadcast_like("variant_dim", vdim)
     rows = shop.order_details.join(header, "order_id").join(vdim, "variant_id")
     return rows.select(
         "order_detail_id", "order_id", "order_date", "order_status", "user_id",
@@ -186,7 +187,8 @@ def v_customer_cart_detail(shop: Shop, as_of=None) -> DataFrame:
             .select("variant_id", "product_id", "product_name", "size_name", "color_name",
                     "price", "stock")
             .join(shared.agg_active_discount(shop, as_of), "product_id", "left")
-            .join(_image(shop, "img"), "product_id", "left"))
+            .join(_image(shop, "img"), "product_id", "left"))  # one row per product each
+    vdim = shop.broadcast_like("variant_dim", vdim)
     rows = shop.cart_items.join(header, "cart_id").join(vdim, "variant_id")
     d = F.coalesce(F.col("max_discount_percent"), F.lit(0))
     return rows.select(

@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def is_bounded(df: DataFrame, limit: int) -> bool:
+    """True when ``df`` has at most ``limit`` rows (counts at most limit + 1)."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if is_bounded(df, limit) else df
 
 
 def broadcast_small_constant(df: DataFrame) -> DataFrame:
