@@ -170,3 +170,15 @@ def test_order_only_and_payment_only_edits(spark):
     assert {r.order_id: r.status for r in res["orders"].collect()} == {1: "Cancelled", 2: "Pending"}
     pays = {r.payment_id: (r.order_id, r.method, r.status) for r in res["payments"].collect()}
     assert pays == {10: (1, "COD", "Pending"), 11: (2, "Bank", "Paid")}
+
+
+def test_payload_without_customer_or_items_is_rejected(spark):
+    s = shop(spark)
+    no_customer = payload(1, [("2", "S", "Red", 1, 1.0)])
+    no_customer["customer"] = None
+    no_items = payload(2, [])
+    no_items["items"] = None
+    ok = payload(3, [("2", "S", "Red", 1, 1.0)])
+    headers, items = P.explode_order_payloads(write_payloads(spark, [no_customer, no_items, ok]))
+    out = {r.payload_id: (r.accepted, r.reason) for r in W.w_order_intake(s, headers, items)["outcome"].collect()}
+    assert out == {1: (False, "invalid payload"), 2: (False, "invalid payload"), 3: (True, None)}
