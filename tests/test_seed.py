@@ -82,3 +82,20 @@ def test_seed_audit_contradictions(seed):
     for audit in (A.c_unique, A.c_domain, A.c_foreign_keys, A.c_not_null, A.c_length):
         assert audit(seed).count() == 0, audit.__name__
     assert A.c_range(seed).filter(F.col("tbl") != "reviews").count() == 0
+
+
+def test_delete_cascade_walks_the_key_graph(seed):
+    report = A.c_delete_cascade(seed, {
+        "products": seed.products.filter("product_id = 1"),
+        "brands": seed.brands.filter("brand_id = 1")})
+    got = {}
+    for r in report.collect():
+        got.setdefault((r.tbl, r.detail), set()).add(r.key)
+    assert got[("product_variants", "cascade from products")] == {"1", "2", "3"}
+    assert got[("product_sales", "cascade from products")] == {"1,1"}
+    assert got[("product_images", "cascade from products")] == {"1", "2"}
+    assert got[("reviews", "cascade from products")] == {"1"}
+    # Variants 1 and 3 are in cart 1; variants 1 and 2 were ordered (lines 1, 2).
+    assert got[("cart_items", "cascade from product_variants")] == {"1", "2"}
+    assert got[("order_details", "cascade from product_variants")] == {"1", "2"}
+    assert got[("products", "set null brand_id")] == {"1", "5", "10", "14", "16"}
