@@ -99,3 +99,23 @@ def test_delete_cascade_walks_the_key_graph(seed):
     assert got[("cart_items", "cascade from product_variants")] == {"1", "2"}
     assert got[("order_details", "cascade from product_variants")] == {"1", "2"}
     assert got[("products", "set null brand_id")] == {"1", "5", "10", "14", "16"}
+
+
+def test_guards_per_row_and_whole_batch(seed):
+    cands = seed.products.filter(F.col("product_id").isin(1, 7))   # 1 was sold, 7 was not
+    per_row = {r.product_id: r.blocked for r in
+               C.t_sold_product_delete_guard(cands, seed.product_variants, seed.order_details).collect()}
+    assert per_row == {1: True, 7: False}
+    batch = {r.product_id: r.blocked for r in C.t_sold_product_delete_guard(
+        cands, seed.product_variants, seed.order_details, mode="batch").collect()}
+    assert batch == {1: True, 7: True}
+    # User 2 bought product 1 in a Completed order: that review passes per row,
+    # but the whole batch fails with the seed's other reviews.
+    new = seed.spark.createDataFrame([(2, 1, 5, "tuyệt vời")], "user_id long, product_id long, "
+                                     "rating int, comment string")
+    ok = C.t_review_purchase_check(new, seed.orders, seed.order_details, seed.product_variants)
+    assert [r.allowed for r in ok.collect()] == [True]
+    both = new.unionByName(seed.reviews.select("user_id", "product_id", "rating", "comment"))
+    whole = C.t_review_purchase_check(both, seed.orders, seed.order_details, seed.product_variants,
+                                      mode="batch")
+    assert {r.allowed for r in whole.collect()} == {False}
