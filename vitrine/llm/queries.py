@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import substring
+from . import decontaminate, packing, substring
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_decontaminate": decontaminate.op2,
         "op4_substring_dedup": substring.op4,
+        "op10_harmonic_packing": packing.op10,
     }
 
 
