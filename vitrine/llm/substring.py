@@ -215,7 +215,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     n = C.partitions(docs.sparkSession)
     keyed = _keyed(docs)
     blocks = keyed.mapInArrow(_block_rows(window, gram), "block long, id long, th int")
-    index = (blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # The second grouping key only makes the counted blocks be dealt out again for
+    # the join, which adaptive execution can then split where a block is hot.
+    index = (blocks.groupBy("block", F.hash("block").alias("again"))
+             .agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
              .select("block", (F.col("n") > hot).alias("is_hot")))
     # At most one array entry for each block of one document.
     per_doc = (blocks.join(index, "block").groupBy("id", "th")
@@ -225,8 +228,6 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
             .select("id", "th", "text", "kept", "hot")
             .mapInArrow(_window_rows(window, gram),
                         "block long, id long, th int, begin long, hot boolean, wins array<long>"))
-    # Written once: the two paths below read it, and lost executors find it again.
-    rows = rows.checkpoint()
     cold = (rows.filter(~F.col("hot")).select("block", "id", "th", "begin", "wins")
             .repartition(n, "block").sortWithinPartitions("block")
             .mapInArrow(_check_blocks, "id long, th int, begin long, mask long"))
