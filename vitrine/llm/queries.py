@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, packing, substring
+from . import decontaminate, jaccard, packing, substring, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1,
         "op2_decontaminate": decontaminate.op2,
         "op4_substring_dedup": substring.op4,
+        "op6_jaccard_join": jaccard.op6,
         "op10_harmonic_packing": packing.op10,
     }
 
