@@ -19,6 +19,8 @@ from ..session import ensure_checkpoint_dir
 
 #: Stands for a NULL doc_id inside joins; no table uses the smallest long.
 NULL_ID = -(2 ** 63)
+#: Sets the sign of a key made from a text.
+_KEY_SIGN = -(2 ** 63)
 #: Text taken into one numpy pass; bounds a worker's memory, not the results.
 SLICE_BYTES = 2_000_000
 #: Bytes of one polynomial pass (longer texts are cut at word ends).
@@ -46,6 +48,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
+def row_key() -> Column:
+    """doc_id; for a NULL id a negative number from the text, so that documents
+    without an id are told apart by what they say."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string"))
+                      .bitwiseOR(F.lit(_KEY_SIGN)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,14 +24,15 @@ least 0.8.
    summed per document, and the links as a spanning forest: no pair is ever a row.
 5. Components of the verified links give the classes.
 
-Output, one row per document: doc_id, class_id (smallest doc_id of its class of
-linked documents), copy_of (smallest doc_id with the same shingle set), n_links
-(other documents at 0.8 or more, copies included).
+Output, one row per document: its key (the doc_id), class_key (smallest key of its
+class of linked documents), copy_key (smallest key with the same shingle set),
+n_links (other documents at 0.8 or more, copies included).
 
 Defined cases: a text without words (NULL, empty) has no shingles and is a class
 of its own with no links; repeated rows with one id are one document for classes,
-each row is a copy in the counts, and each returns its row; a NULL doc_id takes
-part like any other and is returned as NULL; other columns are not read.
+each row is a copy in the counts, and each returns its row; texts that differ under
+one id share its class; a NULL doc_id gets a negative key made from its text; other
+columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -222,13 +223,13 @@ def _verify(n: int, s: float):
 def jaccard_classes(docs: DataFrame, s: float = SIMILARITY, shingle: int = SHINGLE,
                     trees: int = TREES, depth: int = DEPTH, recall: float = RECALL,
                     block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, copy_of, n_links for every row of ``docs``."""
+    """key, class_key, copy_key, n_links for every row of ``docs``; keys are
+    ``common.row_key``."""
     spark = docs.sparkSession
     C.text_session(spark)
     n = C.partitions(spark)
     k = prefix_length(s, trees, depth, recall)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("id"),
-                        F.col("text").cast("string").alias("text"))
+    keyed = docs.select(C.row_key().alias("id"), F.col("text").cast("string").alias("text"))
     signed = keyed.mapInArrow(_signatures(shingle, trees * depth),
                               "id long, h1 long, h2 long, sig binary").checkpoint()
     copies = (signed.filter("sig is not null").groupBy("h1", "h2")
@@ -269,9 +270,8 @@ def jaccard_classes(docs: DataFrame, s: float = SIMILARITY, shingle: int = SHING
            .unionByName(back.filter("not has").select(
                "id", F.col("id").alias("class"), F.col("id").alias("rep"),
                F.lit(0).cast("long").alias("n_links"))))
-    real = lambda c: F.when(F.col(c) != C.NULL_ID, F.col(c))
-    return out.select(real("id").alias("doc_id"), real("class").alias("class_id"),
-                      real("rep").alias("copy_of"), "n_links")
+    return out.select(F.col("id").alias("key"), F.col("class").alias("class_key"),
+                      F.col("rep").alias("copy_key"), "n_links")
 
 
 def _with_hash(n: int):
@@ -285,4 +285,8 @@ def _with_hash(n: int):
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(C.table(spark, sf_dir, "documents"))
+    docs = C.table(spark, sf_dir, "documents")
+    out = jaccard_classes(docs)
+    # The ids of the table are numbers: keys are doc_ids.
+    return out.select(F.col("key").alias("doc_id"), F.col("class_key").alias("class_id"),
+                      F.col("copy_key").alias("copy_of"), "n_links")

@@ -72,10 +72,11 @@ def window_blocks(w: np.ndarray, window: int, gram: int) -> np.ndarray:
     return out
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
+    row = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("id"),
-        F.hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"))
+        F.hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"), *row)
 
 
 def _block_rows(window: int, gram: int):
@@ -175,7 +176,7 @@ def _cut(window: int):
     """Remove the covered words of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in C.slices(batches):
-            ids, ns, gone, shas, kept_text = [], [], [], [], []
+            ns, gone, shas, kept_text = [], [], [], []
             for i, text in enumerate(b.column("text").to_pylist()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 arr = np.frombuffer(raw, dtype=np.uint8)
@@ -193,28 +194,28 @@ def _cut(window: int):
                 n_gone = int(go.sum())
                 keep = np.flatnonzero(~go)
                 kept = b" ".join([raw[x:y] for x, y in zip(s[keep].tolist(), e[keep].tolist())])
-                ids.append(i)
                 ns.append(len(s))
                 gone.append(n_gone)
                 shas.append(hashlib.sha256(kept).hexdigest())
                 kept_text.append(kept.decode("utf-8", "surrogatepass") if n_gone else text)
+            row = ["row"] if "row" in b.schema.names else []
             yield pa.RecordBatch.from_arrays(
                 [b.column("id"), b.column("th"), pa.array(ns, pa.int64()),
                  pa.array(gone, pa.int64()), pa.array(shas),
-                 pa.array(kept_text, pa.string())],
-                names=["id", "th", "n_words", "n_removed", "kept_sha256", "kept_text"])
+                 pa.array(kept_text, pa.string()), *[b.column(c) for c in row]],
+                names=["id", "th", "n_words", "n_removed", "kept_sha256", "kept_text", *row])
     return run
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                     hot: int = HOT) -> DataFrame:
+                     hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
     """(id, th, begin, mask): bit j of mask marks window ``begin + j``."""
     if not 0 < window - gram + 1 <= 62:
         raise ValueError("window - gram must be between 0 and 61")
     C.text_session(docs.sparkSession)
     n = C.partitions(docs.sparkSession)
-    keyed = _keyed(docs)
-    blocks = keyed.mapInArrow(_block_rows(window, gram), "block long, id long, th int")
+    keyed = _keyed(docs, keep or [])
+    blocks = keyed.select("id", "th", "text").mapInArrow(_block_rows(window, gram), "block long, id long, th int")
     # The second grouping key only makes the counted blocks be dealt out again for
     # the join, which adaptive execution can then split where a block is hot.
     index = (blocks.groupBy("block", F.hash("block").alias("again"))
@@ -224,8 +225,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     per_doc = (blocks.join(index, "block").groupBy("id", "th")
                .agg(F.collect_list(F.struct("block", "is_hot")).alias("b"))
                .select("id", "th", F.col("b.block").alias("kept"), F.col("b.is_hot").alias("hot")))
-    rows = (keyed.join(per_doc, ["id", "th"])
-            .select("id", "th", "text", "kept", "hot")
+    # All columns, though not all are used: the same exchange then serves the cut.
+    rows = (keyed.join(per_doc, ["id", "th"]).select(*keyed.columns, "kept", "hot")
             .mapInArrow(_window_rows(window, gram),
                         "block long, id long, th int, begin long, hot boolean, wins array<long>"))
     cold = (rows.filter(~F.col("hot")).select("block", "id", "th", "begin", "wins")
@@ -242,18 +243,22 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                    hot: int = HOT) -> DataFrame:
+                    hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
     """id, th, n_words, n_removed, kept_sha256, kept_text for every row of
-    ``docs``. kept_text is the text as it was when nothing was removed."""
-    marks = (repeated_windows(docs, window, gram, hot).groupBy("id", "th")
+    ``docs``, and a struct ``row`` of the columns named in ``keep``. kept_text is the
+    text as it was when nothing was removed."""
+    marks = (repeated_windows(docs, window, gram, hot, keep).groupBy("id", "th")
              .agg(F.collect_set(F.struct("begin", "mask")).alias("marks")))
     # Repeated rows mark the same windows: a set per document is enough.
-    joined = (_keyed(docs).join(marks, ["id", "th"], "left")
+    keyed = _keyed(docs, keep or [])
+    joined = (keyed.join(marks, ["id", "th"], "left")
               .withColumn("marks", F.coalesce("marks", F.expr(
                   "cast(array() as array<struct<begin: bigint, mask: bigint>>)"))))
-    return joined.select("id", "th", "text", "marks").mapInArrow(
-        _cut(window), "id long, th int, n_words long, n_removed long, kept_sha256 string, "
-                      "kept_text string")
+    schema = ("id long, th int, n_words long, n_removed long, kept_sha256 string, "
+              "kept_text string")
+    if keep:
+        schema += f", row {keyed.schema['row'].dataType.simpleString()}"
+    return joined.select(*keyed.columns, "marks").mapInArrow(_cut(window), schema)
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from .ftrl import Ftrl
 
-PER_CLASS = 6_000
+PER_CLASS = 4_000
 EPOCHS = 6
 MIN_DOCS = 4
 CACHE = 400_000
@@ -188,7 +188,9 @@ def word_features(text: str) -> set[str]:
 class Scorer:
     """Features of whole texts, token by token, with a bounded cache."""
 
-    def __init__(self, lm: np.ndarray, known: dict[str, int] | None = None):
+    def __init__(self, lm: np.ndarray, known: dict[str, int] | None = None,
+                 cache: int = CACHE):
+        self.size = cache
         self.table = lm.tolist()
         self.known = known
         self.cache: dict[str, frozenset] = {}
@@ -198,7 +200,7 @@ class Scorer:
         found = word_features(text)
         if self.known is not None:
             found = {self.known[x] for x in found if x in self.known}
-        if len(self.cache) >= CACHE:
+        if len(self.cache) >= self.size:
             self.cache.clear()
         got = self.cache[observed] = frozenset(found)
         return got
@@ -255,16 +257,19 @@ def fit(rows: list, lm: np.ndarray) -> tuple[dict[str, int], np.ndarray, float |
     """Feature numbers, their weights, and the intercept (None: nothing to learn)."""
     if not rows:
         return {}, np.zeros(0), None
-    scorer = Scorer(lm)
-    found = [sorted(scorer.features(t)) for t, _ in rows]
-    df: dict[str, int] = {}
-    for fs in found:
-        for f in fs:
-            df[f] = df.get(f, 0) + 1
-    names = {f: i for i, f in enumerate(sorted(f for f, c in df.items() if c >= MIN_DOCS))}
+    scorer = Scorer(lm, cache=20_000)
+    number: dict[str, int] = {}
+    found = [np.array(sorted(number.setdefault(f, len(number)) for f in scorer.features(t)),
+                      dtype=np.int32) for t, _ in rows]
+    df = np.bincount(np.concatenate(found), minlength=len(number))
+    names = {f: k for k, f in enumerate(sorted(f for f, i in number.items() if df[i] >= MIN_DOCS))}
+    renumber = np.full(len(number) + 1, -1)
+    renumber[[number[f] for f in names]] = list(names.values())
+    del number
     examples = []
-    for fs, (_, y) in zip(found, rows):
-        idx = np.array([names[f] for f in fs if f in names], dtype=np.int64)
+    for old, (_, y) in zip(found, rows):
+        idx = renumber[old]
+        idx = idx[idx >= 0]
         examples.append((idx, np.ones(len(idx)), np.array([float(y)])))
     model = Ftrl(len(names), 1, alpha=1.0, l1=3.0, l2=1.0).fit(examples, EPOCHS)
     w = model.weights()[:, 0]
