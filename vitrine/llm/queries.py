@@ -8,22 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, jaccard, packing, substring, toxicity
+from . import decontaminate, fingerprint, jaccard, packing, substring, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": toxicity.op1,
         "op2_decontaminate": decontaminate.op2,
+        "op3_fingerprints": fingerprint.op3,
         "op4_substring_dedup": substring.op4,
         "op6_jaccard_join": jaccard.op6,
+        "op9_warc": warc.op9,
         "op10_harmonic_packing": packing.op10,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    out: dict[str, str] = {}
+    out = {"op9_warc": warc.OP9_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out

@@ -222,8 +222,8 @@ class Scorer:
 
 # ---------------------------------------------------------------- the operator
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> list:
-    """(text, toxic) of a bounded sample of the labelled learning fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame | None:
+    """doc_id, text, toxic of a bounded sample of the labelled learning fold."""
     lab = (labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("toxic").cast("int").alias("toxic"))
            .filter("doc_id is not null and toxic is not null").filter(~C.held_out())
@@ -233,14 +233,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> list:
         F.col("doc_id"), C.bounded_fraction(c, per_class))).limit(2 * per_class)
         for t, c in sorted(n.items()) if t in (0, 1)]
     if not picked:
-        return []
+        return None
     chosen = picked[0] if len(picked) == 1 else picked[0].unionByName(picked[1])
     # At most four times per_class rows: bounded, so it may be broadcast.
-    rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+    return (docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                         F.col("text").cast("string").alias("text"))
-            .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").collect())
-    return [(r.text, r.toxic) for r in
-            sorted(rows, key=lambda r: (r.doc_id, r.text or ""))]
+            .join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic"))
 
 
 def decision_point(logits: np.ndarray, labels: np.ndarray) -> float:
@@ -280,6 +278,32 @@ def fit(rows: list, lm: np.ndarray) -> tuple[dict[str, int], np.ndarray, float |
             np.array([w[names[f]] for f in keep]), float(w[model.bias]))
 
 
+def _fit_task(lm: np.ndarray):
+    """``fit`` in one task: its input is bounded, only weights leave it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(b.column("text").to_pylist(),
+                                                b.column("toxic").to_pylist())]
+        names, w, bias = fit(rows, lm)
+        if bias is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*names, ""]), pa.array([*w.tolist(), bias])],
+                names=["feature", "weight"])
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, per_class: int,
+          ) -> tuple[dict[str, int], np.ndarray, float | None]:
+    rows = training_rows(docs, labels, per_class)
+    if rows is None:
+        return {}, np.zeros(0), None
+    got = (rows.repartition(1).sortWithinPartitions("doc_id", "text")
+           .mapInArrow(_fit_task(lm), "feature string, weight double").collect())
+    weights = {r.feature: r.weight for r in got}
+    bias = weights.pop("", None)
+    return ({f: k for k, f in enumerate(weights)},
+            np.array(list(weights.values()), dtype=np.float64), bias)
+
+
 def _score(lm: np.ndarray, known: dict[str, int], w: np.ndarray, bias: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(lm, known)
@@ -303,7 +327,7 @@ def scores(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None,
     """doc_id, score and the struct ``row`` of the columns named in ``keep``."""
     C.text_session(docs.sparkSession)
     lm = language_model(docs)
-    known, w, bias = fit(training_rows(docs, labels, per_class), lm)
+    known, w, bias = train(docs, labels, lm, per_class)
     kept = F.struct(*[F.col(c) for c in keep]) if keep else F.lit(0)
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                      F.col("text").cast("string").alias("text"), kept.alias("row"))
