@@ -8,7 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import decontaminate, fingerprint, jaccard, packing, substring, toxicity, warc
+from . import (
+    decontaminate,
+    fingerprint,
+    jaccard,
+    language,
+    lmscore,
+    mincut,
+    packing,
+    substring,
+    toxicity,
+    warc,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,7 +28,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_decontaminate": decontaminate.op2,
         "op3_fingerprints": fingerprint.op3,
         "op4_substring_dedup": substring.op4,
+        "op5_language_id": language.op5,
         "op6_jaccard_join": jaccard.op6,
+        "op7_stupid_backoff": lmscore.op7,
+        "op8_html_extraction": mincut.op8,
         "op9_warc": warc.op9,
         "op10_harmonic_packing": packing.op10,
         "pipeline": corpus_pipeline.run,
