@@ -14,7 +14,7 @@ a mask clears after every sum. Everything is DataFrame functions; nothing leaves
 JVM.
 
 The next document in descending doc_id order is found without one global sort: ids
-are put in buckets of 1,024 consecutive numbers, a window within the bucket finds
+are put in buckets of 256 consecutive numbers, a window within the bucket finds
 the next row, and the last row of a bucket is joined with the first of the next
 bucket below that is not empty. That bucket is found the same way among bucket
 numbers, level by level, until one bucket holds them all.
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 LONGS = 32  # two lanes each
-BUCKET_BITS = 10
+BUCKET_BITS = 8
 _PAIR = 0x000000FF000000FF
 _KEEP = 0x3FFFFFFF7FFFFFFF
 _LOW = 0x7FFFFFFF
