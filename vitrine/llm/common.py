@@ -24,7 +24,7 @@ _KEY_SIGN = -(2 ** 63)
 #: Text taken into one numpy pass; bounds a worker's memory, not the results.
 SLICE_BYTES = 2_000_000
 #: Bytes of one polynomial pass (longer texts are cut at word ends).
-HASH_BYTES = 4_000_000
+HASH_BYTES = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

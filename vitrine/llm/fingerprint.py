@@ -42,7 +42,7 @@ PARAGRAPH_END = r"[\n\r]+|(?<=[.!?,;:])\s+"
 
 
 def paragraphs(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, PARAGRAPH_END), F.trim), lambda p: p != "")
+    return F.filter(F.transform(F.split(text, PARAGRAPH_END), lambda p: F.trim(p)), lambda p: p != "")
 
 
 def _vector(h: Column) -> list[Column]:
@@ -107,10 +107,12 @@ def lower_neighbours(values: DataFrame, low: int, high: int) -> DataFrame:
     """v, below: the next smaller value of a table of distinct longs ``v`` within
     low..high; the smallest one gets NULL."""
     bits = BUCKET_BITS
-    group = F.shiftright("v", bits)
+    # Shifting never joins -1 and 0: those two groups are one, of bounded size.
+    last = (low >> bits, high >> bits) in ((-1, 0), (low >> bits, low >> bits))
+    group = F.lit(0).cast("long") if last else F.shiftright("v", bits)
     w = Window.partitionBy("g").orderBy("v")
     inside = values.withColumn("g", group).withColumn("below", F.lag("v").over(w))
-    if low >> bits == high >> bits:
+    if last:
         return inside.select("v", "below")
     tops = values.groupBy(group.alias("g")).agg(F.max("v").alias("top"))
     down = lower_neighbours(tops.select(F.col("g").alias("v")), low >> bits, high >> bits)

@@ -38,7 +38,7 @@ from .ftrl import Ftrl
 PER_CLASS = 4_000
 EPOCHS = 6
 MIN_DOCS = 4
-CACHE = 400_000
+CACHE = 150_000
 
 # What look-alike signs stand for.
 LOOKALIKES = {
