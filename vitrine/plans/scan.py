@@ -15,6 +15,9 @@ is split across many partitions:
    broadcast);
 4. the offsets are added back by a broadcast join.
 
+The scanned rows are checkpointed between steps 2 and 3, so that both read one and
+the same range partitioning.
+
 The ordering must be total inside a key (unique ``keys + order``) for the
 result to be deterministic, as with any running sum, and key columns must not
 be NULL.
@@ -31,6 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ensure_checkpoint_dir
+
 PID = "_scan_pid"
 IDX = "_scan_idx"
 
@@ -82,7 +87,11 @@ def prefix_sum(df: DataFrame, keys: list[str], order: list[Column], value, out,
     schema = T.StructType(ranged.schema.fields
                           + [T.StructField(c, T.LongType()) for c in locals_]
                           + [T.StructField(IDX, T.LongType())])
-    scanned = ranged.mapInPandas(_scan_partition(keys, values, locals_), schema)
+    # Written once to the shared checkpoint folder: totals and rows then see the same
+    # ranges. Two branches over a lazy range shuffle may each sample bounds of their
+    # own, which would join totals with rows of other partitions.
+    ensure_checkpoint_dir(spark)
+    scanned = ranged.mapInPandas(_scan_partition(keys, values, locals_), schema).checkpoint()
 
     totals = scanned.groupBy(PID, *keys).agg(
         *[F.max_by(c, IDX).alias(f"_scan_tot{i}") for i, c in enumerate(locals_)])
