@@ -77,7 +77,8 @@ def p_bulk_add_to_cart(shop: Shop, events: DataFrame) -> dict[str, DataFrame]:
     ev = (events.select("seq", "user_id", "variant_id", "quantity")
           .join(shop.cart.select("cart_id", "user_id"), "user_id", "left")
           .join(shop.product_variants.select("variant_id", "stock"), "variant_id", "left"))
-    reason = (F.when(F.col("quantity") <= 0, F.lit("invalid quantity"))
+    reason = (F.when(F.coalesce(F.col("quantity") <= 0, F.lit(True)),
+                     F.lit("invalid quantity"))
               .when(F.col("cart_id").isNull(), F.lit("no cart"))
               .when(F.col("stock").isNull(), F.lit("unknown variant")))
     ev = ev.withColumn("reason", reason)
@@ -127,7 +128,8 @@ def p_bulk_review_insert(shop: Shop, batch: DataFrame, as_of=None) -> dict[str,
         .withColumn("_exists", F.lit(True))
     b = (batch.join(ok_buy, ["user_id", "product_id"], "left")
          .join(existing, ["user_id", "product_id"], "left"))
-    reason = (F.when(~F.col("rating").between(1, 5), F.lit("rating out of range"))
+    reason = (F.when(~F.coalesce(F.col("rating").between(1, 5), F.lit(False)),
+                     F.lit("rating out of range"))
               .when(F.col("_bought").isNull(), F.lit("no purchase"))
               .when(F.coalesce(sql_len(F.col("comment")) < 5, F.lit(False)), F.lit("comment too short"))
               .when(F.col("_exists").isNotNull(), F.lit("duplicate review")))

@@ -12,11 +12,9 @@ from ..functions.text import is_blank
 from ..model import Shop
 from . import documents, shared
 
-DEFAULT_MAX_PRICE = 4000000
-
 
 def shop_filter(products: DataFrame, category: str | None = None, brand: str | None = None,
-                min_price=0, max_price=DEFAULT_MAX_PRICE, sort: str | None = None,
+                min_price=0, max_price=None, sort: str | None = None,
                 groups=None) -> DataFrame:
     """Category group, brand (case-insensitive), closed price range, optional
     price sort (ties keep the list's id order)."""
@@ -25,7 +23,9 @@ def shop_filter(products: DataFrame, category: str | None = None, brand: str | N
         rows = rows.filter(labels.category_group(F.col("category"), groups) == category)
     if brand:
         rows = rows.filter(F.lower(F.coalesce(F.col("brand"), F.lit(""))) == brand.lower())
-    rows = rows.filter((F.col("price") >= F.lit(min_price)) & (F.col("price") <= F.lit(max_price)))
+    rows = rows.filter(F.col("price") >= F.lit(min_price))
+    if max_price is not None:  # a page's own cap is the page's to pass
+        rows = rows.filter(F.col("price") <= F.lit(max_price))
     if sort == "asc":
         rows = rows.orderBy(F.col("price").asc(), F.col("product_id").desc())
     elif sort == "desc":

@@ -145,8 +145,8 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
     """Order payloads -> users, orders, payments, shipping, lines, stock.
 
     A payload is rejected whole when it has no customer or no item, when an
-    item has no valid product id, quantity or price, when no variant
-    resolves, or when stock (left by earlier accepted payloads, in payload
+    item has no valid product id, quantity (1 at least) or price, when no
+    variant resolves, when two items are the same variant, or when stock (left by earlier accepted payloads, in payload
     order) is short. The stored total is the caller's; the computed one is
     reported beside it.
     """
@@ -156,19 +156,22 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
     qty = F.coalesce(F.col("quantity"), F.lit(0.0))
     price = F.coalesce(F.col("price"), F.lit(0.0))
     item_reason = (F.when(F.coalesce(F.col("product_id"), F.lit(0)) == 0, F.lit("invalid item"))
-                   .when(qty <= 0, F.lit("invalid item")).when(price <= 0, F.lit("invalid item"))
+                   .when(qty.cast("int") < 1, F.lit("invalid item")).when(price <= 0, F.lit("invalid item"))
                    .when(F.col("variant_id").isNull() | F.col("stock").isNull(),
                          F.lit("variant not found")))
     res = res.withColumn("_why", item_reason)
     per_payload = res.groupBy("payload_id").agg(
         F.count(F.lit(1)).alias("_n"),
         # The first failing item decides the reason (ties on position: by reason).
-        F.min_by("_why", F.when(F.col("_why").isNotNull(), F.struct("pos", "_why"))).alias("_why"))
+        F.min_by("_why", F.when(F.col("_why").isNotNull(), F.struct("pos", "_why"))).alias("_why"),
+        # An order holds a variant once (unique order and variant).
+        (F.count("variant_id") > F.size(F.collect_set("variant_id"))).alias("_twice"))
     h = (headers.join(per_payload, "payload_id", "left")
          .withColumn("reason", F.when(~F.coalesce(F.col("has_customer"), F.lit(False))
                                       | (F.coalesce(F.col("_n"), F.lit(0)) == 0),
                                       F.lit("invalid payload"))
-                     .otherwise(F.col("_why"))))
+                     .when(F.col("_why").isNotNull(), F.col("_why"))
+                     .when(F.col("_twice"), F.lit("duplicate variant"))))
     valid = h.filter(F.col("reason").isNull()).select("payload_id")
     lines = (res.join(valid, "payload_id", "left_semi")
              .withColumn("quantity_i", qty.cast("int"))
@@ -270,7 +273,8 @@ def w_product_upsert(shop: Shop, payloads: DataFrame) -> dict[str, DataFrame]:
     size_names = chosen.select(F.explode(_sizes_array(F.col("sizes"))).alias("name"), "seq")
     sizes = w_dimension_get_or_create(size_names, shop.sizes, "size_id")["table"]
     colour = chosen.select(F.lit(DEFAULT_COLOR).alias("name"), "seq")
-    colors = w_dimension_get_or_create(colour, shop.colors.select("color_id", "name"), "color_id")["table"]
+    added = w_dimension_get_or_create(colour, shop.colors, "color_id")
+    colors = added["table"]
 
     rows = _resolve_names(chosen.withColumn("name", F.col("brand")), brands, "brand_id", "brand_id")
     rows = _resolve_names(rows.withColumn("name", F.col("category")), cats, "category_id", "category_id")
@@ -310,7 +314,7 @@ def w_product_upsert(shop: Shop, payloads: DataFrame) -> dict[str, DataFrame]:
         .select("seq", F.coalesce("product_id", "_new_id").alias("product_id"), "accepted", "reason")
     return {"outcome": outcome, "products": products, "product_images": images,
             "product_variants": variants, "brands": brands, "categories": cats, "sizes": sizes,
-            "colors": colors,
+            "colors": shop.colors.unionByName(added["new"], allowMissingColumns=True),
             "order_details": shop.order_details.join(dropped, "variant_id", "left_anti"),
             "cart_items": shop.cart_items.join(dropped, "variant_id", "left_anti")}
 
@@ -363,20 +367,25 @@ def w_order_status_update(shop: Shop, updates: DataFrame) -> dict[str, DataFrame
     payment_method): statuses are normalised and mapped to stored values; the
     order's status is set; the latest payment's status is set, or a payment
     is added when the order has none. A NULL status leaves that part alone
-    (the order-only and payment-only edits). Unknown orders are rejected; per
-    order the last edit wins."""
+    (the order-only and payment-only edits). Unknown orders are rejected; of
+    several edits of an order the last one that sets a part wins for that part."""
     exists = shop.orders.select("order_id").withColumn("_exists", F.lit(True))
     u = (updates.join(exists, "order_id", "left")
          .withColumn("reason", F.when(F.col("_exists").isNull(), F.lit("order not found"))))
     good = u.filter(F.col("reason").isNull())
-    last = good.groupBy("order_id").agg(F.max("seq").alias("seq"))
-    final = good.join(last, ["order_id", "seq"]).select(
+    def latest_set(col: str):
+        """The row with the largest seq among those that set ``col``."""
+        return F.max_by(F.struct("order_status", "payment_status", "payment_method"),
+                        F.when(F.col(col).isNotNull(), F.col("seq")))
+
+    final = good.groupBy("order_id").agg(
+        latest_set("order_status").alias("_o"), latest_set("payment_status").alias("_p")).select(
         "order_id",
-        F.when(F.col("order_status").isNotNull(), labels.db_order_status(F.col("order_status")))
-        .alias("_status"),
-        F.when(F.col("payment_status").isNotNull(),
-               labels.db_payment_status(F.col("payment_status"))).alias("_pay_status"),
-        labels.db_payment_method(F.col("payment_method")).alias("_pay_method"))
+        F.when(F.col("_o.order_status").isNotNull(),
+               labels.db_order_status(F.col("_o.order_status"))).alias("_status"),
+        F.when(F.col("_p.payment_status").isNotNull(),
+               labels.db_payment_status(F.col("_p.payment_status"))).alias("_pay_status"),
+        labels.db_payment_method(F.col("_p.payment_method")).alias("_pay_method"))
     orders = (shop.orders.join(final.select("order_id", "_status"), "order_id", "left")
               .withColumn("status", F.coalesce(F.col("_status"), F.col("status"))).drop("_status")
               .select(*shop.orders.columns))

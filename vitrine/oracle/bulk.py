@@ -87,12 +87,14 @@ LEFT JOIN (SELECT product_id, size_name, color_name, min(variant_id) AS vid FROM
        ON e.product_id = i.product_id AND e.size_name = i.size AND e.color_name = i.color
 LEFT JOIN (SELECT product_id, min(variant_id) AS vid FROM vn GROUP BY 1) f ON f.product_id = i.product_id"""),
     ("why", """SELECT r.*, v.stock,
-       CASE WHEN coalesce(r.product_id, 0) = 0 OR r.quantity <= 0 OR r.price <= 0 THEN 'invalid item'
+       CASE WHEN coalesce(r.product_id, 0) = 0 OR floor(r.quantity) < 1 OR r.price <= 0 THEN 'invalid item'
             WHEN r.variant_id IS NULL OR v.stock IS NULL THEN 'variant not found' END AS w
 FROM res r LEFT JOIN shop_product_variants v ON v.variant_id = r.variant_id"""),
     ("pre", """SELECT h.payload_id,
-       CASE WHEN n.n IS NULL THEN 'invalid payload' ELSE n.w END AS reason
-FROM headers h LEFT JOIN (SELECT payload_id, count(*) AS n, arg_min(w, (pos, w)) FILTER (WHERE w IS NOT NULL) AS w
+       CASE WHEN n.n IS NULL THEN 'invalid payload' WHEN n.w IS NOT NULL THEN n.w
+            WHEN n.variants < n.items THEN 'duplicate variant' END AS reason
+FROM headers h LEFT JOIN (SELECT payload_id, count(*) AS n, arg_min(w, (pos, w)) FILTER (WHERE w IS NOT NULL) AS w,
+                                 count(variant_id) AS items, count(DISTINCT variant_id) AS variants
                           FROM why GROUP BY payload_id) n ON n.payload_id = h.payload_id"""),
     ("steps", """SELECT payload_id, row_number() OVER (ORDER BY payload_id) AS step FROM pre WHERE reason IS NULL"""),
     ("lines", """SELECT s.step, w.payload_id, w.variant_id, CAST(sum(CAST(w.quantity AS INT)) AS BIGINT) AS quantity
