@@ -182,3 +182,22 @@ def test_payload_without_customer_or_items_is_rejected(spark):
     headers, items = P.explode_order_payloads(write_payloads(spark, [no_customer, no_items, ok]))
     out = {r.payload_id: (r.accepted, r.reason) for r in W.w_order_intake(s, headers, items)["outcome"].collect()}
     assert out == {1: (False, "invalid payload"), 2: (False, "invalid payload"), 3: (True, None)}
+
+
+def test_edits_of_one_order_merge_per_part(spark):
+    s = shop(spark, orders=[(1, 1, None, "Pending", D("1"))], payments=[(10, 1, "COD", "Pending")])
+    u = spark.createDataFrame([(1, 1, "completed", None, None), (2, 1, None, "paid", None)],
+                              "seq long, order_id long, order_status string, payment_status string, "
+                              "payment_method string")
+    res = W.w_order_status_update(s, u)
+    assert res["orders"].first().status == "Completed"
+    assert res["payments"].first().status == "Paid"
+
+
+def test_payload_with_a_variant_twice_or_part_of_a_piece_is_rejected(spark):
+    s = shop(spark)
+    twice = payload(1, [("2", "S", "Red", 1, 1.0), ("2", "S", "Red", 1, 1.0)])
+    half = payload(2, [("2", "S", "Red", 0.5, 1.0)])
+    headers, items = P.explode_order_payloads(write_payloads(spark, [twice, half]))
+    out = {r.payload_id: r.reason for r in W.w_order_intake(s, headers, items)["outcome"].collect()}
+    assert out == {1: "duplicate variant", 2: "invalid item"}
