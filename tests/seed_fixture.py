@@ -32,7 +32,7 @@ USERS = [
     ("Đỗ Văn N", "n@gmail.com", "0901111123", "Hà Nội"),
     ("Ngô Văn O", "o@gmail.com", "0901111124", "Hồ Chí Minh"),
     ("Huỳnh Văn P", "p@gmail.com", "0901111125", "Bình Dương"),
-    ("anhemtoi", "admin@example.com", "0968686868", "PTIT"),
+    ("Admin", "admin@example.com", "0900000000", "Hà Nội"),
 ]
 ADMIN_EMAIL = "admin@example.com"
 PRODUCTS = [  # name, description, brand_id, category_id
