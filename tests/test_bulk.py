@@ -69,7 +69,9 @@ def test_bulk_checkout_matches_replay_and_conserves_stock(spark, shop_mid):
         else:
             assert row.accepted  # only unknown variants: nothing to check
     after = {r.variant_id: r.stock for r in res["product_variants"].collect()}
-    taken = sum(r.quantity for r in res["order_details"].collect())
+    known_lines = shop_mid.order_details.select("order_detail_id")
+    taken = sum(r.quantity for r in
+                res["order_details"].join(known_lines, "order_detail_id", "left_anti").collect())
     assert sum(stock.values()) - sum(after.values()) == taken
     assert min(after.values()) >= min(0, min(stock.values()))
     accepted = {c for c, r in outcome.items() if r.accepted}
@@ -103,3 +105,25 @@ def test_bulk_add_to_cart_matches_sequential_fold(spark, shop_mid):
     assert got == want
     final = {(r.cart_id, r.variant_id): r.quantity for r in res["cart_items"].collect()}
     assert final == held
+
+
+def test_a_chain_of_a_thousand_carts_takes_a_few_rounds(spark):
+    # Cart i takes one of variants i and i + 1, of which there is one each.
+    lines = [(i, i, i + d, 1) for i in range(1000) for d in (0, 1)]
+    cap = [(v, 1) for v in range(1001)]
+    want = replay_allocation(lines, cap)
+    ldf = spark.createDataFrame(lines, "req_id long, seq long, res long, qty long")
+    cdf = spark.createDataFrame(cap, "res long, cap long")
+    got = allocate_in_order(ldf, cdf, ["res"]).collect()
+    assert {r.req_id: r.accepted for r in got} == want
+    assert max(r.decided_round for r in got) <= 3
+
+
+def test_components_beyond_the_bound_go_through_rounds(spark):
+    lines = [(i, i, i + d, 1) for i in range(8) for d in (0, 1)]
+    cap = [(v, 1) for v in range(9)]
+    want = replay_allocation(lines, cap)
+    ldf = spark.createDataFrame(lines, "req_id long, seq long, res long, qty long")
+    cdf = spark.createDataFrame(cap, "res long, cap long")
+    got = allocate_in_order(ldf, cdf, ["res"], group_lines=8).collect()
+    assert {r.req_id: r.accepted for r in got} == want

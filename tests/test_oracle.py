@@ -8,11 +8,12 @@ import pytest
 from tools.check_oracle import TABLES, rows_of
 
 import __spark_entry__ as E
+from vitrine import registry
 
 from .conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES = registry.queries()  # the training-data queries have tests of their own
+ORACLE = registry.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -12,8 +12,8 @@ def rows(df, cols):
 
 
 def test_cart_merge_stream_equals_batch(spark, shop_small):
-    from vitrine.registry import _purchase_feed
-    feed = _purchase_feed(shop_small).select("seq", "user_id", "variant_id", "quantity")
+    from vitrine.registry import _request_feed
+    feed = _request_feed(shop_small).select("seq", "user_id", "variant_id", "quantity")
     streamed = S.s_cart_merge(shop_small, S.cart_feed_steps(feed))
     batch = K.p_bulk_add_to_cart(shop_small, feed)["cart_items"]
     cols = ["cart_id", "variant_id", "quantity"]

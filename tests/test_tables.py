@@ -20,8 +20,7 @@ def test_snapshot_round_trip_after_checkout(spark):
     shop = load_seed(spark, seed_rows(), as_of=dt.datetime(2026, 4, 15))
     res = K.p_bulk_checkout(shop, shop.users)
     nxt = shop.with_tables(product_variants=res["product_variants"], cart_items=res["cart_items"],
-                           orders=shop.orders.unionByName(res["orders"]),
-                           order_details=shop.order_details.unionByName(res["order_details"]))
+                           orders=res["orders"], order_details=res["order_details"])
     path = scratch(spark, "snapshot-test")
     write_shop_tables(nxt, path)
     back = read_shop_tables(spark, path, as_of=shop.as_of)
@@ -57,12 +56,23 @@ def test_best_seller_has_no_window_by_category(shop_small):
     assert all("category_id" not in w for w in windows)
 
 
-def test_bounded_broadcast_only_under_the_limit(spark):
-    from vitrine.plans.broadcast import bounded_broadcast
-    small = spark.range(5)
-    big = spark.range(50)
-    assert "broadcast" in _plan(big.join(bounded_broadcast(small, 10), "id")).lower()
-    assert bounded_broadcast(big, 10) is big
+def test_building_a_plan_starts_no_job(spark, shop_small):
+    from vitrine.operators import audits, views
+    spark.sparkContext.setJobGroup("plans-only", "plans")
+    views.v_order_item_detail(shop_small)
+    views.v_customer_cart_detail(shop_small)
+    R.p_order_lines(shop_small)
+    audits.c_foreign_keys(shop_small)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("plans-only")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(jobs) == []
+
+
+def test_an_audit_reads_and_sorts_the_order_lines_once(shop_small):
+    from vitrine.operators import audits
+    for audit in (audits.c_not_null, audits.c_range, audits.c_foreign_keys):
+        optimized = audit(shop_small)._jdf.queryExecution().optimizedPlan().toString()
+        assert optimized.count("row_number()") <= 1, audit.__name__
 
 
 def test_next_keys_follow_the_largest_id_in_order(spark):

@@ -39,6 +39,3 @@ def line_total(quantity: Column, price: Column, pct: Column | None = None) -> Co
         return (quantity * price).cast(LINE)
     return (quantity * price * (F.lit(100) - pct) * _cent()).cast(LINE)
 
-
-def money_sum(c: Column) -> Column:
-    return F.sum(c).cast(TOTAL)

@@ -1,4 +1,4 @@
-"""The shop data model: 16 tables as DataFrames plus the evaluation time.
+"""The shop data model: 17 tables as DataFrames plus the evaluation time.
 
 Every operator is ``op(shop, **params) -> DataFrame``. ``as_of`` replaces the
 server clock (``GETDATE()``) so that results are reproducible.
@@ -7,27 +7,17 @@ server clock (``GETDATE()``) so that results are reproducible.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pyspark.sql import functions as F
-
-from .plans.broadcast import bounded_broadcast, is_bounded
-
 TABLES = (
     "users", "brands", "categories", "colors", "sizes", "products",
     "product_variants", "sales", "product_sales", "product_images", "cart",
     "cart_items", "orders", "order_details", "payments", "shipping", "reviews",
 )
 
-# Dimension tables that are joined as broadcasts when a row count check
-# proves them small (names are unique per table, so they grow with the
-# catalogue's vocabulary, not with the facts).
-DIMENSIONS = ("brands", "categories", "colors", "sizes", "sales")
-DIMENSION_ROW_LIMIT = 100_000
-
 # Spark schemas of the shop tables (nullability as in the DDL).
 SCHEMAS = {
     "users": "user_id BIGINT NOT NULL, name STRING NOT NULL, email STRING NOT NULL, "
@@ -85,34 +75,7 @@ class Shop:
     reviews: DataFrame
     as_of: dt.datetime = dt.datetime(1998, 6, 15)
     source: str | None = None
-    _dims: dict = field(default_factory=dict, repr=False)
-
-    def dim(self, name: str) -> DataFrame:
-        """A dimension table, broadcast only after its row count is checked."""
-        if name not in self._dims:
-            self._dims[name] = bounded_broadcast(getattr(self, name), DIMENSION_ROW_LIMIT)
-        return self._dims[name]
-
-    def bounded(self, name: str, build) -> DataFrame:
-        """A derived dimension (e.g. variants with their product columns),
-        broadcast only after its row count is checked, once per snapshot."""
-        if name not in self._dims:
-            df = build()
-            small = is_bounded(df, DIMENSION_ROW_LIMIT)
-            self._dims[name] = F.broadcast(df) if small else df
-            self._dims[name + ":small"] = small
-        return self._dims[name]
-
-    def broadcast_like(self, name: str, df: DataFrame) -> DataFrame:
-        """Broadcast ``df`` when it has no more rows than the checked derived
-        dimension ``name`` (the caller guarantees that: only joins on a unique
-        key were added) and that dimension was proven small."""
-        return F.broadcast(df) if self._dims.get(name + ":small") else df
 
     def with_tables(self, **tables: DataFrame) -> "Shop":
         """A new snapshot with some tables replaced (write path output)."""
-        return replace(self, _dims={}, **tables)
-
-    @property
-    def variants(self) -> DataFrame:
-        return self.product_variants
+        return replace(self, **tables)

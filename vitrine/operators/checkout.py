@@ -1,5 +1,6 @@
 """Order-dependent bulk jobs: checkout of many carts, add-to-cart events and
-review batches. Each returns the new snapshots and a per-request outcome."""
+review batches. Each returns a per-request outcome and the next version of every
+table that it changes (whole tables, ready for ``Shop.with_tables``)."""
 
 from __future__ import annotations
 
@@ -61,8 +62,15 @@ def p_bulk_checkout(shop: Shop, requests: DataFrame, as_of=None) -> dict[str, Da
     cart_items = shop.cart_items.join(accepted_carts.select("cart_id"), "cart_id", "left_anti")
     outcome = (out.join(new_orders.select("cart_id", "order_id", "total_amount"), "cart_id", "left")
                .select("user_id", "cart_id", "accepted", "reason", "order_id", "total_amount"))
-    return {"outcome": outcome, "orders": new_orders.drop("cart_id"), "order_details": new_lines,
-            "product_variants": stock, "cart_items": cart_items}
+    stored = new_orders.select(
+        "order_id", "user_id",
+        F.col("order_date").cast(shop.orders.schema["order_date"].dataType).alias("order_date"),
+        "status", F.col("total_amount").cast(shop.orders.schema["total_amount"].dataType)
+        .alias("total_amount"))
+    return {"outcome": outcome, "orders": shop.orders.unionByName(stored),
+            "order_details": shop.order_details.unionByName(new_lines),
+            "product_variants": stock.select(*shop.product_variants.columns),
+            "cart_items": cart_items}
 
 
 def p_bulk_add_to_cart(shop: Shop, events: DataFrame) -> dict[str, DataFrame]:
@@ -149,14 +157,17 @@ def p_bulk_review_insert(shop: Shop, batch: DataFrame, as_of=None) -> dict[str,
 
 
 # ---- driver-run request feeds (derived from the events table) ---------------
-def purchase_events(events: DataFrame, n_parts, n_products) -> DataFrame:
-    """The driver's purchase events read as shop requests: an add-to-cart of
-    variant (event_id * 17) mod parts and a review of product
-    (event_id * 31) mod products, with a rating that can be out of range."""
-    e = events.filter(F.col("event_type") == "purchase")
-    return e.select(F.col("event_id").alias("seq"), "user_id",
-                    ((F.col("event_id") * 17) % n_parts).alias("variant_id"),
-                    (1 + F.col("event_id") % 3).cast("int").alias("quantity"),
-                    ((F.col("event_id") * 31) % n_products).alias("product_id"),
-                    (1 + F.col("event_id") % 6).cast("int").alias("rating"),
-                    F.concat(F.lit("review "), F.col("event_id").cast("string")).alias("comment"))
+def shop_requests(events: DataFrame, n_parts, n_products) -> DataFrame:
+    """Every driver event read as shop requests: an add-to-cart of variant
+    (event_id * 17) mod parts and a review of product (event_id * 31) mod
+    products. Some quantities are 0 or NULL, some ratings out of range, some
+    comments too short or NULL, so that every rule has something to refuse."""
+    n = F.col("event_id")
+    return events.select(
+        n.alias("seq"), "user_id", ((n * 17) % n_parts).alias("variant_id"),
+        F.when(n % 97 != 0, n % 4).cast("int").alias("quantity"),
+        ((n * 31) % n_products).alias("product_id"),
+        F.when(n % 89 != 0, n % 7).cast("int").alias("rating"),
+        F.when(n % 9 == 0, F.lit("ok")).when(n % 10 != 0, F.concat(F.lit("review "),
+                                                                   n.cast("string")))
+        .alias("comment"))

@@ -153,13 +153,19 @@ def cart_merge(events: DataFrame) -> DataFrame:
     """Fold cart events per (cart, product, size, colour) in ``seq`` order.
 
     ``op`` is add (quantity adds, creating the line), set (quantity replaces
-    it; <= 0 removes; on a missing line it does nothing) or remove. The fold
-    is closed-form: the last set/remove decides the base, adds after it sum on
-    top; a set finds the line present iff the last add/remove-like event
-    before it was an add. Only aggregates and one key join - no per-key list.
+    it; <= 0 removes; on a missing line it does nothing), remove, or clear
+    (empties the cart, whatever the line's other columns say). The fold is
+    closed-form: nothing up to a cart's last clear has any effect; then the last
+    set/remove decides the base, adds after it sum on top; a set finds the line
+    present iff the last add/remove-like event before it was an add. Only
+    aggregates and key joins - no per-key list.
     """
     key = ["cart_id", "product_id", "size", "color"]
-    ev = events.select(*key, "seq", "op", F.col("quantity").cast("long").alias("quantity"))
+    cleared = (events.filter(F.col("op") == "clear").groupBy("cart_id")
+               .agg(F.max("seq").alias("_cleared")))
+    ev = (events.filter(F.col("op") != "clear").join(cleared, "cart_id", "left")
+          .filter(F.col("_cleared").isNull() | (F.col("seq") > F.col("_cleared")))
+          .select(*key, "seq", "op", F.col("quantity").cast("long").alias("quantity")))
     is_reset = F.col("op").isin("set", "remove")
     last_reset = (ev.filter(is_reset).groupBy(*key)
                   .agg(F.max_by(F.struct("op", "quantity"), "seq").alias("_r"),
@@ -197,12 +203,18 @@ def cart_totals(shop: Shop) -> DataFrame:
         F.sum(F.col("quantity") * F.col("_p")).cast("decimal(38,2)").alias("total_price"))
 
 
-def click_cart_events(shop_events: DataFrame, n_parts) -> DataFrame:
-    """Cart events from the driver's click stream (all adds)."""
-    return shop_events.filter(F.col("event_type") == "click").select(
+def cart_events(shop_events: DataFrame, n_parts) -> DataFrame:
+    """Every driver event as a cart event: purchases set a quantity (0 removes),
+    signups remove, some errors clear the cart, all others add. A fiftieth of
+    the parts are the products, so that lines of a cart meet again."""
+    n = F.col("event_id")
+    op = (F.when(F.col("event_type") == "purchase", F.lit("set"))
+          .when(F.col("event_type") == "signup", F.lit("remove"))
+          .when((F.col("event_type") == "error") & (n % 50 == 0), F.lit("clear"))
+          .otherwise(F.lit("add")))
+    return shop_events.select(
         F.col("user_id").alias("cart_id"),
-        ((F.col("event_id") * 17) % n_parts).alias("product_id"),
-        F.lit("").alias("size"), F.lit("").alias("color"),
-        F.col("event_id").alias("seq"), F.lit("add").alias("op"),
-        (1 + F.col("event_id") % 3).cast("int").alias("quantity"))
+        ((n * 17) % (F.floor(n_parts / 50) + 1)).cast("long").alias("product_id"),
+        F.lit("").alias("size"), F.lit("").alias("color"), n.alias("seq"), op.alias("op"),
+        F.when(op == "set", n % 3).otherwise(1 + n % 3).cast("int").alias("quantity"))
 

@@ -74,7 +74,7 @@ def q09_variant_list(shop: Shop) -> DataFrame:
 def q20_price_and_sale_status(shop: Shop, as_of=None) -> DataFrame:
     """Variant x each sale of its product; expired sales stay as rows."""
     t = shared.as_of_col(shop, as_of)
-    sales = shop.dim("sales").select("sale_id", F.col("name").alias("sale_name"),
+    sales = shop.sales.select("sale_id", F.col("name").alias("sale_name"),
                                      "discount_percent", "start_date", "end_date")
     rows = (shop.product_variants.select("variant_id", "product_id", "price")
             .join(shop.products.select("product_id", F.col("name").alias("product_name")),
@@ -94,7 +94,7 @@ def q20_price_and_sale_status(shop: Shop, as_of=None) -> DataFrame:
 # ---- aggregations -----------------------------------------------------------
 def q10_products_per_category(shop: Shop) -> DataFrame:
     per_cat = shop.products.groupBy("category_id").agg(F.count("product_id").alias("_n"))
-    return (shop.dim("categories").join(per_cat, "category_id", "left")
+    return (shop.categories.join(per_cat, "category_id", "left")
             .groupBy("name")
             .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("total_products")))
 
@@ -160,7 +160,7 @@ def q16_best_seller_per_category(shop: Shop) -> DataFrame:
     per category) instead of a window partitioned by category.
     """
     units = _units_per_product(completed_lines(shop), shop)
-    cats = shop.dim("categories").select("category_id", F.col("name").alias("category_name"))
+    cats = shop.categories.select("category_id", F.col("name").alias("category_name"))
     per_product = (units.join(shop.products.select("product_id", F.col("name").alias("product_name"),
                                                    "category_id"), "product_id")
                    .join(cats, "category_id"))

@@ -21,7 +21,7 @@ def as_of_col(shop: Shop, as_of=None):
 def active_sales(shop: Shop, as_of=None) -> DataFrame:
     """Sales whose closed interval [start, end] contains ``as_of``."""
     t = as_of_col(shop, as_of)
-    return shop.dim("sales").filter(t.between(F.col("start_date"), F.col("end_date")))
+    return shop.sales.filter(t.between(F.col("start_date"), F.col("end_date")))
 
 
 def agg_variant_rollup(shop: Shop) -> DataFrame:
@@ -70,23 +70,22 @@ def top1_latest_shipping(shop: Shop) -> DataFrame:
 
 def products_named(shop: Shop) -> DataFrame:
     """Products with brand and category names (left joins to dimensions)."""
-    b = shop.dim("brands").select("brand_id", F.col("name").alias("brand_name"))
-    c = shop.dim("categories").select("category_id", F.col("name").alias("category_name"))
+    b = shop.brands.select("brand_id", F.col("name").alias("brand_name"))
+    c = shop.categories.select("category_id", F.col("name").alias("category_name"))
     return (shop.products.join(b, "brand_id", "left").join(c, "category_id", "left"))
 
 
 def variants_named(shop: Shop) -> DataFrame:
     """Variants with size and colour names (inner joins, as the shop's views)."""
-    s = shop.dim("sizes").select("size_id", F.col("name").alias("size_name"))
-    c = shop.dim("colors").select("color_id", F.col("name").alias("color_name"), "hex_code")
+    s = shop.sizes.select("size_id", F.col("name").alias("size_name"))
+    c = shop.colors.select("color_id", F.col("name").alias("color_name"), "hex_code")
     return shop.product_variants.join(s, "size_id").join(c, "color_id")
 
 
 def variant_dim(shop: Shop) -> DataFrame:
     """One row per variant with its size, colour and product columns, so a
     fact table joins the whole dimension once on variant_id (a star join
-    written dimension-first: the fact is shuffled once, not per dimension)."""
-    def build() -> DataFrame:
-        prod = shop.products.select("product_id", F.col("name").alias("product_name"))
-        return variants_named(shop).join(prod, "product_id")
-    return shop.bounded("variant_dim", build)
+    written dimension-first: the fact is shuffled once, not per dimension).
+    Adaptive execution broadcasts it where its measured bytes allow."""
+    prod = shop.products.select("product_id", F.col("name").alias("product_name"))
+    return variants_named(shop).join(prod, "product_id")

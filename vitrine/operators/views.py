@@ -18,8 +18,8 @@ def _image(shop: Shop, alias: str) -> DataFrame:
 def v_product_summary(shop: Shop) -> DataFrame:
     """Product + brand + category + first image + variant and review roll-ups.
     NULL roll-ups become 0, except min/max price which stay NULL."""
-    b = shop.dim("brands").select(F.col("brand_id").alias("b_id"), F.col("name").alias("brand_name"))
-    c = shop.dim("categories").select(F.col("category_id").alias("c_id"),
+    b = shop.brands.select(F.col("brand_id").alias("b_id"), F.col("name").alias("brand_name"))
+    c = shop.categories.select(F.col("category_id").alias("c_id"),
                                       F.col("name").alias("category_name"))
     rows = (shop.products
             .join(b, F.col("brand_id") == F.col("b_id"), "left")
@@ -94,7 +94,6 @@ def v_order_item_detail(shop: Shop) -> DataFrame:
     vdim = (shared.variant_dim(shop)
             .select("variant_id", "product_id", "product_name", "size_name", "color_name")
             .join(_image(shop, "img"), "product_id", "left"))  # one image row per product
-    vdim = shop.broadcast_like("variant_dim", vdim)
     rows = shop.order_details.join(header, "order_id").join(vdim, "variant_id")
     return rows.select(
         "order_detail_id", "order_id", "order_date", "order_status", "user_id",
@@ -188,7 +187,6 @@ def v_customer_cart_detail(shop: Shop, as_of=None) -> DataFrame:
                     "price", "stock")
             .join(shared.agg_active_discount(shop, as_of), "product_id", "left")
             .join(_image(shop, "img"), "product_id", "left"))  # one row per product each
-    vdim = shop.broadcast_like("variant_dim", vdim)
     rows = shop.cart_items.join(header, "cart_id").join(vdim, "variant_id")
     d = F.coalesce(F.col("max_discount_percent"), F.lit(0))
     return rows.select(

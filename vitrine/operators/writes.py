@@ -18,7 +18,8 @@ from ..functions import labels
 from ..functions.money import TOTAL
 from ..model import Shop
 from ..plans.allocate import allocate_in_order
-from ..plans.keys import next_keys
+from ..plans.keys import aligned_keys, next_keys
+from ..session import ensure_checkpoint_dir
 from . import shared
 
 # ---- fixed values ------------------------------------------------------------
@@ -159,7 +160,9 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
                    .when(qty.cast("int") < 1, F.lit("invalid item")).when(price <= 0, F.lit("invalid item"))
                    .when(F.col("variant_id").isNull() | F.col("stock").isNull(),
                          F.lit("variant not found")))
-    res = res.withColumn("_why", item_reason)
+    # Written once: items, verdicts and new orders each feed several results below.
+    ensure_checkpoint_dir(shop.spark)
+    res = res.withColumn("_why", item_reason).checkpoint()
     per_payload = res.groupBy("payload_id").agg(
         F.count(F.lit(1)).alias("_n"),
         # The first failing item decides the reason (ties on position: by reason).
@@ -183,13 +186,13 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
     h = (h.join(decided.select(F.col("req_id").alias("payload_id"), "accepted"), "payload_id", "left")
          .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
                      .when(~F.col("accepted"), F.lit("insufficient stock")))
-         .withColumn("accepted", F.col("reason").isNull()))
+         .withColumn("accepted", F.col("reason").isNull())).checkpoint()
     ok = h.filter("accepted")
     cust = w_customer_upsert(shop, ok, as_of)
     orders_new = (next_keys(ok.select("payload_id", "total_amount", "order_date", "payment_method",
                                       "address"),
                             shop.orders, "order_id", [F.col("payload_id").asc()])
-                  .join(cust["payload_user"], "payload_id"))
+                  .join(cust["payload_user"], "payload_id")).checkpoint()
     ok_lines = lines.join(orders_new.select("payload_id", "order_id"), "payload_id")
     computed = ok_lines.groupBy("payload_id").agg(
         F.sum(F.col("quantity_i") * F.col("price_d")).cast(TOTAL).alias("computed_total"))
@@ -199,12 +202,10 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
         .alias("order_date"),
         F.lit(PENDING).alias("status"),
         F.coalesce(F.col("total_amount"), F.lit(0.0)).cast("decimal(12,2)").alias("total_amount"))
-    payments = next_keys(orders_new.select("order_id", "payment_method"), shop.payments,
-                         "payment_id", [F.col("order_id").asc()]).select(
+    payments = aligned_keys(orders_new, "order_id", shop.orders, shop.payments, "payment_id").select(
         "payment_id", "order_id", labels.map_payment_method(F.col("payment_method")).alias("method"),
         F.lit(PENDING).alias("status"))
-    shipping = next_keys(orders_new.select("order_id", "address"), shop.shipping, "shipping_id",
-                         [F.col("order_id").asc()]).select(
+    shipping = aligned_keys(orders_new, "order_id", shop.orders, shop.shipping, "shipping_id").select(
         "shipping_id", "order_id", _trim_or_empty(F.col("address")).alias("address"),
         F.lit(PENDING).alias("status"))
     details = next_keys(ok_lines.select("order_id", "pos", "variant_id",
@@ -263,7 +264,8 @@ def w_product_upsert(shop: Shop, payloads: DataFrame) -> dict[str, DataFrame]:
     updates = ok.filter(F.col("product_id").isNotNull())
     last = updates.groupBy("product_id").agg(F.max("seq").alias("seq"))
     updates = updates.join(last, ["product_id", "seq"])
-    chosen = creates.unionByName(updates.select(*creates.columns))
+    ensure_checkpoint_dir(shop.spark)  # written once: all tables below read it
+    chosen = creates.unionByName(updates.select(*creates.columns)).checkpoint()
 
     def names(col):
         return chosen.select(F.col(col).alias("name"), "seq")

@@ -72,7 +72,7 @@ FROM (SELECT event_id, user_id, ts, (event_id * 31) % (SELECT count(*) FROM part
       FROM events WHERE event_type IN ('view', 'signup')) e
 GROUP BY user_id, product_id""",
     "cart": "SELECT DISTINCT user_id AS cart_id, user_id FROM events WHERE event_type = 'click'",
-    "cart_items": """SELECT cart_id * 1000000 + variant_id AS cart_item_id, cart_id, variant_id, CAST(sum(qty) AS INT) AS quantity
+    "cart_items": """SELECT cart_id * (SELECT count(*) FROM part) + variant_id AS cart_item_id, cart_id, variant_id, CAST(sum(qty) AS INT) AS quantity
 FROM (SELECT user_id AS cart_id, (event_id * 17) % (SELECT count(*) FROM part) AS variant_id, 1 + event_id % 3 AS qty
       FROM events WHERE event_type = 'click') c
 GROUP BY cart_id, variant_id""",

@@ -19,6 +19,21 @@ def _lit_list(vals):
     return ", ".join("'" + v + "'" for v in vals)
 
 
+# The faults of registry.with_faults.
+FAULTS = [
+    ("faulty_users", """SELECT * REPLACE (CASE WHEN user_id % 13 = 0 THEN phone || phone ELSE phone END AS phone,
+       CASE WHEN user_id % 17 <> 0 THEN role END AS role) FROM shop_users"""),
+    ("faulty_reviews", """SELECT * REPLACE (CASE WHEN review_id % 19 = 0 THEN repeat('x', 501) ELSE comment END AS comment,
+       CASE WHEN review_id % 23 <> 0 THEN rating END AS rating) FROM shop_reviews"""),
+    ("faulty_order_details", """SELECT * REPLACE (CASE WHEN order_id % 31 <> 0 THEN price END AS price,
+       CASE WHEN order_id % 37 <> 0 THEN quantity END AS quantity) FROM shop_order_details"""),
+]
+
+
+def _faulty(table: str) -> str:
+    return f"faulty_{table}" if f"faulty_{table}" in dict(FAULTS) else f"shop_{table}"
+
+
 def oracle() -> dict[str, str]:
     q = {}
     parts, tabs = [], []
@@ -71,16 +86,16 @@ def oracle() -> dict[str, str]:
         tabs.append(table)
         for col in cols:
             parts.append(_sel("c_not_null", table, _key(A.PRIMARY_KEYS[table]),
-                              f"'{col} is null'", f"shop_{table}", f"{col} IS NULL"))
-    q["c_not_null"] = with_shop(tabs, "\nUNION ALL\n".join(parts))
+                              f"'{col} is null'", _faulty(table), f"{col} IS NULL"))
+    q["c_not_null"] = with_shop(tabs, "\nUNION ALL\n".join(parts), extra=FAULTS)
 
     parts, tabs = [], []
     for table, col, n in A.MAX_LENGTHS:
         tabs.append(table)
         parts.append(_sel("c_length", table, _key(A.PRIMARY_KEYS[table]),
-                          f"'{col} length=' || CAST(length({col}) AS VARCHAR)", f"shop_{table}",
+                          f"'{col} length=' || CAST(length({col}) AS VARCHAR)", _faulty(table),
                           f"length({col}) > {n}"))
-    q["c_length"] = with_shop(tabs, "\nUNION ALL\n".join(parts))
+    q["c_length"] = with_shop([*tabs, "order_details"], "\nUNION ALL\n".join(parts), extra=FAULTS)
 
     q["c_price_snapshot_drift"] = with_shop(["order_details", "product_variants"], """
 SELECT 'c_price_snapshot_drift' AS rule, 'order_details' AS tbl, CAST(od.order_detail_id AS VARCHAR) AS key,

@@ -155,7 +155,22 @@ FROM shop_cart_items ci JOIN shop_product_variants v ON v.variant_id = ci.varian
 JOIN (SELECT product_id, min(price) AS p FROM shop_product_variants GROUP BY product_id) m ON m.product_id = v.product_id
 GROUP BY ci.cart_id""")
     q["cart_merge"] = """
-SELECT user_id AS cart_id, (event_id * 17) % (SELECT count(*) FROM part) AS product_id, '' AS size, '' AS color,
-       CAST(sum(1 + event_id % 3) AS INT) AS quantity
-FROM events WHERE event_type = 'click' GROUP BY 1, 2"""
+WITH RECURSIVE e AS (
+SELECT user_id AS cart_id, (event_id * 17) % ((SELECT count(*) FROM part) // 50 + 1) AS product_id, event_id AS seq,
+       CASE WHEN event_type = 'purchase' THEN 'set' WHEN event_type = 'signup' THEN 'remove'
+            WHEN event_type = 'error' AND event_id % 50 = 0 THEN 'clear' ELSE 'add' END AS op,
+       CASE WHEN event_type = 'purchase' THEN event_id % 3 ELSE 1 + event_id % 3 END AS q FROM events),
+seen AS (SELECT DISTINCT cart_id, product_id FROM e WHERE op <> 'clear'),
+steps AS (SELECT *, row_number() OVER (PARTITION BY cart_id, product_id ORDER BY seq) AS n FROM (
+  SELECT cart_id, product_id, seq, op, q FROM e WHERE op <> 'clear'
+  UNION ALL SELECT s.cart_id, s.product_id, e.seq, 'remove', 0 FROM seen s JOIN e ON e.cart_id = s.cart_id AND e.op = 'clear') x),
+fold AS (SELECT cart_id, product_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS held FROM seen
+  UNION ALL
+  SELECT f.cart_id, f.product_id, s.n,
+         CASE s.op WHEN 'add' THEN coalesce(f.held, 0) + s.q WHEN 'remove' THEN NULL
+                   ELSE CASE WHEN f.held IS NOT NULL AND s.q > 0 THEN s.q END END
+  FROM fold f JOIN steps s ON s.cart_id = f.cart_id AND s.product_id = f.product_id AND s.n = f.n + 1)
+SELECT cart_id, product_id, '' AS size, '' AS color, CAST(arg_max(held, n) AS INT) AS quantity FROM (
+  SELECT *, max(n) OVER (PARTITION BY cart_id, product_id) AS last FROM fold) z
+WHERE n = last AND held IS NOT NULL GROUP BY 1, 2"""
     return q

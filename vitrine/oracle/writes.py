@@ -7,14 +7,12 @@ from . import with_shop
 HEADERS = """SELECT o_orderkey AS payload_id, c_name AS name,
        CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
        ' 08' || CAST(c_custkey AS VARCHAR) AS phone, n_name AS address
-FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-WHERE o_orderpriority = '1-URGENT'"""
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
 
 ITEMS = """SELECT l_orderkey AS payload_id, l_linenumber - 1 AS pos, CAST(floor(l_partkey / 4) AS BIGINT) AS product_id,
        CASE WHEN l_linenumber % 2 = 1 THEN CAST(p_size AS VARCHAR) ELSE '' END AS size,
        CASE WHEN l_linenumber % 2 = 1 THEN split_part(p_name, ' ', 1) ELSE '' END AS color
-FROM lineitem JOIN part ON l_partkey = p_partkey
-WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
+FROM lineitem JOIN part ON l_partkey = p_partkey"""
 
 VN = """SELECT pv.*, s.name AS size_name, c.name AS color_name
 FROM shop_product_variants pv JOIN shop_sizes s ON pv.size_id = s.size_id JOIN shop_colors c ON pv.color_id = c.color_id"""
@@ -22,13 +20,14 @@ FROM shop_product_variants pv JOIN shop_sizes s ON pv.size_id = s.size_id JOIN s
 PRODUCT_FEED = """SELECT p_partkey AS seq,
        CASE WHEN p_size > 25 THEN CAST(floor(p_partkey / 4) AS BIGINT) END AS product_id,
        p_name AS name, CAST(p_retailprice AS DECIMAL(10,2)) AS price, p_type AS category, p_brand AS brand,
+       p_type || ' ' || p_name AS description, p_size AS stock, ['' || p_size, '' || (p_size % 7 + 40)] AS size_names,
        concat_ws(', ', CAST(p_size AS VARCHAR), ' ', CAST(p_size % 7 + 40 AS VARCHAR)) AS sizes
 FROM part"""
 
 USER_FEED = """SELECT c_custkey AS seq, c_custkey AS user_id, upper(c_name) AS name,
        'c' || CAST(CASE WHEN c_acctbal < -800 THEN c_custkey % 50 + 1 ELSE c_custkey END AS VARCHAR) || '@example.com' AS email,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'admin' WHEN c_mktsegment = 'MACHINERY' THEN 'manager' ELSE 'user' END AS role
-FROM customer WHERE c_acctbal < 0"""
+FROM customer"""
 
 
 def _dims_sql() -> str:
@@ -87,21 +86,42 @@ FROM shop_users u JOIN m ON m.uid = u.user_id"""),
 FROM m WHERE uid IS NULL""")])
     q["w_dimension_get_or_create"] = with_shop(["brands", "categories", "sizes", "colors"], _dims_sql(),
                                                extra=[("feed", PRODUCT_FEED)])
-    q["w_product_upsert"] = with_shop(["products"], """
-SELECT p.seq, coalesce(p.product_id, c.new_id) AS product_id, p.reason IS NULL AS accepted, p.reason
-FROM p LEFT JOIN c ON c.seq = p.seq""", extra=[
+    judged = [
         ("feed", PRODUCT_FEED),
         ("p", """SELECT f.*, CASE WHEN trim(coalesce(name, '')) = '' THEN 'name required'
                      WHEN price IS NULL OR price < 0 THEN 'invalid price'
                      WHEN product_id IS NOT NULL AND product_id NOT IN (SELECT product_id FROM shop_products)
                      THEN 'product not found' END AS reason FROM feed f"""),
         ("c", """SELECT seq, (SELECT max(product_id) FROM shop_products) + row_number() OVER (ORDER BY seq) AS new_id
-FROM p WHERE reason IS NULL AND product_id IS NULL""")])
-    q["w_user_update"] = with_shop(["users"], """
-SELECT v.seq, v.user_id, r2 IS NULL AS accepted, r2 AS reason FROM (
-  SELECT v.*, CASE WHEN v.reason IS NOT NULL THEN v.reason
-                   WHEN fc.claimer <> v.user_id THEN 'email exists' END AS r2
-  FROM v LEFT JOIN fc ON fc.k = v.k) v""", extra=[
+FROM p WHERE reason IS NULL AND product_id IS NULL""")]
+    # Brands and categories of the feed all exist; sizes and the default colour may not.
+    chosen = judged + [
+        ("chosen", """SELECT p.* REPLACE (coalesce(p.product_id, c.new_id) AS product_id) FROM p LEFT JOIN c ON c.seq = p.seq
+WHERE p.reason IS NULL AND (c.seq IS NOT NULL OR p.seq = (
+  SELECT max(o.seq) FROM p o WHERE o.reason IS NULL AND o.product_id = p.product_id))"""),
+        ("parts", """SELECT c.product_id, c.seq, c.price, c.stock, i AS pos, c.size_names[i + 1] AS size_name
+FROM chosen c CROSS JOIN (VALUES (0), (1)) two(i) WHERE i = 0 OR c.size_names[2] <> c.size_names[1]"""),
+        ("new_sizes", """SELECT (SELECT max(size_id) FROM shop_sizes) + row_number() OVER (ORDER BY seq, size_name) AS size_id,
+       size_name AS name FROM (SELECT size_name, min(seq) AS seq FROM parts GROUP BY 1) x
+WHERE size_name NOT IN (SELECT name FROM shop_sizes)"""),
+        ("all_sizes", "SELECT size_id, name FROM shop_sizes UNION ALL SELECT size_id, name FROM new_sizes")]
+    tables = ["products", "brands", "categories", "sizes", "colors", "product_variants"]
+    q["w_product_upsert"] = with_shop(["products"], """
+SELECT p.seq, coalesce(p.product_id, c.new_id) AS product_id, p.reason IS NULL AS accepted, p.reason
+FROM p LEFT JOIN c ON c.seq = p.seq""", extra=judged)
+    q["w_product_upsert_products"] = with_shop(tables, """
+SELECT product_id, name, description, brand_id, category_id, created_at FROM shop_products
+WHERE product_id NOT IN (SELECT product_id FROM chosen)
+UNION ALL SELECT c.product_id, trim(c.name), trim(c.description), b.brand_id, g.category_id, NULL
+FROM chosen c JOIN shop_brands b ON b.name = c.brand JOIN shop_categories g ON g.name = c.category""", extra=chosen)
+    q["w_product_upsert_variants"] = with_shop(tables, """
+SELECT variant_id, product_id, size_id, color_id, price, stock, created_at FROM shop_product_variants
+WHERE product_id NOT IN (SELECT product_id FROM chosen)
+UNION ALL SELECT (SELECT max(variant_id) FROM shop_product_variants) + row_number() OVER (ORDER BY t.product_id, t.pos),
+       t.product_id, z.size_id, (SELECT max(color_id) + 1 FROM shop_colors), t.price,
+       CASE WHEN t.pos = 0 THEN t.stock ELSE 0 END, NULL
+FROM parts t JOIN all_sizes z ON z.name = t.size_name""", extra=chosen)
+    users = [
         ("feed", USER_FEED),
         ("v", """SELECT u.*, lower(rtrim(u.email)) AS k,
        CASE WHEN trim(u.name) = '' THEN 'name required' WHEN trim(u.email) = '' THEN 'email required'
@@ -110,10 +130,34 @@ SELECT v.seq, v.user_id, r2 IS NULL AS accepted, r2 AS reason FROM (
             WHEN EXISTS (SELECT 1 FROM shop_users s WHERE lower(rtrim(s.email)) = lower(rtrim(trim(u.email)))
                                                      AND s.user_id <> u.user_id) THEN 'email exists'
        END AS reason FROM feed u"""),
-        ("fc", "SELECT k, arg_min(user_id, seq) AS claimer FROM v WHERE reason IS NULL GROUP BY k")])
+        ("fc", "SELECT k, arg_min(user_id, seq) AS claimer FROM v WHERE reason IS NULL GROUP BY k"),
+        ("w", """SELECT v.*, CASE WHEN v.reason IS NOT NULL THEN v.reason
+                   WHEN fc.claimer <> v.user_id THEN 'email exists' END AS r2
+  FROM v LEFT JOIN fc ON fc.k = v.k""")]
+    q["w_user_update"] = with_shop(["users"], """
+SELECT seq, user_id, r2 IS NULL AS accepted, r2 AS reason FROM w""", extra=users)
+    # One edit per user in this feed.
+    q["w_user_update_users"] = with_shop(["users"], """
+SELECT s.user_id, coalesce(w.name, s.name) AS name, coalesce(w.email, s.email) AS email,
+       CASE WHEN w.user_id IS NULL THEN s.phone END AS phone, s.address, coalesce(w.role, s.role) AS role, s.created_at
+FROM shop_users s LEFT JOIN w ON w.user_id = s.user_id AND w.r2 IS NULL""", extra=users)
+    edits = [("edits", """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS order_id,
+       CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL WHEN o_orderstatus = 'F' THEN 'Completed' ELSE 'Shipping' END AS new_status,
+       CASE WHEN o_orderpriority = '1-URGENT' THEN NULL WHEN o_orderstatus = 'F' THEN 'Paid' ELSE 'Pending' END AS new_pay
+FROM orders""")]
     q["w_order_status_update"] = with_shop(["orders"], """
-SELECT o_orderkey AS seq, o_orderkey AS order_id,
-       o_orderkey IN (SELECT order_id FROM shop_orders) AS accepted,
-       CASE WHEN o_orderkey NOT IN (SELECT order_id FROM shop_orders) THEN 'order not found' END AS reason
-FROM orders WHERE o_orderpriority = '2-HIGH'""")
+SELECT e.seq, e.order_id, s.order_id IS NOT NULL AS accepted,
+       CASE WHEN s.order_id IS NULL THEN 'order not found' END AS reason
+FROM edits e LEFT JOIN shop_orders s ON s.order_id = e.order_id""", extra=edits)
+    q["w_order_status_update_orders"] = with_shop(["orders"], """
+SELECT s.order_id, s.user_id, s.order_date, coalesce(e.new_status, s.status) AS status, s.total_amount
+FROM shop_orders s LEFT JOIN edits e ON e.order_id = s.order_id""", extra=edits)
+    q["w_order_status_update_payments"] = with_shop(["orders", "payments"], """
+SELECT p.payment_id, p.order_id, p.method,
+       CASE WHEN p.payment_id = max(p.payment_id) OVER (PARTITION BY p.order_id) THEN coalesce(e.new_pay, p.status)
+            ELSE p.status END AS status
+FROM shop_payments p LEFT JOIN edits e ON e.order_id = p.order_id
+UNION ALL SELECT (SELECT max(payment_id) FROM shop_payments) + row_number() OVER (ORDER BY e.order_id), e.order_id, 'Bank', e.new_pay
+FROM edits e JOIN shop_orders s ON s.order_id = e.order_id
+WHERE e.new_pay IS NOT NULL AND e.order_id NOT IN (SELECT order_id FROM shop_payments)""", extra=edits)
     return q

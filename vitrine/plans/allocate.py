@@ -14,24 +14,78 @@ spans many tasks):
   taken by accepted earlier requests, it is rejected.
 
 Both rules agree with the sequential answer, and the earliest undecided
-request is always decided (all requests before it are), so the loop ends.
+request is always decided (all requests before it are).
+
+What a first round leaves open is split into connected components (requests
+that share an open resource, directly or through others). No request outside a
+component touches its open resources any more, so each component of at most
+``group_lines`` lines is solved in one grouped pass in ``seq`` order: a chain of n
+requests takes one pass, not n rounds. Only a component beyond that goes through
+further rounds of the two rules, until its parts are small enough.
+
 Each round's decisions are written with ``checkpoint()`` to the shared
 checkpoint folder, which cuts the lineage and survives lost executors.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
+from .components import components
 from .scan import prefix_sum
 
 UNDECIDED, ACCEPTED, REJECTED = "U", "A", "R"
+#: Lines of a component that one task solves; larger ones take further rounds.
+GROUP_LINES = 200_000
+
+
+def _solve(res_keys: list[str]):
+    """Requests of one component in ``seq`` order. ``_before`` is what requests
+    accepted in earlier rounds take before this line."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq", kind="stable")
+        res = pdf.groupby(res_keys, sort=False).ngroup().to_numpy()
+        free = (pdf["cap"] - pdf["_before"] - pdf["qty"]).to_numpy()
+        qty, seq = pdf["qty"].to_numpy(), pdf["seq"].to_numpy()
+        taken: dict[int, int] = {}
+        out = []
+        at = 0
+        while at < len(pdf):
+            end = at
+            while end < len(pdf) and seq[end] == seq[at]:
+                end += 1
+            ok = all(free[k] >= taken.get(res[k], 0) for k in range(at, end))
+            if ok:
+                for k in range(at, end):
+                    taken[res[k]] = taken.get(res[k], 0) + int(qty[k])
+            out.append((int(seq[at]), ok))
+            at = end
+        return pd.DataFrame(out, columns=["seq", "_ok"])
+    return run
+
+
+def _solved_components(scanned: DataFrame, res_keys: list[str], group_lines: int) -> DataFrame:
+    """seq, _ok of the undecided requests in components of bounded size."""
+    open_lines = (scanned.filter(F.col("st") == UNDECIDED)
+                  .select("seq", *res_keys, "qty", "cap",
+                          (F.col("_run_acc") - F.col("_acc")).alias("_before")))
+    first = open_lines.groupBy(*res_keys).agg(F.min("seq").alias("_first"))
+    edges = open_lines.join(first, res_keys).select(
+        F.col("seq").cast("long").alias("u"), F.col("_first").cast("long").alias("v"))
+    roots = components(edges).select(F.col("node").alias("seq"), "root")
+    placed = (open_lines.join(roots, "seq", "left")
+              .withColumn("root", F.coalesce("root", "seq")))
+    small = (placed.groupBy("root").agg(F.count(F.lit(1)).alias("_n"))
+             .filter(F.col("_n") <= group_lines).select("root"))
+    return (placed.join(small, "root", "left_semi").groupBy("root")
+            .applyInPandas(_solve(res_keys), "seq long, _ok boolean"))
 
 
 def allocate_in_order(lines: DataFrame, capacity: DataFrame, res_keys: list[str],
-                      max_rounds: int | None = None) -> DataFrame:
+                      group_lines: int = GROUP_LINES) -> DataFrame:
     """Decide requests.
 
     ``lines``: req_id, seq, *res_keys, qty (qty > 0; ``seq`` unique per request).
@@ -66,7 +120,12 @@ def allocate_in_order(lines: DataFrame, capacity: DataFrame, res_keys: list[str]
                         F.max((F.col("_run_acc") - F.col("_acc") + F.col("qty")) > F.col("cap"))
                         .alias("_over")))
         und = F.col("st") == UNDECIDED
-        status = (status.join(per_req, "req_id", "left")
+        status = status.join(per_req, "req_id", "left")
+        if rnd > 1:
+            status = (status.join(_solved_components(scanned, res_keys, group_lines), "seq", "left")
+                      .withColumn("_fit", F.coalesce("_ok", "_fit"))
+                      .withColumn("_over", F.coalesce(~F.col("_ok"), F.col("_over"))))
+        status = (status
                   .select("req_id", "seq",
                           F.when(und & F.col("_fit"), F.lit(ACCEPTED))
                            .when(und & F.col("_over"), F.lit(REJECTED))
@@ -77,7 +136,5 @@ def allocate_in_order(lines: DataFrame, capacity: DataFrame, res_keys: list[str]
         left = status.filter(F.col("st") == UNDECIDED).limit(1).count()
         if left == 0:
             break
-        if max_rounds is not None and rnd >= max_rounds:
-            raise RuntimeError(f"allocation undecided after {rnd} rounds")
     return status.select("req_id", "seq", (F.col("st") == ACCEPTED).alias("accepted"),
                          "decided_round")

@@ -21,3 +21,15 @@ def next_keys(new_rows: DataFrame, existing: DataFrame, id_col: str, order: list
     base = F.coalesce(existing.select(F.max(id_col)).scalar(), F.lit(0)).cast("long")
     numbered = row_numbers(new_rows, order, "_key_n")
     return numbered.withColumn(out, base + F.col("_key_n")).drop("_key_n")
+
+
+def aligned_keys(new_rows: DataFrame, numbered_by: str, numbered_from: DataFrame,
+                 existing: DataFrame, id_col: str) -> DataFrame:
+    """Ids for rows that come one to each new key of another table: the column
+    ``numbered_by`` already counts on without gaps from the largest key of
+    ``numbered_from``, so its distance from there is the row's number."""
+    def top(df: DataFrame, col: str) -> Column:
+        return F.coalesce(df.select(F.max(col)).scalar(), F.lit(0)).cast("long")
+
+    return new_rows.withColumn(
+        id_col, top(existing, id_col) + F.col(numbered_by) - top(numbered_from, numbered_by))

@@ -23,7 +23,7 @@ _SHOPS: dict = {}
 
 
 def shop_for(spark: SparkSession, sf_dir: str) -> Shop:
-    key = (id(spark), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, spark, sf_dir.rstrip("/"))
     if key not in _SHOPS:
         _SHOPS[key] = load_shop(spark, sf_dir)
     return _SHOPS[key]
@@ -128,7 +128,10 @@ def _source_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from .streaming.feeds import scratch
 
     def src_tables(s: Shop) -> DataFrame:
-        parts = [getattr(s, t).agg(F.count(F.lit(1)).alias("n_rows"))
+        path = scratch(s.spark, "tables")
+        TB.write_shop_tables(s, path)
+        stored = TB.read_shop_tables(s.spark, path)
+        parts = [getattr(stored, t).agg(F.count(F.lit(1)).alias("n_rows"))
                  .select(F.lit(t).alias("tbl"), "n_rows") for t in TABLES]
         return reduce(DataFrame.unionByName, parts)
 
@@ -139,7 +142,9 @@ def _source_ops() -> dict[str, Callable[[Shop], DataFrame]]:
         return TB.read_documents(s.spark, path, doc.schema, "json")
 
     def src_order_payloads(s: Shop) -> DataFrame:
-        headers, items = P.driver_order_payloads(s.spark, s.source)
+        path = scratch(s.spark, "payloads")
+        P.driver_payload_documents(s.spark, s.source).write.json(path)
+        headers, items = P.explode_order_payloads(P.read_order_payloads(s.spark, path))
         n = items.groupBy("payload_id").agg(F.count(F.lit(1)).alias("n_items"))
         return (headers.join(n, "payload_id", "left")
                 .select("payload_id", "name", "email", "phone", "address",
@@ -175,20 +180,40 @@ def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
             out = out.unionByName(p)
         return out
 
+    def intake_table(table: str):
+        return lambda s: W.w_order_intake(restocked(s), *intake(s))[table]
+
+    def upsert_table(table: str):
+        return lambda s: W.w_product_upsert(
+            s, P.driver_product_payloads(s.spark, s.source))[table]
+
+    def status_table(table: str):
+        return lambda s: W.w_order_status_update(
+            s, P.driver_order_status_updates(s.spark, s.source))[table]
+
     return {
-        "w_order_intake": lambda s: W.w_order_intake(s, *intake(s))["outcome"],
+        "w_order_intake": intake_table("outcome"),
+        "w_order_intake_orders": intake_table("orders"),
+        "w_order_intake_lines": intake_table("order_details"),
+        "w_order_intake_payments": intake_table("payments"),
+        "w_order_intake_shipping": intake_table("shipping"),
+        "w_order_intake_stock": intake_table("product_variants"),
         "w_variant_resolve": lambda s: W.w_variant_resolve(s, intake(s)[1]).select(
             "payload_id", "pos", "product_id", "variant_id"),
         "w_customer_upsert": lambda s: W.w_customer_upsert(s, intake(s)[0])["users"],
         "w_assign_keys": lambda s: W.w_assign_keys(intake(s)[0].select("payload_id"), s.orders,
                                                    "order_id", [F.col("payload_id").asc()]),
         "w_dimension_get_or_create": dims,
-        "w_product_upsert": lambda s: W.w_product_upsert(
-            s, P.driver_product_payloads(s.spark, s.source))["outcome"],
+        "w_product_upsert": upsert_table("outcome"),
+        "w_product_upsert_products": upsert_table("products"),
+        "w_product_upsert_variants": upsert_table("product_variants"),
         "w_user_update": lambda s: W.w_user_update(
             s, P.driver_user_updates(s.spark, s.source))["outcome"],
-        "w_order_status_update": lambda s: W.w_order_status_update(
-            s, P.driver_order_status_updates(s.spark, s.source))["outcome"],
+        "w_user_update_users": lambda s: W.w_user_update(
+            s, P.driver_user_updates(s.spark, s.source))["users"],
+        "w_order_status_update": status_table("outcome"),
+        "w_order_status_update_orders": status_table("orders"),
+        "w_order_status_update_payments": status_table("payments"),
     }
 
 
@@ -196,7 +221,7 @@ def _stream_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from .streaming import feeds as S
 
     def cart(s: Shop) -> DataFrame:
-        feed = _purchase_feed(s).select("seq", "user_id", "variant_id", "quantity")
+        feed = _request_feed(s).select("seq", "user_id", "variant_id", "quantity")
         return S.s_cart_merge(s, S.cart_feed_steps(feed))
 
     return {
@@ -207,20 +232,39 @@ def _stream_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     }
 
 
-def _purchase_feed(shop: Shop) -> DataFrame:
+def restocked(shop: Shop) -> Shop:
+    """The shop after a delivery of 100 of every variant but each twentieth, so
+    that checkout and intake accept some requests and refuse others."""
+    from pyspark.sql import functions as F
+    more = F.when(F.col("variant_id") % 20 == 0, F.lit(0)).otherwise(F.lit(100))
+    return shop.with_tables(product_variants=shop.product_variants.withColumn(
+        "stock", (F.col("stock") + more).cast("int")))
+
+
+def _request_feed(shop: Shop) -> DataFrame:
     from pyspark.sql import functions as F
     from .sources.driver import read_driver
     part = read_driver(shop.spark, shop.source, "part")
     n_parts = part.select(F.count(F.lit(1))).scalar()
     n_products = part.filter(F.col("p_partkey") % 4 == 0).select(F.count(F.lit(1))).scalar()
-    return K.purchase_events(read_driver(shop.spark, shop.source, "events"), n_parts, n_products)
+    return K.shop_requests(read_driver(shop.spark, shop.source, "events"), n_parts, n_products)
 
 
 def _bulk_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    def checkout_table(table: str):
+        return lambda s: K.p_bulk_checkout(restocked(s), s.users)[table]
+
     return {
-        "p_bulk_checkout": lambda s: K.p_bulk_checkout(s, s.users)["outcome"],
-        "p_bulk_add_to_cart": lambda s: K.p_bulk_add_to_cart(s, _purchase_feed(s))["outcome"],
-        "p_bulk_review_insert": lambda s: K.p_bulk_review_insert(s, _purchase_feed(s))["outcome"],
+        "p_bulk_checkout": checkout_table("outcome"),
+        "p_bulk_checkout_orders": checkout_table("orders"),
+        "p_bulk_checkout_lines": checkout_table("order_details"),
+        "p_bulk_checkout_stock": checkout_table("product_variants"),
+        "p_bulk_checkout_carts": checkout_table("cart_items"),
+        "p_bulk_add_to_cart_carts": lambda s: K.p_bulk_add_to_cart(s, _request_feed(s))["cart_items"],
+        "p_bulk_review_insert_reviews": lambda s: K.p_bulk_review_insert(
+            s, _request_feed(s))["reviews"],
+        "p_bulk_add_to_cart": lambda s: K.p_bulk_add_to_cart(s, _request_feed(s))["outcome"],
+        "p_bulk_review_insert": lambda s: K.p_bulk_review_insert(s, _request_feed(s))["outcome"],
     }
 
 
@@ -253,9 +297,25 @@ def _audit_ops() -> dict[str, Callable[[Shop], DataFrame]]:
             "products": s.products.filter(F.col("category_id").isNull()),
             "brands": s.brands.filter(F.col("brand_id") == 1)})
 
+    def with_faults(s: Shop) -> Shop:
+        """Missing and over-long values, which the driver tables do not have."""
+        users = (s.users
+                 .withColumn("phone", F.when(F.col("user_id") % 13 == 0, F.concat("phone", "phone"))
+                             .otherwise(F.col("phone")))
+                 .withColumn("role", F.when(F.col("user_id") % 17 != 0, F.col("role"))))
+        reviews = (s.reviews
+                   .withColumn("comment", F.when(F.col("review_id") % 19 == 0, F.repeat(F.lit("x"), 501))
+                               .otherwise(F.col("comment")))
+                   .withColumn("rating", F.when(F.col("review_id") % 23 != 0, F.col("rating"))))
+        lines = (s.order_details
+                 .withColumn("price", F.when(F.col("order_id") % 31 != 0, F.col("price")))
+                 .withColumn("quantity", F.when(F.col("order_id") % 37 != 0, F.col("quantity"))))
+        return s.with_tables(users=users, reviews=reviews, order_details=lines)
+
     ops = {name: getattr(A, name) for name in (
-        "c_unique", "c_domain", "c_range", "c_foreign_keys", "c_not_null", "c_length",
-        "c_price_snapshot_drift")}
+        "c_unique", "c_domain", "c_range", "c_foreign_keys", "c_price_snapshot_drift")}
+    ops["c_not_null"] = lambda s: A.c_not_null(with_faults(s))
+    ops["c_length"] = lambda s: A.c_length(with_faults(s))
     ops["c_delete_cascade"] = cascade
     return ops
 
@@ -269,7 +329,7 @@ def _driver_events(shop: Shop):
     from .sources.driver import read_driver
     part = read_driver(shop.spark, shop.source, "part")
     n_parts = part.select(F.count(F.lit(1))).scalar()
-    return L.click_cart_events(read_driver(shop.spark, shop.source, "events"), n_parts)
+    return L.cart_events(read_driver(shop.spark, shop.source, "events"), n_parts)
 
 
 def _document_ops() -> dict[str, Callable[[Shop], DataFrame]]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -35,7 +34,6 @@ def build_session(master: str | None = None, app: str = "vitrine",
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -66,8 +64,4 @@ def apply_session_defaults(spark: SparkSession) -> None:
             spark.conf.set(k, DEFAULT_CONF[k])
         except Exception:  # noqa: BLE001 - static confs cannot change at runtime
             pass
-    ensure_checkpoint_dir(spark)
 
-
-def local_cpus(default: int = 8) -> int:
-    return int(os.environ.get("BENCH_CPUS", default))

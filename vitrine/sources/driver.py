@@ -59,7 +59,7 @@ def load_shop(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> S
     brand_no = F.expr("CAST(substring(p_brand, 7) AS INT)")
     pid = _product_of(F.col("p_partkey"))
 
-    users = (customer.join(F.broadcast(nation), F.col("n_nationkey") == F.col("c_nationkey"))
+    users = (customer.join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
              .select(F.col("c_custkey").alias("user_id"),
                      F.col("c_name").alias("name"),
                      F.concat(F.lit("c"), F.col("c_custkey").cast("string"),
@@ -102,8 +102,8 @@ def load_shop(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> S
                             F.when(pid % 5 == 0, F.lit(0))
                              .when(pid % 5 == 1, F.col("p_partkey") % 2)
                              .otherwise((F.col("p_partkey") * 7) % 13).cast("int").alias("stock")))
-    product_variants = (variants_raw.join(F.broadcast(colors.select(
-        F.col("name").alias("color_name"), "color_id")), "color_name")
+    product_variants = (variants_raw.join(colors.select(
+        F.col("name").alias("color_name"), "color_id"), "color_name")
         .select("variant_id", "product_id", "size_id", "color_id", "price", "stock",
                 no_ts.alias("created_at")))
 
@@ -190,7 +190,7 @@ def load_shop(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> S
                                 (1 + F.col("event_id") % 3).alias("qty"))
                   .groupBy("cart_id", "variant_id")
                   .agg(F.sum("qty").cast("int").alias("quantity"))
-                  .select((F.col("cart_id") * 1000000 + F.col("variant_id")).alias("cart_item_id"),
+                  .select((F.col("cart_id") * n_parts + F.col("variant_id")).alias("cart_item_id"),
                           "cart_id", "variant_id", "quantity"))
 
     return Shop(spark=spark, users=users, brands=brands, categories=categories,

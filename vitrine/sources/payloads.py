@@ -49,7 +49,7 @@ def explode_order_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def driver_order_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Every urgent driver order re-submitted through the order intake.
+    """Every driver order re-submitted through the order intake.
 
     The customer carries the shop user's e-mail, except household customers,
     who check out as guests (blank e-mail); items name a product with size and
@@ -57,14 +57,14 @@ def driver_order_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     intake falls back to the product's first variant); the client price is
     the part's list price.
     """
-    orders = read_driver(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "1-URGENT")
+    orders = read_driver(spark, sf_dir, "orders")
     customer = read_driver(spark, sf_dir, "customer")
     nation = read_driver(spark, sf_dir, "nation")
     lineitem = read_driver(spark, sf_dir, "lineitem")
     part = read_driver(spark, sf_dir, "part")
     guest = F.col("c_mktsegment") == "HOUSEHOLD"
     headers = (orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-               .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+               .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
                .select(F.col("o_orderkey").alias("payload_id"), F.col("c_name").alias("name"),
                        F.when(guest, F.lit("")).otherwise(
                            F.concat(F.lit("c"), F.col("c_custkey").cast("string"),
@@ -91,6 +91,21 @@ def driver_order_payloads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame,
     return headers, items
 
 
+def driver_payload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same payloads as the JSON documents a client sends. An order's items
+    are one array, bounded by the lines of an order."""
+    headers, items = driver_order_payloads(spark, sf_dir)
+    item = F.struct("pos", F.col("product_id_text").alias("productId"), "size", "color",
+                    F.col("quantity").cast("double").alias("quantity"),
+                    F.col("price").cast("double").alias("price"))
+    lists = items.groupBy("payload_id").agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    return headers.join(lists, "payload_id", "left").select(
+        "payload_id", F.struct("name", "email", "phone", "address").alias("customer"),
+        F.transform("_items", lambda x: x.dropFields("pos")).alias("items"),
+        F.col("total_amount").alias("totalAmount"), F.col("payment_method").alias("paymentMethod"),
+        F.col("order_date").alias("orderDate"))
+
+
 def driver_product_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every part re-submitted from the admin product form: parts of size
     above 25 replace their product, the others create a new one."""
@@ -108,11 +123,11 @@ def driver_product_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def driver_user_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admin edits of customers in debt: names upper-cased, some e-mails taken
+    """Admin edits of every customer: names upper-cased, some e-mails taken
     from other users, a role that does not exist for machinery customers."""
-    c = read_driver(spark, sf_dir, "customer").filter(F.col("c_acctbal") < 0)
+    c = read_driver(spark, sf_dir, "customer")
     nation = read_driver(spark, sf_dir, "nation")
-    return (c.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    return (c.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
             .select(F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("user_id"),
                     F.upper(F.col("c_name")).alias("name"),
                     F.concat(F.lit("c"),
@@ -126,11 +141,17 @@ def driver_user_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def driver_order_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admin edits of high-priority orders: finished orders become completed
-    and paid, the others shipping with a pending bank payment."""
-    o = read_driver(spark, sf_dir, "orders").filter(F.col("o_orderpriority") == "2-HIGH")
+    """Admin edits of every order: finished orders become completed and paid, the
+    others shipping with a pending bank payment. Urgent orders are edited in
+    their status alone, medium ones in their payment alone; every seventh edit
+    names an order that does not exist."""
+    o = read_driver(spark, sf_dir, "orders")
     done = F.col("o_orderstatus") == "F"
-    return o.select(F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("order_id"),
-                    F.when(done, F.lit("Completed")).otherwise(F.lit("shipping")).alias("order_status"),
-                    F.when(done, F.lit("PAID")).otherwise(F.lit("unknown")).alias("payment_status"),
-                    F.lit("banking").alias("payment_method"))
+    key = F.col("o_orderkey")
+    return o.select(
+        key.alias("seq"), F.when(key % 7 == 0, -key - 1).otherwise(key).alias("order_id"),
+        F.when(F.col("o_orderpriority") != "3-MEDIUM",
+               F.when(done, F.lit("Completed")).otherwise(F.lit("shipping"))).alias("order_status"),
+        F.when(F.col("o_orderpriority") != "1-URGENT",
+               F.when(done, F.lit("PAID")).otherwise(F.lit("unknown"))).alias("payment_status"),
+        F.lit("banking").alias("payment_method"))

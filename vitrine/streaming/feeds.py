@@ -166,7 +166,9 @@ def s_stock_ledger(shop: Shop, steps: list[DataFrame] | None = None,
     root = root or scratch(spark, "stock-ledger")
     seed = shop.product_variants.select("variant_id", F.col("stock").cast("long").alias("stock"))
     table = VersionedTable(spark, f"{root}/stock", resume=resume, seed=seed)
-    static = shop.product_variants.select("variant_id", F.col("stock").cast("long").alias("_s0"))
+    # The base stock is the seed this ledger once wrote, not the shop's present table,
+    # which may already hold the ledger's own result after a restart.
+    static = table.read(-1).select("variant_id", F.col("stock").alias("_s0"))
 
     def upsert(batch: DataFrame, b: int) -> None:
         updated = batch.join(static, "variant_id").select(
