@@ -190,6 +190,49 @@ def test_contamination_against_brute_force(spark, docs, group):
     assert len(got) == len(want)
 
 
+def brute_short(rows, items):
+    """Every document shorter than an item is one window; nothing is left out."""
+    out = {}
+    for k, t in rows:
+        w = norm(t)
+        for i, x in items:
+            b = norm(x)
+            if w and len(w) < len(b):
+                have, want = Counter(shingles(w)), Counter(shingles(b))
+                s = sum((have & want).values()) / sum((have | want).values())
+                if s >= 0.8:
+                    out[k, i] = s
+    return out
+
+
+@pytest.mark.parametrize("group", [1000, 3])
+def test_contamination_of_documents_shorter_than_the_item(spark, docs, group):
+    rng = random.Random(6)
+    voc = [f"v{i}" for i in range(200)]
+    items = [(i, " ".join(rng.choice(voc) for _ in range(n)))
+             for i, n in enumerate([3, 4, 5, 6, 9, 10, 11, 13, 20, 33, 60, 60])]
+    items += [(50, "a a a a a a a a a a a a"), (51, "p q p q p q p q p")]
+    rows = []
+    for i, x in items:
+        w = x.split()
+        for a in range(4):
+            for b in range(4):
+                rows.append((len(rows), " ".join(w[a:len(w) - b])))
+        odd = list(w[1:])
+        odd[len(odd) // 2] = "edited"
+        rows.append((len(rows), " ".join(odd)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(docs(rows), bench, group_items=group).collect()
+    want = brute_contaminated(rows, items) | brute_short(rows, items)
+    assert len(brute_short(rows, items)) > 40
+    assert {(r.doc_id, r.item_id): pytest.approx(r.similarity) for r in got} == want
+    assert len(got) == len(want)
+    words = {k: len(norm(t)) for k, t in rows}
+    for r in got:
+        if (r.doc_id, r.item_id) in brute_short(rows, items):
+            assert (r.start_word, r.n_words) == (0, words[r.doc_id])
+
+
 def test_contamination_empty(spark, docs):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contaminated(docs([(1, "a b c")]), bench).count() == 0

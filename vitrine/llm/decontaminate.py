@@ -3,20 +3,25 @@ search, exact weighted-shingle check.
 
 Words are lower-cased runs of letters and digits; a shingle is five consecutive
 words (a shorter item is one shingle of all its words). A document window is
-compared with items of its own length in words only. Its weighted-shingle
-similarity with an item is sum(min) / sum(max) over shingle multiplicities.
+compared with items of its own length in words; a document shorter than an item
+is one window as a whole. The weighted-shingle similarity of a window with an item
+is sum(min) / sum(max) over shingle multiplicities.
 
 1. For each item length, windows that may reach the similarity are found by a
    bound that loses none: J >= s of two bags of n shingles needs
    ceil(2 s n / (1 + s)) shared shingles, so a window needs as many positions
-   whose shingle occurs in some item of that length.
+   whose shingle occurs in some item of that length. A document of m < n shingles
+   needs ceil(s (m + n) / (1 + s)).
 2. Those windows get a 64-bit SimHash, each bit the sign of the sum of the
    shingles' +-1 bits.
 3. The items' fingerprints are cut into four 16-bit blocks, and each block is
    indexed under every value within ``radius // 4`` bits. By the pigeonhole
    principle a window within ``radius`` of an item meets it in one block at
    least, so the lookup returns every fingerprint within the radius.
-4. Candidates within the radius are verified on the shingles themselves.
+4. Candidates within the radius are verified on the shingles themselves. A document
+   that is one window as a whole is verified with every item that shares as many
+   shingles as the bound asks for, at whatever distance: bags of unequal size have
+   tied bits, which would put short ones beyond the radius.
 
 The radius of 19 of 64 bits is 3.2 standard deviations above the distance
 expected at similarity 0.8 (cosine 0.89, 9.7 bits), so a pair just at the
@@ -84,7 +89,11 @@ class ItemIndex:
         self.n_words, self.ids, self.bags = n_words, ids, bags
         self.n = len(bags[0])
         self.need = math.ceil(2 * s * self.n / (1 + s) - 1e-9)
-        self.known = np.unique(np.concatenate(bags))
+        flat = np.concatenate(bags)
+        self.known = np.unique(flat)
+        order = np.argsort(flat, kind="stable")  # item numbers by shingle
+        self.held = flat[order]
+        self.holder = np.repeat(np.arange(len(ids), dtype=np.int32), self.n)[order]
         self.prints = simhash(np.stack(bags))
         masks = near_values(radius // BLOCKS)
         self.tables = []
@@ -104,6 +113,15 @@ class ItemIndex:
         near = [i for i in found if int(self.prints[i] ^ fp).bit_count() <= radius]
         return sorted(near)
 
+    def sharing(self, bag: np.ndarray, need: int) -> list[int]:
+        """Items that hold the shingles of ``need`` positions of ``bag`` at least."""
+        shingle, n = np.unique(bag, return_counts=True)
+        shared = np.zeros(len(self.ids), dtype=np.int64)
+        lo, hi = np.searchsorted(self.held, shingle, "left"), np.searchsorted(self.held, shingle, "right")
+        for a, b, k in zip(lo.tolist(), hi.tolist(), n.tolist()):
+            shared[np.unique(self.holder[a:b])] += k
+        return np.flatnonzero(shared >= need).tolist()
+
 
 def build_index(items: list[tuple], shingle: int, s: float, radius: int) -> list[ItemIndex]:
     words, first = C.hashed_words([t for _, t in items], True)
@@ -148,6 +166,18 @@ def _scan(items: list[tuple], shingle: int, s: float, radius: int):
                 sh = full[lo:max(lo, hi - shingle + 1)]
                 for x in index:
                     if hi - lo < x.n_words:
+                        m = len(sh) if hi - lo >= shingle else 0
+                        if m < s * x.n - 1e-9:  # another length of shingle, or too few
+                            continue
+                        need = math.ceil(s * (m + x.n) / (1 + s) - 1e-9)
+                        if np.isin(sh, x.known).sum() < need:
+                            continue
+                        fp = simhash(sh[None, :])[0]
+                        for i in x.sharing(sh, need):
+                            sim = similarity(sh, x.bags[i])
+                            if sim >= s:
+                                out.append((d, x.ids[i], 0, hi - lo,
+                                            int(x.prints[i] ^ fp).bit_count(), sim))
                         continue
                     grams = sh if x.n_words >= shingle else short_hits[x.n_words][lo:hi - x.n_words + 1]
                     got = np.isin(grams, x.known)
