@@ -68,6 +68,28 @@ def test_plain_words_stay(lm):
         assert toxicity.restore_token(w, lm.tolist()) == w
 
 
+@pytest.mark.parametrize("sentence, meant", [
+    ("what a s c u m.", "scum"), ("you $ t u p ! d, man", "stupid"), ("an i d i o t, really", "idiot"),
+    ("you m o r o n!", "moron"), ('so "s t u p i d" it is', "stupid"), ("l  o \t s\ne r", "loser"),
+    ("f o o l", "fool"), ("'s c u m'", "scum"), ("s . c . u . m", "scum"), ("s c u", "scu"),
+    ("s t u p p i d", "stupid"), ("what a n i d i o t.", "idiot"), ("i a m a f o o l.", "fool"),
+    ("you !diot", "idiot"), ("that (lown", "clown"), ("(!diot)", "idiot"), ("you dumba$$.", "dumbass"),
+    ("such an a$$", "ass"), ("an iddiot", "idiot"), ("how stuppid!", "stupid"), ("mooron.", "moron"),
+    ("wow!", "wow"), ("(really)", "really"), ("hello.", "hello"), ("well!!!", "well")])
+def test_obfuscated_words_in_sentences(lm, sentence, meant):
+    scorer = toxicity.Scorer(lm)
+    assert meant in scorer.features(sentence)
+    assert meant in scorer.features(sentence)  # from the cache
+
+
+def test_runs_of_single_characters():
+    runs = lambda t: [m[0] for m in toxicity._SPACED.finditer(t)]
+    assert runs("s c u m. i a m") == ["s c u m", "i a m"]
+    assert runs("a b cat, don't a b") == []
+    assert runs("* " * 50_000 + "xy") and runs("no run here 12 34 5") == []
+    assert toxicity.run_forms("1 2 3", []) == []
+
+
 def test_toxicity_query(spark):
     rows = toxicity.op1(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
     r = rows.select("held_out", "score", "predicted", "toxic").collect()

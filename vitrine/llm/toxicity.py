@@ -5,12 +5,19 @@
    rows whatever the input.
 2. Each obfuscated token or run of spaced letters becomes a lattice: a look-alike
    sign may stand for its letters or itself, a sign between single letters may be
-   nothing or a blank, a letter repeated three times or more may be one, two or
-   all of them. Viterbi decoding over pairs of symbols finds the likeliest text
-   under channel and language model. Tokens without such signs have one path, the
+   nothing or a blank, a letter repeated twice may be one or two, and one repeated
+   three times or more one, two or all of them. Viterbi decoding over pairs of
+   symbols finds the likeliest text under channel and language model. '!' and '('
+   around a word are punctuation on one path and letters on another. The form as
+   written stays beside the decoded ones, as letters and signs at the ends of a word
+   often mean what they are. Tokens without letters to restore have one path, the
    token itself, and are not decoded. Whole texts are read.
 3. The restored text is scored: sparse logistic regression (FTRL, elastic net) on
-   the words of a text and their first four to six letters, each counted once.
+   the words of all its forms and their first four to six letters, each counted once.
+
+A run of spaced letters is three or more single letters, digits or look-alike signs
+with blanks of any kind and width, one sign, or one sign among blanks between;
+punctuation around it is left out. Runs of digits alone are numbers.
 
 The classifier is fitted on a bounded, hash-chosen sample of labelled rows
 (``per_class`` for each label); the language model and the scores cover all rows.
@@ -50,13 +57,22 @@ SYMBOLS = 29
 BLANK, DIGIT, OTHER = 26, 27, 28
 
 _LETTER = "a-zß-öø-ÿ"
-_PLAIN = re.compile(f"[{_LETTER}'’-]*[^\\w\\s]*")
+_PLAIN = re.compile(f"[{_LETTER}'’-]*")
 _TRIPLE = re.compile(f"([{_LETTER}])\\1\\1")
+_DOUBLE = re.compile(f"([{_LETTER}])\\1")
 _SIGN = "".join(re.escape(c) for c in LOOKALIKES)
-_MIXED = re.compile(f"[{_LETTER}][{_SIGN}]+[{_LETTER}]|[{_SIGN}][{_LETTER}]|[{_LETTER}][0-9@$|+*#]")
+_MIXED = re.compile(f"[{_LETTER}][{_SIGN}]|[{_SIGN}][{_LETTER}]")
 _DOTTED = re.compile(r"(?:[^\W_][.\-_*]){2,}[^\W_]")
-#: Single characters with one sign or blank between: at least four of them.
-_SPACED = re.compile(r"(?<!\S)\w(?:[ .\-_*]\w){3,}(?!\S)")
+_EDGES = ".,;:?!\"'()[]{}«»“”…"
+#: What surrounds a word without standing for a letter.
+_OUTER = "".join(c for c in _EDGES if c not in LOOKALIKES)
+_ENDS = "".join(c for c in LOOKALIKES if not c.isdigit())
+_REPEATED = re.compile(r"(.)\1\1+")
+#: One character of a run, with no word going on behind it.
+_UNIT = rf"(?:[^\W_]|[{_SIGN}])(?!\w|['’@$!|+(<€£#]\w)"
+_SPACED = re.compile(
+    rf"(?<!\w)(?<!\w['’]){_UNIT}(?:(?:\s+(?:[.\-_*]\s+)?|[.\-_*]){_UNIT}){{2,}}+")
+_GAP = re.compile(r"\s+(?:[.\-_]\s+)?")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -104,8 +120,10 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 # -------------------------------------------------------------------- lattice
 
-def lattice(observed: str) -> list[list[tuple[str, float]]]:
-    """The choices at each place: emitted text and log channel probability."""
+def lattice(observed: str, whole: bool = False, part: float = 0.15,
+            ) -> list[list[tuple[str, float]]]:
+    """The choices at each place: emitted text and log channel probability. ``whole``:
+    look-alike signs are letters; ``part``: how likely a sign or blank stays."""
     places: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(observed):
@@ -118,30 +136,33 @@ def lattice(observed: str) -> list[list[tuple[str, float]]]:
             if run >= 3:
                 places.append([(c, math.log(0.5)), (c * 2, math.log(0.4)),
                                (c * run, math.log(0.1))])
+            elif run == 2:
+                places.append([(c, math.log(0.5)), (c * 2, math.log(0.5))])
             else:
-                places.append([(c * run, 0.0)])
+                places.append([(c, 0.0)])
             i = j
             continue
         choices = []
         letters = LOOKALIKES.get(c, "")
         between = 0 < i < len(observed) - 1
         parts = c in " .-_*"
-        share = 0.85 / max(1, len(letters) + 2 * (parts and between))
+        share = (1 - part) / max(1, len(letters) + 2 * (parts and between))
         choices += [(x, math.log(share)) for x in letters]
         if parts and between:
             choices.append(("", math.log(2 * share)))
-        choices.append((c if c.isdigit() else " ", math.log(0.15)))
+        if not (whole and letters):
+            choices.append((c if c.isdigit() else " ", math.log(part)))
         places.append(choices)
         i += 1
     return places
 
 
-def viterbi(observed: str, lm: np.ndarray) -> str:
+def viterbi(observed: str, lm: np.ndarray, whole: bool = False, part: float = 0.15) -> str:
     """The likeliest restored text; ties go to the choice listed first."""
     # state (last two symbols) -> (log probability, back pointer)
     states = {(BLANK, BLANK): (0.0, None)}
     table = lm.tolist() if isinstance(lm, np.ndarray) else lm
-    for choices in lattice(observed):
+    for choices in lattice(observed, whole, part):
         new: dict[tuple, tuple] = {}
         for text, cost in choices:
             syms = [_symbol(c) for c in text]
@@ -162,14 +183,55 @@ def viterbi(observed: str, lm: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def _decoded(core: str, table: list) -> str:
+    """The likeliest text of a token without punctuation around it."""
+    if not core or _PLAIN.fullmatch(core) and not _DOUBLE.search(core) and not _DOTTED.search(core):
+        return core
+    if _DOUBLE.search(core) or _MIXED.search(core) or _DOTTED.search(core):
+        return viterbi(core, table)
+    return core
+
+
 def restore_token(token: str, table: list) -> str:
-    """A lower-cased token as it was meant."""
-    core = token.strip(".,;:?!\"'()[]{}«»“”…")
-    if not core or _PLAIN.fullmatch(core) and not _TRIPLE.search(core) and not _DOTTED.search(core):
+    """A lower-cased token as it was meant, its punctuation taken as such."""
+    core = token.strip(_EDGES)
+    if _PLAIN.fullmatch(core) and not _TRIPLE.search(core) and not _DOTTED.search(core):
         return token
-    if _TRIPLE.search(core) or _MIXED.search(core) or _DOTTED.search(core):
-        return viterbi(core, table)
-    return token
+    text = _decoded(core, table)
+    return token if text == core else text
+
+
+def _ends(signs: str, lead: bool) -> list[str]:
+    """What the look-alike signs before or behind a word may belong to it: none, the
+    nearest one, or all (a sign repeated three times and more counts once)."""
+    near = signs[-1:] if lead else signs[:1]
+    return list(dict.fromkeys(["", near, _REPEATED.sub(r"\1", signs)]))
+
+
+def token_forms(token: str, table: list, decoded=_decoded) -> list[str]:
+    """The forms of a lower-cased token: as written, as decoded, and with look-alike
+    signs at its ends as letters."""
+    inner = token.strip(_OUTER)
+    core = inner.strip(_ENDS)
+    forms = [token, decoded(inner.strip(_EDGES), table)]
+    if core != inner and any(c.isalpha() for c in core):
+        at = inner.index(core)
+        forms += [viterbi(a + core + b, table, whole=True)
+                  for a in _ends(inner[:at], True)
+                  for b in _ends(inner[at + len(core):], False) if a or b]
+    return forms
+
+
+def run_forms(run: str, table: list, decoded=_decoded) -> list[str]:
+    """The forms of a run of single characters: signs at its ends as letters and as
+    punctuation, blanks between words few or many, a first 'a' or 'i' for itself."""
+    if not any(c.isalpha() or c in _ENDS for c in run):
+        return []  # digits alone are numbers
+    run = _GAP.sub(" ", run)
+    seen = [run, run.strip(_ENDS + " .-_"), *([run[2:]] if run[0] in "ai" else [])]
+    forms = [viterbi(x, table, part=part) for x in dict.fromkeys(seen) if len(x) > 2
+             for part in (0.15, 0.6)]
+    return forms + [" ".join(decoded(w, table) for w in x.split()) for x in dict.fromkeys(forms)]
 
 
 # ------------------------------------------------------------------- features
@@ -194,15 +256,25 @@ class Scorer:
         self.table = lm.tolist()
         self.known = known
         self.cache: dict[str, frozenset] = {}
+        self.words: dict[str, str] = {}
+
+    def _once(self, core: str, table: list) -> str:
+        """``_decoded``, once for a word whatever punctuation is around it."""
+        got = self.words.get(core)
+        if got is None:
+            if len(self.words) >= self.size:
+                self.words.clear()
+            got = self.words[core] = _decoded(core, table)
+        return got
 
     def _features(self, observed: str, spaced: bool) -> frozenset:
-        text = viterbi(observed, self.table) if spaced else restore_token(observed, self.table)
-        found = word_features(text)
+        forms = (run_forms if spaced else token_forms)(observed, self.table, self._once)
+        found = set().union(*map(word_features, dict.fromkeys(forms)))
         if self.known is not None:
             found = {self.known[x] for x in found if x in self.known}
         if len(self.cache) >= self.size:
             self.cache.clear()
-        got = self.cache[observed] = frozenset(found)
+        got = self.cache["\n" * spaced + observed] = frozenset(found)
         return got
 
     def features(self, text: str | None) -> set:
@@ -216,7 +288,8 @@ class Scorer:
             if found:
                 out |= found
         for m in _SPACED.finditer(low):
-            out |= self.cache.get(m[0]) or self._features(m[0], True)
+            found = get("\n" + m[0])  # a token holds no line break
+            out |= self._features(m[0], True) if found is None else found
         return out
 
 
