@@ -1,4 +1,5 @@
-"""Substring dedup by relative Lempel-Ziv parsing against indexed blocks.
+"""Substring dedup by equality of windows bucketed by minimizer, in place of relative
+Lempel-Ziv parsing (the README says why): no longest factors, no sources.
 
 Contract: words are runs of bytes other than blank and TAB..CR. A word is
 removed when some window of ``window`` consecutive words covers it whose word
@@ -11,13 +12,13 @@ blocks, and about one word in twelve starts a block.
 
 1. Index: the blocks of all documents are counted. A window whose block occurs
    once cannot repeat, so only blocks seen twice or more are kept.
-2. Parse: each document is read again against its kept blocks. The windows that
+2. Windows: each document is read again against its kept blocks. The windows that
    share a block form one row (block, document, first window, window hashes):
-   the stretch over which a factor through this block may run.
-3. Factors are checked window by window among the rows of one block; a window
+   the stretch over which a repeat through this block may run.
+3. They are checked window by window among the rows of one block; a window
    hash (64 bits within a 64-bit block) met twice marks the window. Runs of
-   marked windows are the factors of at least ``window`` words; they end exactly
-   at the factor boundaries, where the first window is met only once.
+   marked windows are the repeats of at least ``window`` words; they end exactly
+   where the first window is met only once.
 4. The marks come back to their document and the covered words go.
 
 Hot blocks (over ``hot`` occurrences) are never gathered by block: their windows
