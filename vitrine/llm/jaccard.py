@@ -12,7 +12,9 @@ least 0.8.
    of two documents is the shortest common prefix between neighbours on the way.
 3. Prefixes are shortened from ``depth`` until a pair just at the threshold is met
    in some tree with the probability ``recall``: 1 - (1 - s**k)**trees >= recall
-   fixes k, the shortest prefix that still has to be followed. Each run of
+   fixes k, the shortest prefix that still has to be followed. It is solved once from
+   these constants (k = 6 as they stand) and never adapts to the data, so the forest
+   amounts to ``trees`` bands of k values. Each run of
    documents that share k values is linked to its first one, a run cut by a
    partition boundary also through its prefix: never more than one edge for each
    document and tree.
