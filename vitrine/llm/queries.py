@@ -11,11 +11,14 @@ import corpus_pipeline
 from . import (
     decontaminate,
     fingerprint,
+    guesscost,
+    infill,
     jaccard,
     language,
     lmscore,
     mincut,
     packing,
+    phrases,
     substring,
     toxicity,
     warc,
@@ -34,12 +37,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_extraction": mincut.op8,
         "op9_warc": warc.op9,
         "op10_harmonic_packing": packing.op10,
+        "op11_phrases": phrases.op11,
+        "op12_guess_cost": guesscost.op12,
+        "op13_fill_in_middle": infill.op13,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op9_warc": warc.OP9_SQL}
+    out = {"op9_warc": warc.OP9_SQL, "op11_phrases": phrases.OP11_SQL,
+           "op12_guess_cost": guesscost.op12,
+        "op13_fill_in_middle": infill.OP13_SQL}
     if corpus_pipeline.ORACLE_SQL:
         out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
