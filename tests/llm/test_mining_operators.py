@@ -63,10 +63,11 @@ def test_phrases_equal_brute_force(docs, seed):
                        for _ in range(rng.randint(0, 60)))
         rows.append((i % 50 if i % 9 else None, text, rng.choice(["en", "fr", None, "und", ""])))
     rows += [(1, None, "en"), (2, "", "de"), (3, " \t.", "de"), rows[0], rows[0]]
-    for min_count, top in ((5, 2000), (12, 7)):
+    for min_count, top, prune in ((5, 2000, {}), (12, 7, {}), (5, 2000, {"filtered": 2, "bits": 15}),
+                                  (12, 2000, {"filtered": 5, "bits": 18})):
         want = brute_phrases(rows, min_count, top)
         assert want
-        assert mined(docs(rows, extra=True), min_count=min_count, top=top) == want
+        assert mined(docs(rows, extra=True), min_count=min_count, top=top, **prune) == want
 
 
 def test_phrases_pad_at_rare_words_and_keep_n(docs):

@@ -294,9 +294,9 @@ def priced(values: DataFrame, words: DataFrame) -> DataFrame:
     """value, bits for a table of distinct values and one of word, n (all words)."""
     total = words.agg(F.sum("n").alias("n")).first().n or 1
     runs = values.mapInArrow(_letter_runs, "value string, word string")
-    held = (runs.join(words, "word").groupBy("value")
+    held = (runs.join(words.hint("merge"), "word").groupBy("value")
             .agg(F.collect_list(F.struct("word", "n")).alias("words")))
-    return (values.join(held, "value", "left")
+    return (values.join(held.hint("merge"), "value", "left")
             .mapInArrow(_price(total), "value string, bits double"))
 
 
@@ -319,11 +319,12 @@ def secret_spans(docs: DataFrame, least_bits: float = LEAST_BITS) -> DataFrame:
     dear = priced(values, words).filter(F.col("bits") >= least_bits)
     # One value may have many of the rows: both sides of the join are salted.
     dear = dear.select("value", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # The joins name their kind: what comes of a table of values grows with the documents.
     guesses = (cred.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-               .join(dear, ["value", "salt"])
+               .join(dear.hint("merge"), ["value", "salt"])
                .groupBy("row").agg(F.collect_list(F.struct(
                    "start", F.lit(KINDS.index("guess")).alias("kind"), "end")).alias("more")))
-    return (found.filter(F.size("cred") > 0).join(guesses, "row", "left")
+    return (found.filter(F.size("cred") > 0).join(guesses.hint("merge"), "row", "left")
             .select("doc_id", "base", F.array_sort(F.concat(
                 "base", F.coalesce("more", F.slice("base", 1, 0)))).alias("spans"))
             .unionByName(found.filter(F.size("cred") == 0)

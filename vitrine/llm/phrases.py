@@ -6,12 +6,14 @@ piece ends. Only these longest windows are counted; Spark's ROLLUP over (lang, w
 w5) then adds up the counts of all shorter phrases, as every phrase of k words is the
 first k columns of the windows it opens. No n-gram is exploded for itself.
 
-Before that, one pass counts words and word pairs in hashed buckets. A phrase that
-occurs ``min_count`` times has only words and pairs that do, so a window is padded from
-the first pair on whose bucket stays below, and a word whose bucket stays below counts
-towards n alone. A bucket holds at least the occurrences of each of its words, so this
-drops nothing that may be reported. The buckets that reach ``min_count`` leave Spark as
-bitmaps of at most 2**MAX_BITS bits (16 MB), whatever the input.
+Before that, passes over the texts count words, pairs, triples and runs of four in hashed
+buckets. A phrase that occurs ``min_count`` times has only parts that do, so a window is
+padded from the first part on whose bucket stays below, and a word whose bucket stays
+below counts towards n alone. A bucket holds at least the occurrences of each of its
+runs, so this drops nothing that may be reported. Each pass counts only runs whose
+parts passed the one before. The buckets that reach ``min_count`` leave Spark as bitmaps of at
+most 2**BITS bits (16 MB) a pass, whatever the input; from some 10**10 words on the
+buckets fill up, windows are padded less, and more of them are shuffled.
 
 All counts are over whole words as text; no hash decides a count. Scores are taken in
 decimal(38): exact while a language has fewer than 10**17 words.
@@ -37,8 +39,11 @@ MOST_WORDS = 5
 MIN_COUNT = 100
 TOP = 2_000
 ABSORB = 100  # per cent of a phrase's occurrences that a longer one must have
-MAX_BITS = 27
-MIN_BITS = 22
+BITS = 27
+#: The longest runs counted in buckets.
+FILTERED = 4
+#: Buckets of one bitmap row.
+PART_BITS = 15
 SALTS = 32
 #: Text of one numpy pass over windows.
 SLICE = 8_000_000
@@ -94,13 +99,26 @@ class Words:
                         dtype=np.uint64)
         return C.mix(of_word[self.codes] ^ salt[self.lang])
 
-    def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Bucket of each word, and of the pair it opens (only where ``joined``)."""
-        shift = np.uint64(64 - bits)
-        pair = np.zeros(self.n, dtype=np.uint64)
-        if self.n:
-            pair[:-1] = C.mix(self.hash[:-1] * np.uint64(0xD6E8FEB86659FD93) + self.hash[1:])
-        return (self.hash >> shift).astype(np.int64), (pair >> shift).astype(np.int64)
+    def runs(self, k: int) -> np.ndarray:
+        """A hash of the k words from each place on (those in one piece count)."""
+        h = self.hash.copy()
+        for j in range(1, k):
+            h[:self.n - j] = C.mix(h[:self.n - j] * np.uint64(0xD6E8FEB86659FD93) + self.hash[j:])
+        return h
+
+    def passing(self, filters: list[np.ndarray], bits: int) -> list[np.ndarray]:
+        """For k = 1, 2, ... whether the run of k words from each place on is in one piece
+        and passes the bitmaps of its length and of all its parts. One more entry than
+        ``filters``: its runs are those to be counted next."""
+        out = [np.ones(self.n, dtype=bool)]
+        for k, packed in enumerate(filters, 1):
+            at = np.flatnonzero(out[-1])
+            bucket = (self.runs(k)[at] >> np.uint64(64 - bits)).astype(np.int64)
+            out[-1][at] = (packed[bucket >> 3] >> (bucket & 7).astype(np.uint8) & 1).astype(bool)
+            more = np.zeros(self.n, dtype=bool)
+            more[:-1] = out[-1][:-1] & out[-1][1:] & self.joined[:-1]
+            out.append(more)
+        return out
 
 
 def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
@@ -110,70 +128,102 @@ def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
 
 # ------------------------------------------------------------- bucket counts
 
-def _count_buckets(bits: int):
+def _count_buckets(filters: list[np.ndarray], bits: int, min_count: int):
+    """Counts of the buckets of the next longer runs, cut into rows of 2**15 buckets: their
+    numbers and counts. A count over ``min_count`` decides no more than that number does."""
+    unit = "<u1" if min_count < 256 else "<u4"
+    k = len(filters) + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
 
         def counted() -> pa.RecordBatch:
             at, n = np.unique(np.concatenate(held), return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(at), pa.array(n)], names=["bucket", "n"])
+            n = np.minimum(n, min_count).astype(unit)
+            part, first = np.unique(at >> PART_BITS, return_index=True)
+            edges = [*first.tolist(), len(at)]
+            low = (at & ((1 << PART_BITS) - 1)).astype("<u2")
+            return pa.RecordBatch.from_arrays(
+                [pa.array(part, pa.int32()),
+                 pa.array([low[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary()),
+                 pa.array([n[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())],
+                names=["part", "at", "n"])
 
         for w in _rows(batches, C.SLICE_BYTES):
-            one, two = w.buckets(bits - 1)  # the lower half for words, the upper for pairs
-            held += [one, two[w.joined] + (1 << (bits - 1))]
-            size += len(held[-2]) + len(held[-1])
+            if not w.n:
+                continue
+            take = w.passing(filters, bits)[-1]
+            held.append((w.runs(k)[take] >> np.uint64(64 - bits)).astype(np.uint32))
+            size += len(held[-1])
             if size > 6_000_000:
                 yield counted()
                 held, size = [], 0
-        if held:
+        if size:
             yield counted()
     return run
 
 
-def frequent_buckets(docs: DataFrame, bits: int, min_count: int) -> np.ndarray:
-    """One bit for each bucket: set where its words, or pairs, occur ``min_count`` times."""
-    full = (docs.mapInArrow(_count_buckets(bits), "bucket long, n long")
-            .groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_count))
-    maps = (full.groupBy(F.bitmap_bucket_number("bucket").alias("part"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bucket")).alias("bits"))
-            .collect())  # at most 2**bits / 32768 + 1 maps of 4 KB
-    # Spark numbers buckets of bitmaps from 1, and positions within them from 0; value v
-    # > 0 is bit (v - 1) % 32768 of map 1 + (v - 1) // 32768, value 0 is bit 0 of map 0.
-    out = np.zeros((1 << bits) + 32_768, dtype=bool)
+def _sum_buckets(min_count: int):
+    """Bitmaps of the buckets that reach ``min_count``. A task holds the counts of its own
+    parts, 64 KB or 128 KB each."""
+    unit = "<u1" if min_count < 256 else "<u4"
+    wide = np.uint16 if min_count < 256 else np.uint64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for part, at, n in zip(*(b.column(c).to_pylist() for c in ("part", "at", "n"))):
+                have = total.get(part)
+                if have is None:
+                    have = total[part] = np.zeros(1 << PART_BITS, dtype=wide)
+                at = np.frombuffer(at, dtype="<u2")
+                have[at] = np.minimum(have[at] + np.frombuffer(n, dtype=unit), min_count)
+        for part, n in total.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()),
+                 pa.array([np.packbits(n >= min_count, bitorder="little").tobytes()], pa.binary())],
+                names=["part", "bits"])
+    return run
+
+
+def frequent_runs(docs: DataFrame, filters: list[np.ndarray], bits: int,
+                  min_count: int) -> np.ndarray:
+    """One bit for each bucket of the next longer runs: set where they reach ``min_count``."""
+    counts = docs.mapInArrow(_count_buckets(filters, bits, min_count),
+                             "part int, at binary, n binary")
+    parts = max(16, C.partitions(docs.sparkSession))
+    maps = (counts.repartition(parts, "part")
+            .mapInArrow(_sum_buckets(min_count), "part int, bits binary")
+            .collect())  # 2**(bits - 15) rows of 4 KB at most
+    out = np.zeros(1 << (bits - 3), dtype=np.uint8)
+    step = 1 << (PART_BITS - 3)
     for r in maps:
-        got = np.unpackbits(np.frombuffer(bytes(r.bits), dtype=np.uint8), bitorder="little")
-        if r.part == 0:
-            out[0] = got[0]
-        else:
-            lo = 1 + (r.part - 1) * 32_768
-            out[lo:lo + 32_768] |= got.astype(bool)
-    return np.packbits(out[:1 << bits])
+        out[r.part * step:(r.part + 1) * step] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
+    return out
 
 
 # -------------------------------------------------------------- lead windows
 
-def _windows(bits: int, packed: np.ndarray):
+def _windows(filters: list[np.ndarray], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def is_set(bucket: np.ndarray) -> np.ndarray:
-            return (packed[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
-
         names = ["lang", *COLUMNS]
         for w in _rows(batches, SLICE):
             if not w.n:
                 continue
-            one, two = w.buckets(bits - 1)
-            first = is_set(one)
-            go = w.joined & is_set(two + (1 << (bits - 1)))
+            passing = w.passing(filters, bits)
             columns: list[pa.Array] = [pa.array(w.lang)]
-            held = first
+            held = passing[0]
             for k in range(MOST_WORDS):
+                if k:  # the longest run known to end with the word k places on
+                    longest = min(k, len(filters) - 1)
+                    last, lag = passing[longest], k - longest
+                    step = np.zeros(w.n, dtype=bool)
+                    step[:w.n - lag] = last[lag:]
+                    held = held & step
                 code = np.zeros(w.n, dtype=np.int32)
                 code[:w.n - k] = w.codes[k:]  # the lead column by k words
                 columns.append(pa.array(code, mask=~held))
-                step = np.zeros(w.n, dtype=bool)
-                step[:w.n - k] = go[k:]
-                held = held & step
             t = pa.table(columns, names=names).group_by(names, use_threads=False).aggregate(
                 [([], "count_all")]).combine_chunks()
             langs = pa.array(w.lang_names, pa.string())
@@ -185,17 +235,18 @@ def _windows(bits: int, packed: np.ndarray):
     return run
 
 
-def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, filtered: int = FILTERED,
+                  bits: int = BITS) -> DataFrame:
     """lang, k, phrase, f of each phrase of 1..5 words that occurs ``min_count`` times, and
     of each language with k = 0, phrase '' and all its words."""
     C.text_session(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    chars = own.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
-    bits = max(MIN_BITS, min(MAX_BITS, int(chars).bit_length()))
-    packed = frequent_buckets(own, bits, min_count)
+    filters: list[np.ndarray] = []
+    for _ in range(filtered):
+        filters.append(frequent_runs(own, filters, bits, min_count))
     windows = own.mapInArrow(
-        _windows(bits, packed), "lang string, " + ", ".join(f"{c} string" for c in COLUMNS)
+        _windows(filters, bits), "lang string, " + ", ".join(f"{c} string" for c in COLUMNS)
         + ", n long")
     rolled = windows.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"),
                                                   F.grouping_id().alias("level"))
@@ -219,9 +270,12 @@ def _part(lo: Column, hi: Column) -> Column:
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, absorb: int = ABSORB,
-                 top: int | None = TOP) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score; ``top``: ranks kept of a language."""
-    counts = phrase_counts(docs, min_count).checkpoint()
+                 top: int | None = TOP, filtered: int = FILTERED, bits: int = BITS) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score; ``top``: ranks kept of a language.
+    ``filtered`` (2 to 5) and ``bits`` say how much is pruned, not what is returned."""
+    if not 2 <= filtered <= MOST_WORDS or not PART_BITS <= bits <= 32:
+        raise ValueError("filtered must be 2..5, bits 15..32")
+    counts = phrase_counts(docs, min_count, filtered, bits).checkpoint()
     known = counts.filter("k > 0").select("lang", "phrase", "f")
     cand = (counts.filter("k >= 2").withColumn("words", F.split("phrase", " "))
             .withColumnRenamed("f", "a"))
