@@ -256,3 +256,33 @@ def test_packed_hashes_round_trip():
     for top in (0, 200, 60_000, 1 << 40):
         a = np.array([0, top, 1])
         assert (lmscore.unpack(lmscore.pack(a)) == a).all()
+
+
+def test_shortcuts_equal_the_whole_search():
+    """Letters decided one by one, and kept ends of words, give what the search gives."""
+    import random
+
+    import numpy as np
+
+    from vitrine.llm import toxicity as T
+    rng = random.Random(5)
+    lm = np.log(np.random.default_rng(5).random((T.SYMBOLS,) * 3))
+    table = T.Table(lm)
+    for _ in range(3000):
+        word = "".join(rng.choice("abcé0$!.-#") * rng.choice([1, 1, 1, 2, 3, 5])
+                       for _ in range(rng.randint(1, 7)))
+        for whole in (False, True):
+            want = T._search(word, table, whole, 0.15, T.BLANK, T.BLANK, False)
+            assert T.viterbi(word, table, whole) == T.viterbi(word, lm, whole) == want
+            assert T.viterbi(word, table, whole) == want  # from the kept ends
+
+
+def test_scorer_caches_are_bounded():
+    import numpy as np
+
+    from vitrine.llm import toxicity as T
+    lm = np.log(np.random.default_rng(5).random((T.SYMBOLS,) * 3))
+    small, large = T.Scorer(lm, cache=20_000), T.Scorer(lm)
+    text = " ".join(f"wo{'rd'[k % 2] * (k % 4)}{'x' * (k % 50)}!" for k in range(3000))
+    assert small.features(text) == large.features(text)
+    assert len(small.cache) + len(small.before) < 200

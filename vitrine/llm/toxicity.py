@@ -45,7 +45,8 @@ from .ftrl import Ftrl
 PER_CLASS = 4_000
 EPOCHS = 6
 MIN_DOCS = 4
-CACHE = 150_000
+#: Memory of a worker for tokens seen before, in bytes.
+CACHE = 48_000_000
 
 # What look-alike signs stand for.
 LOOKALIKES = {
@@ -74,6 +75,9 @@ _SPACED = re.compile(
     rf"(?<!\w)(?<!\w['’]){_UNIT}(?:(?:\s+(?:[.\-_*]\s+)?|[.\-_*]){_UNIT}){{2,}}+")
 _GAP = re.compile(r"\s+(?:[.\-_]\s+)?")
 _WORD = re.compile(r"[^\W\d_]+")
+_RUN = re.compile(r"(.)\1*", re.S)
+#: What a letter repeated three times and more is: one, two or all of them.
+_HALF, _SOME, _FEW = math.log(0.5), math.log(0.4), math.log(0.1)
 
 
 def _symbol(c: str) -> int:
@@ -120,10 +124,11 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 # -------------------------------------------------------------------- lattice
 
-def lattice(observed: str, whole: bool = False, part: float = 0.15,
+def lattice(observed: str, whole: bool = False, part: float = 0.15, inside: bool = False,
             ) -> list[list[tuple[str, float]]]:
     """The choices at each place: emitted text and log channel probability. ``whole``:
-    look-alike signs are letters; ``part``: how likely a sign or blank stays."""
+    look-alike signs are letters; ``part``: how likely a sign or blank stays; ``inside``:
+    letters stand before the first place."""
     places: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(observed):
@@ -134,17 +139,16 @@ def lattice(observed: str, whole: bool = False, part: float = 0.15,
         run = j - i
         if c.isalpha():
             if run >= 3:
-                places.append([(c, math.log(0.5)), (c * 2, math.log(0.4)),
-                               (c * run, math.log(0.1))])
+                places.append([(c, _HALF), (c * 2, _SOME), (c * run, _FEW)])
             elif run == 2:
-                places.append([(c, math.log(0.5)), (c * 2, math.log(0.5))])
+                places.append([(c, _HALF), (c * 2, _HALF)])
             else:
                 places.append([(c, 0.0)])
             i = j
             continue
         choices = []
         letters = LOOKALIKES.get(c, "")
-        between = 0 < i < len(observed) - 1
+        between = (inside or i > 0) and i < len(observed) - 1
         parts = c in " .-_*"
         share = (1 - part) / max(1, len(letters) + 2 * (parts and between))
         choices += [(x, math.log(share)) for x in letters]
@@ -157,12 +161,53 @@ def lattice(observed: str, whole: bool = False, part: float = 0.15,
     return places
 
 
-def viterbi(observed: str, lm: np.ndarray, whole: bool = False, part: float = 0.15) -> str:
-    """The likeliest restored text; ties go to the choice listed first."""
-    # state (last two symbols) -> (log probability, back pointer)
-    states = {(BLANK, BLANK): (0.0, None)}
+class Table(list):
+    """The language model as nested lists, with the ends of words decoded so far."""
+
+    def __init__(self, lm: np.ndarray):
+        super().__init__(lm.tolist())
+        self.ends: dict[tuple, str] = {}
+
+
+#: Ends of words kept beside a table, and the longest one kept.
+KEPT_ENDS, LONGEST_END = 20_000, 16
+
+
+def viterbi(observed: str, lm: np.ndarray | list, whole: bool = False, part: float = 0.15) -> str:
+    """The likeliest restored text; ties go to the choice listed first.
+
+    Letters up to one that is not repeated leave one state, whatever the repeated ones
+    among them are: ``decode_letters`` restores them, and the search goes on from there."""
     table = lm.tolist() if isinstance(lm, np.ndarray) else lm
-    for choices in lattice(observed, whole, part):
+    head = _WORD.match(observed)
+    k = head.end() if head and head[0].isalpha() else 0
+    if k and k == len(observed):
+        return decode_letters(observed, table)
+    while k > 1 and observed[k - 1] == observed[k - 2]:
+        c = observed[k - 1]
+        while k and observed[k - 1] == c:
+            k -= 1
+    x = _symbol(observed[k - 2]) if k > 1 else BLANK
+    y = _symbol(observed[k - 1]) if k else BLANK
+    rest = observed[k:]
+    ends = getattr(table, "ends", None)
+    if ends is None or len(rest) > LONGEST_END:
+        return decode_letters(observed[:k], table) + _search(rest, table, whole, part, x, y, k > 0)
+    key = rest, whole, part, x, y, k > 0
+    end = ends.get(key)
+    if end is None:
+        if len(ends) >= KEPT_ENDS:
+            ends.clear()
+        end = ends[key] = _search(rest, table, whole, part, x, y, k > 0)
+    return decode_letters(observed[:k], table) + end
+
+
+def _search(observed: str, table: list, whole: bool, part: float, x: int, y: int,
+            inside: bool) -> str:
+    """``viterbi`` after the symbols x and y."""
+    # state (last two symbols) -> (log probability, back pointer)
+    states = {(x, y): (0.0, None)}
+    for choices in lattice(observed, whole, part, inside):
         new: dict[tuple, tuple] = {}
         for text, cost in choices:
             syms = [_symbol(c) for c in text]
@@ -183,8 +228,34 @@ def viterbi(observed: str, lm: np.ndarray, whole: bool = False, part: float = 0.
     return "".join(reversed(out))
 
 
+def decode_letters(word: str, table: list) -> str:
+    """``viterbi`` of a word of letters alone. What a repeated letter stands for changes
+    only the trigrams from the letter before it to the letter behind it, so each one is
+    decided by itself; the first of equals is taken, as there."""
+    runs = [(m[0][0], len(m[0])) for m in _RUN.finditer(word)]
+    out = []
+    for i, (c, run) in enumerate(runs):
+        if run == 1:
+            out.append(c)
+            continue
+        x = _symbol(c)
+        b = _symbol(runs[i - 1][0]) if i else BLANK
+        d = _symbol(runs[i + 1][0]) if i + 1 < len(runs) else BLANK
+        one = table[b][x][d]
+        two = table[b][x][x] + table[x][x][d]
+        if run == 2:
+            out.append(c * 2 if two > one else c)
+            continue
+        _, n = max([(_HALF + one, -1), (_SOME + two, -2),
+                    (_FEW + two + (run - 2) * table[x][x][x], -run)])
+        out.append(c * -n)
+    return "".join(out)
+
+
 def _decoded(core: str, table: list) -> str:
     """The likeliest text of a token without punctuation around it."""
+    if core.isalpha():
+        return decode_letters(core, table) if _DOUBLE.search(core) else core
     if not core or _PLAIN.fullmatch(core) and not _DOUBLE.search(core) and not _DOTTED.search(core):
         return core
     if _DOUBLE.search(core) or _MIXED.search(core) or _DOTTED.search(core):
@@ -247,48 +318,87 @@ def word_features(text: str) -> set[str]:
     return out
 
 
+_NONE: frozenset = frozenset()
+
+
 class Scorer:
-    """Features of whole texts, token by token, with a bounded cache."""
+    """Features of whole texts, token by token. Two caches, of tokens and of words
+    without their punctuation, hold about ``cache`` bytes together."""
 
     def __init__(self, lm: np.ndarray, known: dict[str, int] | None = None,
                  cache: int = CACHE):
         self.size = cache
-        self.table = lm.tolist()
+        self.held = 0
+        self.table = Table(lm)
         self.known = known
         self.cache: dict[str, frozenset] = {}
+        self.before: dict[str, frozenset] = {}
         self.words: dict[str, str] = {}
 
+    def _hold(self, size: int) -> None:
+        """Over half the bytes, the caches become the older ones, the oldest go."""
+        self.held += size
+        if self.held > self.size // 2:
+            self.before, self.cache = self.cache, {}
+            self.words = {}
+            self.held = size
+
     def _once(self, core: str, table: list) -> str:
         """``_decoded``, once for a word whatever punctuation is around it."""
         got = self.words.get(core)
         if got is None:
-            if len(self.words) >= self.size:
-                self.words.clear()
-            got = self.words[core] = _decoded(core, table)
+            got = _decoded(core, table)
+            self._hold(250 + 4 * len(core))
+            self.words[core] = got
         return got
 
+    def _plain(self, word: str) -> set[int]:
+        """Numbers of the known features of a word of letters and of what it decodes to."""
+        known, out = self.known, set()
+        forms = (word,)
+        if _DOUBLE.search(word):
+            forms = (word, decode_letters(word, self.table))
+        for w in forms:
+            n = len(w)
+            names = (w,) if n < 5 else (w, "^" + w[:4]) if n < 6 else (
+                w, "^" + w[:4], "^" + w[:5]) if n < 7 else (
+                w, "^" + w[:4], "^" + w[:5], "^" + w[:6])
+            for x in names:
+                if x in known:
+                    out.add(known[x])
+        return out
+
     def _features(self, observed: str, spaced: bool) -> frozenset:
-        forms = (run_forms if spaced else token_forms)(observed, self.table, self._once)
-        found = set().union(*map(word_features, dict.fromkeys(forms)))
-        if self.known is not None:
-            found = {self.known[x] for x in found if x in self.known}
-        if len(self.cache) >= self.size:
-            self.cache.clear()
-        got = self.cache["\n" * spaced + observed] = frozenset(found)
+        key = "\n" * spaced + observed  # a token holds no line break
+        got = self.before.get(key)
+        if got is None:
+            got = self._found(observed, spaced)
+        self._hold(200 + 4 * len(key) + (300 + 90 * len(got) if got else 0))
+        self.cache[key] = got
         return got
 
+    def _found(self, observed: str, spaced: bool) -> frozenset:
+        inner = "" if spaced else observed.strip(_OUTER)
+        if self.known is not None and inner.isalpha():  # both of its forms are one word
+            found = self._plain(inner)
+        else:
+            forms = (run_forms if spaced else token_forms)(observed, self.table, self._once)
+            found = set().union(*map(word_features, dict.fromkeys(forms)))
+            if self.known is not None:
+                found = {self.known[x] for x in found if x in self.known}
+        return frozenset(found) if found else _NONE
+
     def features(self, text: str | None) -> set:
         low = (text or "").lower()
         out: set = set()
-        get = self.cache.get
         for token in set(low.split()):
-            found = get(token)
+            found = self.cache.get(token)
             if found is None:
                 found = self._features(token, False)
             if found:
                 out |= found
         for m in _SPACED.finditer(low):
-            found = get("\n" + m[0])  # a token holds no line break
+            found = self.cache.get("\n" + m[0])
             out |= self._features(m[0], True) if found is None else found
         return out
 
@@ -328,7 +438,7 @@ def fit(rows: list, lm: np.ndarray) -> tuple[dict[str, int], np.ndarray, float |
     """Feature numbers, their weights, and the intercept (None: nothing to learn)."""
     if not rows:
         return {}, np.zeros(0), None
-    scorer = Scorer(lm, cache=20_000)
+    scorer = Scorer(lm)
     number: dict[str, int] = {}
     found = [np.array(sorted(number.setdefault(f, len(number)) for f in scorer.features(t)),
                       dtype=np.int32) for t, _ in rows]
