@@ -10,17 +10,18 @@ job must equal its batch twin once all input is processed:
 - ``s_stock_ledger``: the same feed -> stock per variant, seeded from the
   static stock table;
 - ``s_cancel_restores``: order-status feed -> stock given back once per
-  transition into Cancelled, by ``foreachBatch`` against the stored last
-  status of each order (changes inside a micro-batch are paired with their
-  predecessor by position, not by a per-order window);
+  transition into Cancelled, by ``transformWithState``: an order's state is its changes
+  by sequence number, so that changes that arrive late or twice count as in order
+  and once;
 - ``s_cart_merge``: add-to-cart feed -> cart lines, by ``foreachBatch``
   running the bulk add-to-cart job against the stored lines (a plain running
   sum would count rejected events).
 
 State tables live under the shared checkpoint folder
 (``spark.checkpoint.dir``), or under a caller-given ``root`` so that a restarted
-driver resumes the same stream. Aggregation state uses the RocksDB state store. Micro-batch ``b`` reads version ``b-1`` and writes
-version ``b``, so a retried batch rewrites the same version (idempotent), and
+driver resumes the same stream. Keyed state uses the RocksDB state store. A micro-batch
+rewrites only the key buckets it touches (``state.BucketedState``); a retried batch
+writes the same files again (idempotent), and
 the stream's own checkpoint makes restarts resume where they stopped. Feeds are
 processed with ``trigger(availableNow=True)``: each arriving step of the feed
 is one run of the same query.
@@ -28,57 +29,23 @@ is one run of the same query.
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.money import TOTAL
 from ..model import Shop
 from ..operators import checkout
-from ..plans.scan import prefix_sum
 from ..session import ensure_checkpoint_dir
+from .state import BucketedState
 
 CANCELLED = "Cancelled"
 
 
-class VersionedTable:
-    """A table rewritten once per micro-batch: version b-1 in, version b out."""
-
-    def __init__(self, spark: SparkSession, path: str, seed: DataFrame, resume: bool = False):
-        self.spark, self.path = spark, path
-        found = self._discover() if resume else None
-        if found is None:
-            seed.write.mode("overwrite").parquet(self._dir(-1))
-            found = -1
-        self.last = found
-
-    def _discover(self) -> int | None:
-        """Latest version already written under ``path`` (a restart), from the
-        file listing of the ``v=N`` folders; None for a new table."""
-        try:
-            files = self.spark.read.parquet(self.path).inputFiles()
-        except Exception:  # noqa: BLE001 - no table yet
-            return None
-        versions = [int(m.group(1)) for m in (re.search(r"/v=(\d+)/", f) for f in files) if m]
-        return max(versions) - 1 if versions else None
-
-    def _dir(self, b: int) -> str:
-        return f"{self.path}/v={b + 1:010d}"
-
-    def read(self, b: int) -> DataFrame:
-        return self.spark.read.parquet(self._dir(b))
-
-    def write(self, b: int, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(self._dir(b))
-        self.last = max(self.last, b)
-
-    def latest(self) -> DataFrame:
-        return self.read(self.last)
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/vitrine-streams/{name}-{uuid.uuid4().hex[:12]}"
@@ -112,10 +79,6 @@ def run_steps(spark: SparkSession, steps: list[DataFrame], schema: T.StructType,
             raise RuntimeError(str(q.exception()))
 
 
-def _merge(prev: DataFrame, updated: DataFrame, keys: list[str]) -> DataFrame:
-    return prev.join(updated.select(*keys), keys, "left_anti").unionByName(updated)
-
-
 # ---- line-change feed ---------------------------------------------------------
 LINE_FEED = T.StructType([
     T.StructField("order_id", T.LongType()), T.StructField("variant_id", T.LongType()),
@@ -137,12 +100,11 @@ def s_order_totals(shop: Shop, steps: list[DataFrame] | None = None,
     spark = shop.spark
     resume = root is not None
     root = root or scratch(spark, "order-totals")
-    table = VersionedTable(spark, f"{root}/totals", resume=resume, seed=spark.createDataFrame(
-        [], T.StructType([T.StructField("order_id", T.LongType()),
-                          T.StructField("total_amount", T.DecimalType(38, 2))])))
+    table = BucketedState(spark, f"{root}/totals", keys=["order_id"], resume=resume,
+                          seed=spark.createDataFrame([], "order_id long, total_amount decimal(38,2)"))
 
     def upsert(batch: DataFrame, b: int) -> None:
-        table.write(b, _merge(table.read(b - 1), batch, ["order_id"]))
+        table.upsert(b, batch)
 
     use_rocksdb_state(spark)
 
@@ -165,15 +127,14 @@ def s_stock_ledger(shop: Shop, steps: list[DataFrame] | None = None,
     resume = root is not None
     root = root or scratch(spark, "stock-ledger")
     seed = shop.product_variants.select("variant_id", F.col("stock").cast("long").alias("stock"))
-    table = VersionedTable(spark, f"{root}/stock", resume=resume, seed=seed)
+    table = BucketedState(spark, f"{root}/stock", seed, ["variant_id"], resume, pinned=True)
     # The base stock is the seed this ledger once wrote, not the shop's present table,
     # which may already hold the ledger's own result after a restart.
-    static = table.read(-1).select("variant_id", F.col("stock").alias("_s0"))
+    static = table.read(0).select("variant_id", F.col("stock").alias("_s0"))
 
     def upsert(batch: DataFrame, b: int) -> None:
-        updated = batch.join(static, "variant_id").select(
-            "variant_id", (F.col("_s0") - F.col("_taken")).alias("stock"))
-        table.write(b, _merge(table.read(b - 1), updated, ["variant_id"]))
+        table.upsert(b, batch.join(static, "variant_id").select(
+            "variant_id", (F.col("_s0") - F.col("_taken")).alias("stock")))
 
     use_rocksdb_state(spark)
 
@@ -202,6 +163,37 @@ def status_feed_steps(shop: Shop) -> list[DataFrame]:
             .select("order_id", F.lit(CANCELLED).alias("status"), F.lit(2).cast("long").alias("seq"))]
 
 
+def moves_into_cancelled(history: dict[int, str]) -> int:
+    """How often an order moves into Cancelled from another status; its first status is
+    an insert, not a move."""
+    statuses = [history[seq] for seq in sorted(history)]
+    return sum(b == CANCELLED and a != CANCELLED for a, b in zip(statuses, statuses[1:]))
+
+
+class CancelMoves(StatefulProcessor):
+    """Per order: its status changes by sequence number, and by how much each micro-batch
+    alters the count of moves into Cancelled. A change that comes late may add a move or
+    undo one (+1, -1); a sequence number seen before is a replay and changes nothing. The
+    state of an order is as long as its own history."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", "seq long", "status string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        history = {k[0]: v[0] for k, v in self.seen.iterator()} if self.seen.exists() else {}
+        before = moves_into_cancelled(history)
+        for r in sorted(rows, key=lambda r: (r.seq, r.status or "")):
+            if r.seq not in history:
+                history[r.seq] = r.status
+                self.seen.updateValue((r.seq,), (r.status,))
+        change = moves_into_cancelled(history) - before
+        if change:
+            yield Row(order_id=key[0], moves=change)
+
+    def close(self) -> None:
+        pass
+
+
 def s_cancel_restores(shop: Shop, steps: list[DataFrame] | None = None,
                       root: str | None = None) -> DataFrame:
     """Quantities given back per variant, once per transition into Cancelled
@@ -209,40 +201,29 @@ def s_cancel_restores(shop: Shop, steps: list[DataFrame] | None = None,
     spark = shop.spark
     resume = root is not None
     root = root or scratch(spark, "cancel-restores")
-    last = VersionedTable(spark, f"{root}/last-status",
-                          spark.createDataFrame([], "order_id long, status string"), resume)
-    restored = VersionedTable(spark, f"{root}/restored",
-                              spark.createDataFrame([], "variant_id long, restored long"), resume)
+    restored = BucketedState(spark, f"{root}/restored", keys=["variant_id"], resume=resume,
+                             seed=spark.createDataFrame([], "variant_id long, restored long"))
     lines = shop.order_details.select("order_id", "variant_id", "quantity")
 
+    def add(stored: DataFrame, changed: DataFrame) -> DataFrame:
+        return (stored.unionByName(changed).groupBy("variant_id")
+                .agg(F.sum("restored").cast("long").alias("restored")))
+
     def apply(batch: DataFrame, b: int) -> None:
-        prev = last.read(b - 1).withColumnRenamed("status", "_stored")
-        # Position of each status change inside its order (a range-partitioned
-        # running count, so one busy order spans many tasks), then the previous
-        # change by an equi-join on (order, position - 1).
-        ev = prefix_sum(batch.withColumn("_one", F.lit(1)), ["order_id"], [F.col("seq").asc()],
-                        "_one", "_pos").drop("_one")
-        before = ev.select("order_id", (F.col("_pos") + 1).alias("_pos"),
-                           F.col("status").alias("_prev"))
-        ev = (ev.join(before, ["order_id", "_pos"], "left").join(prev, "order_id", "left")
-              .withColumn("_before", F.when(F.col("_pos") == 1, F.col("_stored"))
-                          .otherwise(F.col("_prev"))))
-        moves = ev.filter((F.col("status") == CANCELLED) & F.col("_before").isNotNull()
-                          & (F.col("_before") != CANCELLED))
-        back = (lines.join(moves.select("order_id"), "order_id")
-                .groupBy("variant_id").agg(F.sum("quantity").cast("long").alias("restored")))
-        total = (restored.read(b - 1).unionByName(back).groupBy("variant_id")
-                 .agg(F.sum("restored").cast("long").alias("restored")))
-        newest = (batch.groupBy("order_id").agg(F.max_by("status", "seq").alias("status")))
-        restored.write(b, total)
-        last.write(b, _merge(prev.withColumnRenamed("_stored", "status"), newest, ["order_id"]))
+        back = (lines.join(batch, "order_id").groupBy("variant_id")
+                .agg(F.sum(F.col("quantity") * F.col("moves")).cast("long").alias("restored")))
+        restored.upsert(b, back, add)
+
+    use_rocksdb_state(spark)
 
     def start(stream: DataFrame, ckpt: str):
-        return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
-                .trigger(availableNow=True).start())
+        moves = (stream.filter("order_id is not null and seq is not null").groupBy("order_id")
+                 .transformWithState(CancelMoves(), "order_id long, moves long", "update", "none"))
+        return (moves.writeStream.outputMode("update").foreachBatch(apply)
+                .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
 
     run_steps(spark, steps or status_feed_steps(shop), STATUS_FEED, root, start)
-    return restored.latest()
+    return restored.latest().filter("restored <> 0")
 
 
 # ---- add-to-cart feed ---------------------------------------------------------
@@ -263,11 +244,16 @@ def s_cart_merge(shop: Shop, steps: list[DataFrame], root: str | None = None) ->
     spark = shop.spark
     resume = root is not None
     root = root or scratch(spark, "cart-merge")
-    table = VersionedTable(spark, f"{root}/cart-items", resume=resume, seed=shop.cart_items)
+    table = BucketedState(spark, f"{root}/cart-items", shop.cart_items, ["cart_id"], resume)
 
     def apply(batch: DataFrame, b: int) -> None:
-        state = shop.with_tables(cart_items=table.read(b - 1))
-        table.write(b, checkout.p_bulk_add_to_cart(state, batch)["cart_items"])
+        state = shop.with_tables(cart_items=table.read(b))
+        after = checkout.p_bulk_add_to_cart(state, batch)["cart_items"]
+        carts = (shop.cart.join(batch.select("user_id").distinct(), "user_id", "left_semi")
+                 .select("cart_id").distinct())
+        # Lines of the carts that the batch names; others stay in their files.
+        table.upsert(b, after.join(carts, "cart_id", "left_semi"), lambda stored, changed: (
+            stored.join(carts, "cart_id", "left_anti").unionByName(changed)))
 
     def start(stream: DataFrame, ckpt: str):
         return (stream.writeStream.foreachBatch(apply).option("checkpointLocation", ckpt)
