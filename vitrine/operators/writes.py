@@ -18,6 +18,7 @@ from ..functions import labels
 from ..functions.money import TOTAL
 from ..model import Shop
 from ..plans.allocate import allocate_in_order
+from ..plans.claims import decide_claims
 from ..plans.keys import aligned_keys, next_keys
 from ..session import ensure_checkpoint_dir
 from . import shared
@@ -323,12 +324,13 @@ def w_product_upsert(shop: Shop, payloads: DataFrame) -> dict[str, DataFrame]:
 
 # ---- admin updates -------------------------------------------------------------
 def w_user_update(shop: Shop, updates: DataFrame) -> dict[str, DataFrame]:
-    """Admin user edits (seq, user_id, name, email, phone, address, role).
+    """Admin user edits (seq, user_id, name, email, phone, address, role), decided in
+    order of ``seq``.
 
     Rejected: blank name or e-mail, a role outside admin/user, an unknown
-    user, or an e-mail held by another user (in the table, or claimed by an
-    earlier edit of the batch). Per user the last valid edit wins; blank phone
-    and address become NULL.
+    user, or an e-mail that another user has at that moment: addresses given up by an
+    earlier edit are free, those taken by one are not (``plans.claims``). Per user the last
+    accepted edit wins; blank phone and address become NULL.
     """
     u = updates.select("seq", "user_id", F.trim(F.coalesce("name", F.lit(""))).alias("name"),
                        F.trim(F.coalesce("email", F.lit(""))).alias("email"),
@@ -336,23 +338,19 @@ def w_user_update(shop: Shop, updates: DataFrame) -> dict[str, DataFrame]:
                        F.trim(F.coalesce("address", F.lit(""))).alias("address"),
                        F.coalesce("role", F.lit("user")).alias("role"))
     exists = shop.users.select("user_id").withColumn("_exists", F.lit(True))
-    holders = (shop.users.groupBy(_name_key(F.col("email")).alias("_k"))
-               .agg(F.min("user_id").alias("_holder"), F.max("user_id").alias("_holder2")))
-    u = (u.withColumn("_k", _name_key(F.col("email"))).join(exists, "user_id", "left")
-         .join(holders, "_k", "left"))
-    reason = (F.when(F.col("name") == "", F.lit("name required"))
-              .when(F.col("email") == "", F.lit("email required"))
-              .when(~F.col("role").isin(ROLES), F.lit("invalid role"))
-              .when(F.col("_exists").isNull(), F.lit("user not found"))
-              .when(F.col("_holder").isNotNull() & ((F.col("_holder") != F.col("user_id"))
-                                                    | (F.col("_holder2") != F.col("user_id"))),
-                    F.lit("email exists")))
-    u = u.withColumn("reason", reason)
-    claim = (u.filter(F.col("reason").isNull()).groupBy("_k")
-             .agg(F.min_by("user_id", "seq").alias("_claimer")))
-    u = (u.join(claim, "_k", "left")
+    u = (u.join(exists, "user_id", "left")
+         .withColumn("reason", F.when(F.col("name") == "", F.lit("name required"))
+                     .when(F.col("email") == "", F.lit("email required"))
+                     .when(~F.col("role").isin(ROLES), F.lit("invalid role"))
+                     .when(F.col("_exists").isNull(), F.lit("user not found"))))
+    claims = u.filter(F.col("reason").isNull()).select(
+        F.col("seq").cast("long").alias("seq"), F.col("user_id").cast("long").alias("holder"),
+        _name_key(F.col("email")).alias("name"))
+    held = shop.users.select(F.col("user_id").cast("long").alias("holder"),
+                             _name_key(F.col("email")).alias("name"))
+    u = (u.join(decide_claims(claims, held), "seq", "left")
          .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
-                     .when(F.col("_claimer") != F.col("user_id"), F.lit("email exists"))))
+                     .when(~F.col("ok"), F.lit("email exists"))))
     good = u.filter(F.col("reason").isNull())
     last = good.groupBy("user_id").agg(F.max("seq").alias("seq"))
     final = good.join(last, ["user_id", "seq"]).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import with_shop
+from .bulk import _recursive
 
 HEADERS = """SELECT o_orderkey AS payload_id, c_name AS name,
        CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN '' ELSE 'c' || CAST(c_custkey AS VARCHAR) || '@example.com' END AS email,
@@ -24,10 +25,45 @@ PRODUCT_FEED = """SELECT p_partkey AS seq,
        concat_ws(', ', CAST(p_size AS VARCHAR), ' ', CAST(p_size % 7 + 40 AS VARCHAR)) AS sizes
 FROM part"""
 
-USER_FEED = """SELECT c_custkey AS seq, c_custkey AS user_id, upper(c_name) AS name,
-       'c' || CAST(CASE WHEN c_acctbal < -800 THEN c_custkey % 50 + 1 ELSE c_custkey END AS VARCHAR) || '@example.com' AS email,
+USER_FEED = """SELECT seq, c_custkey AS user_id, upper(c_name) AS name, box || '@example.com' AS email,
        CASE WHEN c_mktsegment = 'BUILDING' THEN 'admin' WHEN c_mktsegment = 'MACHINERY' THEN 'manager' ELSE 'user' END AS role
-FROM customer"""
+FROM (
+  SELECT *, c_custkey AS seq,
+         'c' || CAST(CASE WHEN c_acctbal < -800 THEN c_custkey % 50 + 1 ELSE c_custkey END AS VARCHAR) AS box FROM customer
+  UNION ALL SELECT *, 1000000000000 + c_custkey, 'n' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT *, 3000000000000 - c_custkey, 'C' || CAST(c_custkey + 1 AS VARCHAR) FROM customer
+  WHERE c_acctbal > 5000) x"""
+
+# One step per valid edit: ``has`` maps users to addresses, ``held`` addresses to users.
+USER_REPLAY = [
+    ("feed", USER_FEED),
+    ("v", """SELECT u.*, lower(rtrim(u.email)) AS k,
+       CASE WHEN trim(u.name) = '' THEN 'name required' WHEN trim(u.email) = '' THEN 'email required'
+            WHEN u.role NOT IN ('admin', 'user') THEN 'invalid role'
+            WHEN NOT EXISTS (SELECT 1 FROM shop_users s WHERE s.user_id = u.user_id) THEN 'user not found'
+       END AS reason FROM feed u"""),
+    ("claim", "SELECT row_number() OVER (ORDER BY seq) AS i, seq, user_id, k FROM v WHERE reason IS NULL"),
+    ("r", """SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BOOLEAN) AS ok,
+       (SELECT map(list(user_id), list(lower(rtrim(email)))) FROM shop_users) AS has,
+       (SELECT map(list(lower(rtrim(email))), list(user_id)) FROM shop_users) AS held
+UNION ALL
+SELECT i, seq, ok,
+       CASE WHEN ok THEN map_concat(has, MAP {user_id: k}) ELSE has END,
+       CASE WHEN NOT ok OR mine = k THEN held ELSE map_concat(held, MAP {mine: CAST(-1 AS BIGINT), k: user_id}) END
+FROM (SELECT c.i, c.seq, c.user_id, c.k, r.has, r.held, r.has[c.user_id] AS mine,
+             coalesce(r.held[c.k], -1) IN (-1, c.user_id) AS ok
+      FROM r JOIN claim c ON c.i = r.i + 1) s"""),
+    ("w", """SELECT v.*, CASE WHEN v.reason IS NOT NULL THEN v.reason WHEN NOT r.ok THEN 'email exists' END AS r2
+  FROM v LEFT JOIN r ON r.seq = v.seq"""),
+    ("won", """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) AS o
+  FROM w WHERE r2 IS NULL) x WHERE o = 1""")]
+
+DELETES = [
+    ("lines", "SELECT * FROM shop_order_details WHERE floor(variant_id / 4) % 3 <> 0"),
+    ("asked", """SELECT p_partkey AS seq, CASE WHEN p_size > 40 THEN -p_partkey - 1
+       WHEN p_size > 1 THEN CAST(floor(p_partkey / 4) AS BIGINT) END AS product_id FROM part"""),
+    ("gone", """SELECT DISTINCT product_id FROM asked WHERE product_id <> 0 AND product_id IN (SELECT product_id FROM shop_products)
+  AND product_id NOT IN (SELECT pv.product_id FROM shop_product_variants pv JOIN lines l ON l.variant_id = pv.variant_id)""")]
 
 
 def _dims_sql() -> str:
@@ -121,26 +157,29 @@ UNION ALL SELECT (SELECT max(variant_id) FROM shop_product_variants) + row_numbe
        t.product_id, z.size_id, (SELECT max(color_id) + 1 FROM shop_colors), t.price,
        CASE WHEN t.pos = 0 THEN t.stock ELSE 0 END, NULL
 FROM parts t JOIN all_sizes z ON z.name = t.size_name""", extra=chosen)
-    users = [
-        ("feed", USER_FEED),
-        ("v", """SELECT u.*, lower(rtrim(u.email)) AS k,
-       CASE WHEN trim(u.name) = '' THEN 'name required' WHEN trim(u.email) = '' THEN 'email required'
-            WHEN u.role NOT IN ('admin', 'user') THEN 'invalid role'
-            WHEN NOT EXISTS (SELECT 1 FROM shop_users s WHERE s.user_id = u.user_id) THEN 'user not found'
-            WHEN EXISTS (SELECT 1 FROM shop_users s WHERE lower(rtrim(s.email)) = lower(rtrim(trim(u.email)))
-                                                     AND s.user_id <> u.user_id) THEN 'email exists'
-       END AS reason FROM feed u"""),
-        ("fc", "SELECT k, arg_min(user_id, seq) AS claimer FROM v WHERE reason IS NULL GROUP BY k"),
-        ("w", """SELECT v.*, CASE WHEN v.reason IS NOT NULL THEN v.reason
-                   WHEN fc.claimer <> v.user_id THEN 'email exists' END AS r2
-  FROM v LEFT JOIN fc ON fc.k = v.k""")]
-    q["w_user_update"] = with_shop(["users"], """
-SELECT seq, user_id, r2 IS NULL AS accepted, r2 AS reason FROM w""", extra=users)
-    # One edit per user in this feed.
-    q["w_user_update_users"] = with_shop(["users"], """
+    q["w_user_update"] = _recursive(with_shop(["users"], """
+SELECT seq, user_id, r2 IS NULL AS accepted, r2 AS reason FROM w""", extra=USER_REPLAY))
+    q["w_user_update_users"] = _recursive(with_shop(["users"], """
 SELECT s.user_id, coalesce(w.name, s.name) AS name, coalesce(w.email, s.email) AS email,
        CASE WHEN w.user_id IS NULL THEN s.phone END AS phone, s.address, coalesce(w.role, s.role) AS role, s.created_at
-FROM shop_users s LEFT JOIN w ON w.user_id = s.user_id AND w.r2 IS NULL""", extra=users)
+FROM shop_users s LEFT JOIN won w ON w.user_id = s.user_id""", extra=USER_REPLAY))
+    q["w_product_delete"] = with_shop(["products", "product_variants", "order_details"], """
+SELECT seq, product_id, reason IS NULL AS accepted, reason FROM (
+  SELECT seq, product_id, CASE WHEN product_id IS NULL OR product_id = 0 THEN 'invalid id'
+    WHEN product_id NOT IN (SELECT product_id FROM shop_products) THEN 'product not found'
+    WHEN product_id NOT IN (SELECT product_id FROM gone) THEN 'product was sold'
+    WHEN row_number() OVER (PARTITION BY product_id ORDER BY seq) > 1 THEN 'product not found' END AS reason
+  FROM asked) x""", extra=DELETES)
+    for name, table in (("products", "products"), ("variants", "product_variants"),
+                        ("sales", "product_sales"), ("images", "product_images"), ("reviews", "reviews")):
+        q[f"w_product_delete_{name}"] = with_shop(
+            ["products", "product_variants", "order_details", table],
+            f"SELECT * FROM shop_{table} WHERE product_id NOT IN (SELECT product_id FROM gone)", extra=DELETES)
+    for name, rows in (("carts", "shop_cart_items"), ("lines", "lines")):
+        q[f"w_product_delete_{name}"] = with_shop(
+            ["products", "product_variants", "order_details", "cart_items"], f"""
+SELECT * FROM {rows} WHERE variant_id NOT IN (
+  SELECT variant_id FROM shop_product_variants WHERE product_id IN (SELECT product_id FROM gone))""", extra=DELETES)
     edits = [("edits", """SELECT o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN -o_orderkey - 1 ELSE o_orderkey END AS order_id,
        CASE WHEN o_orderpriority = '3-MEDIUM' THEN NULL WHEN o_orderstatus = 'F' THEN 'Completed' ELSE 'Shipping' END AS new_status,
        CASE WHEN o_orderpriority = '1-URGENT' THEN NULL WHEN o_orderstatus = 'F' THEN 'Paid' ELSE 'Pending' END AS new_pay

@@ -83,9 +83,31 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
     ops.update(_write_ops())
     ops.update(_source_ops())
     ops.update(_shared_ops())
+    ops.update(_star_ops())
     return ops
 
 
+_STARS: dict = {}
+
+
+def star_for(shop: Shop):
+    """The bucketed snapshot of a shop, written once for a session."""
+    from .plans import bucketed
+    key = (shop.spark.sparkContext.applicationId, shop.spark, shop.source)
+    if key not in _STARS:
+        _STARS[key] = bucketed.build(shop, max(8, int(shop.spark.conf.get("spark.sql.shuffle.partitions"))))
+    return _STARS[key]
+
+
+def _star_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from .operators import star as ST
+    return {
+        "star_order_lines": lambda s: ST.star_order_lines(star_for(s)),
+        "star_order_item_detail": lambda s: ST.star_order_item_detail(star_for(s)),
+        "star_units_per_product": lambda s: ST.star_units_per_product(star_for(s)),
+    }
+
+
 def _shared_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from pyspark.sql import functions as F
     from .functions import labels as LB
@@ -156,6 +178,7 @@ def _source_ops() -> dict[str, Callable[[Shop], DataFrame]]:
 
 def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from pyspark.sql import functions as F
+    from .operators import deletes as DL
     from .operators import writes as W
     from .sources import payloads as P
 
@@ -187,6 +210,10 @@ def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
         return lambda s: W.w_product_upsert(
             s, P.driver_product_payloads(s.spark, s.source))[table]
 
+    def delete_table(table: str):
+        return lambda s: DL.w_product_delete(
+            unsold(s), P.driver_product_deletes(s.spark, s.source))[table]
+
     def status_table(table: str):
         return lambda s: W.w_order_status_update(
             s, P.driver_order_status_updates(s.spark, s.source))[table]
@@ -211,6 +238,14 @@ def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
             s, P.driver_user_updates(s.spark, s.source))["outcome"],
         "w_user_update_users": lambda s: W.w_user_update(
             s, P.driver_user_updates(s.spark, s.source))["users"],
+        "w_product_delete": delete_table("outcome"),
+        "w_product_delete_products": delete_table("products"),
+        "w_product_delete_variants": delete_table("product_variants"),
+        "w_product_delete_sales": delete_table("product_sales"),
+        "w_product_delete_images": delete_table("product_images"),
+        "w_product_delete_reviews": delete_table("reviews"),
+        "w_product_delete_carts": delete_table("cart_items"),
+        "w_product_delete_lines": delete_table("order_details"),
         "w_order_status_update": status_table("outcome"),
         "w_order_status_update_orders": status_table("orders"),
         "w_order_status_update_payments": status_table("payments"),
@@ -241,6 +276,14 @@ def restocked(shop: Shop) -> Shop:
         "stock", (F.col("stock") + more).cast("int")))
 
 
+def unsold(shop: Shop) -> Shop:
+    """The shop before the first sale of every third product, so that some products may
+    be deleted with their variants."""
+    from pyspark.sql import functions as F
+    product = F.floor(F.col("variant_id") / 4)
+    return shop.with_tables(order_details=shop.order_details.filter(product % 3 != 0))
+
+
 def _request_feed(shop: Shop) -> DataFrame:
     from pyspark.sql import functions as F
     from .sources.driver import read_driver
@@ -400,6 +443,10 @@ def oracle_sql() -> dict[str, str]:
     sql.update(sources_oracle())
     from .oracle.shared import oracle as shared_oracle
     sql.update(shared_oracle())
+    for star, plain in (("star_order_lines", "p_order_lines"),
+                        ("star_order_item_detail", "v_order_item_detail"),
+                        ("star_units_per_product", "q17_units_per_product")):
+        sql[star] = sql[plain]
     known = set(_operators())
     return {k: _encode_sql(k, v) for k, v in sql.items() if k in known}
 

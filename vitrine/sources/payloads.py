@@ -124,22 +124,42 @@ def driver_product_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def driver_user_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admin edits of every customer: names upper-cased, some e-mails taken
-    from other users, a role that does not exist for machinery customers."""
+    from other users, a role that does not exist for machinery customers. Then customers
+    in debt move to a new address, and after that wealthy ones, the last first, ask for the
+    address of the customer behind them, who may have given it up."""
     c = read_driver(spark, sf_dir, "customer")
     nation = read_driver(spark, sf_dir, "nation")
+    key = F.col("c_custkey")
+    edits = F.array(
+        F.struct(key.alias("seq"), F.concat(
+            F.lit("c"), F.when(F.col("c_acctbal") < -800, key % 50 + 1).otherwise(key).cast("string"))
+            .alias("box")),
+        F.when(F.col("c_acctbal") < 0, F.struct(
+            (1_000_000_000_000 + key).alias("seq"), F.concat(F.lit("n"), key.cast("string")).alias("box"))),
+        F.when(F.col("c_acctbal") > 5000, F.struct(
+            (3_000_000_000_000 - key).alias("seq"),
+            F.concat(F.lit("C"), (key + 1).cast("string")).alias("box"))))
     return (c.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-            .select(F.col("c_custkey").alias("seq"), F.col("c_custkey").alias("user_id"),
+            .select("*", F.explode(F.filter(edits, lambda e: e.isNotNull())).alias("e"))
+            .select(F.col("e.seq").alias("seq"), key.alias("user_id"),
                     F.upper(F.col("c_name")).alias("name"),
-                    F.concat(F.lit("c"),
-                             F.when(F.col("c_acctbal") < -800, F.col("c_custkey") % 50 + 1)
-                              .otherwise(F.col("c_custkey")).cast("string"),
-                             F.lit("@example.com")).alias("email"),
+                    F.concat(F.col("e.box"), F.lit("@example.com")).alias("email"),
                     F.lit("").alias("phone"), F.col("n_name").alias("address"),
                     F.when(F.col("c_mktsegment") == "BUILDING", F.lit("admin"))
                      .when(F.col("c_mktsegment") == "MACHINERY", F.lit("manager"))
                      .otherwise(F.lit("user")).alias("role")))
 
 
+def driver_product_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delete request per part: its product (so each product is asked for four
+    times), an unknown one for parts of size over 40, and none for size 1."""
+    part = read_driver(spark, sf_dir, "part")
+    return part.select(
+        F.col("p_partkey").alias("seq"),
+        F.when(F.col("p_size") > 40, -F.col("p_partkey") - 1)
+         .when(F.col("p_size") > 1, F.floor(F.col("p_partkey") / 4).cast("long")).alias("product_id"))
+
+
 def driver_order_status_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admin edits of every order: finished orders become completed and paid, the
     others shipping with a pending bank payment. Urgent orders are edited in
