@@ -12,7 +12,7 @@ padded from the first part on whose bucket stays below, and a word whose bucket
 below counts towards n alone. A bucket holds at least the occurrences of each of its
 runs, so this drops nothing that may be reported. Each pass counts only runs whose
 parts passed the one before. The buckets that reach ``min_count`` leave Spark as bitmaps of at
-most 2**BITS bits (16 MB) a pass, whatever the input; from some 10**10 words on the
+most 2**MOST_BITS bits (16 MB) a pass, whatever the input; from some 10**10 words on the
 buckets fill up, windows are padded less, and more of them are shuffled.
 
 All counts are over whole words as text; no hash decides a count. Scores are taken in
@@ -39,7 +39,9 @@ MOST_WORDS = 5
 MIN_COUNT = 100
 TOP = 2_000
 ABSORB = 100  # per cent of a phrase's occurrences that a longer one must have
-BITS = 27
+#: Bits of a pass: a bucket for each 64 characters of text, 2**MOST_BITS at most.
+LEAST_BITS, MOST_BITS = 16, 27
+CHARS_BITS = 6
 #: The longest runs counted in buckets.
 FILTERED = 4
 #: Buckets of one bitmap row.
@@ -236,12 +238,15 @@ def _windows(filters: list[np.ndarray], bits: int):
 
 
 def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, filtered: int = FILTERED,
-                  bits: int = BITS) -> DataFrame:
+                  bits: int | None = None) -> DataFrame:
     """lang, k, phrase, f of each phrase of 1..5 words that occurs ``min_count`` times, and
     of each language with k = 0, phrase '' and all its words."""
     C.text_session(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    if bits is None:
+        chars = own.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
+        bits = max(LEAST_BITS, min(MOST_BITS, int(chars).bit_length() - CHARS_BITS))
     filters: list[np.ndarray] = []
     for _ in range(filtered):
         filters.append(frequent_runs(own, filters, bits, min_count))
@@ -270,10 +275,11 @@ def _part(lo: Column, hi: Column) -> Column:
 
 
 def collocations(docs: DataFrame, min_count: int = MIN_COUNT, absorb: int = ABSORB,
-                 top: int | None = TOP, filtered: int = FILTERED, bits: int = BITS) -> DataFrame:
+                 top: int | None = TOP, filtered: int = FILTERED,
+                 bits: int | None = None) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score; ``top``: ranks kept of a language.
     ``filtered`` (2 to 5) and ``bits`` say how much is pruned, not what is returned."""
-    if not 2 <= filtered <= MOST_WORDS or not PART_BITS <= bits <= 32:
+    if not 2 <= filtered <= MOST_WORDS or bits is not None and not PART_BITS <= bits <= 32:
         raise ValueError("filtered must be 2..5, bits 15..32")
     counts = phrase_counts(docs, min_count, filtered, bits).checkpoint()
     known = counts.filter("k > 0").select("lang", "phrase", "f")
