@@ -62,8 +62,7 @@ def test_substring_against_brute_force(docs, hot):
     period = " ".join(["a b c d e"] * 8)  # repeats itself within 40 words
     rows = corpus(1) + ODD + [(900, period), (901, "q " * 34), (902, "r " * 36)]
     got = substring.substring_dedup(docs(rows, extra=True), hot=hot).collect()
-    null = substring.C.NULL_ID
-    assert Counter((None if r.id == null else r.id, r.n_words, r.n_removed, r.kept_sha256)
+    assert Counter((None if r.no_id else r.id, r.n_words, r.n_removed, r.kept_sha256)
                    for r in got) == brute_cut(rows)
 
 
@@ -250,3 +249,23 @@ def test_index_returns_every_fingerprint_within_the_radius():
             fp = index.prints[i] ^ np.uint64(sum(1 << int(b) for b in bits))
             want = [j for j in range(40) if int(index.prints[j] ^ fp).bit_count() <= 19]
             assert index.candidates(fp, 19) == want
+
+
+def test_substring_tells_rows_without_an_id_apart(spark, docs):
+    """Texts whose 32-bit hashes are equal, without an id and under one id."""
+    from pyspark.sql import functions as F
+
+    from vitrine.llm import substring
+    passage = " ".join(f"p{k}" for k in range(60))
+    pair = (spark.range(250_000).select(F.concat(F.lit("w "), F.col("id").cast("string")).alias("t"))
+            .groupBy(F.hash("t").alias("h")).agg(F.collect_list("t").alias("t"))
+            .filter(F.size("t") > 1).orderBy("h").first().t[:2])
+    texts = [f"{pair[0]} {passage} end of one", f"{pair[1]} two"]
+    rows = [(None, texts[0]), (None, texts[1]), (None, pair[0]), (None, pair[1]), (7, pair[0]), (7, pair[1]),
+            (8, passage), (None, None)] + [(None, f"x {passage}")] * 40
+    got = {}
+    for r in substring.substring_dedup(docs(rows)).collect():
+        got.setdefault((None if r.no_id else r.id, r.kept_text), []).append(r.n_removed)
+    assert len(pair) == 2 and got[None, pair[0]] == [0] and got[7, pair[1]] == [0]
+    assert got[None, f"{pair[0]} end of one"] == [60] and got[None, texts[1]] == [0]
+    assert got[8, ""] == [60] and got[None, ""] == [61] * 40 and got[None, None] == [0]

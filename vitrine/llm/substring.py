@@ -75,9 +75,13 @@ def window_blocks(w: np.ndarray, window: int, gram: int) -> np.ndarray:
 
 def _keyed(docs: DataFrame, keep: list[str]) -> DataFrame:
     row = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    text = F.col("text").cast("string")
+    # Documents without an id are told apart by 128 bits of their text, two texts under
+    # one id by 64.
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(C.NULL_ID)).alias("id"),
-        F.hash(F.col("text")).alias("th"), F.col("text").cast("string").alias("text"), *row)
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text, F.lit(1))).alias("id"),
+        F.xxhash64(text).alias("th"), text.alias("text"),
+        F.col("doc_id").isNull().alias("no_id"), *row)
 
 
 def _block_rows(window: int, gram: int):
@@ -201,10 +205,11 @@ def _cut(window: int):
                 kept_text.append(kept.decode("utf-8", "surrogatepass") if n_gone else text)
             row = ["row"] if "row" in b.schema.names else []
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("th"), pa.array(ns, pa.int64()),
+                [b.column("id"), b.column("th"), b.column("no_id"), pa.array(ns, pa.int64()),
                  pa.array(gone, pa.int64()), pa.array(shas),
                  pa.array(kept_text, pa.string()), *[b.column(c) for c in row]],
-                names=["id", "th", "n_words", "n_removed", "kept_sha256", "kept_text", *row])
+                names=["id", "th", "no_id", "n_words", "n_removed", "kept_sha256", "kept_text",
+                       *row])
     return run
 
 
@@ -216,23 +221,23 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     C.text_session(docs.sparkSession)
     n = C.partitions(docs.sparkSession)
     keyed = _keyed(docs, keep or [])
-    blocks = keyed.select("id", "th", "text").mapInArrow(_block_rows(window, gram), "block long, id long, th int")
+    blocks = keyed.select("id", "th", "text").mapInArrow(_block_rows(window, gram), "block long, id long, th long")
     # The second grouping key only makes the counted blocks be dealt out again for
     # the join, which adaptive execution can then split where a block is hot.
     index = (blocks.groupBy("block", F.hash("block").alias("again"))
              .agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
              .select("block", (F.col("n") > hot).alias("is_hot")))
-    # At most one array entry for each block of one document.
+    # One array entry for each block of one document, however often its row is repeated.
     per_doc = (blocks.join(index, "block").groupBy("id", "th")
-               .agg(F.collect_list(F.struct("block", "is_hot")).alias("b"))
+               .agg(F.collect_set(F.struct("block", "is_hot")).alias("b"))
                .select("id", "th", F.col("b.block").alias("kept"), F.col("b.is_hot").alias("hot")))
     # All columns, though not all are used: the same exchange then serves the cut.
     rows = (keyed.join(per_doc, ["id", "th"]).select(*keyed.columns, "kept", "hot")
             .mapInArrow(_window_rows(window, gram),
-                        "block long, id long, th int, begin long, hot boolean, wins array<long>"))
+                        "block long, id long, th long, begin long, hot boolean, wins array<long>"))
     cold = (rows.filter(~F.col("hot")).select("block", "id", "th", "begin", "wins")
             .repartition(n, "block").sortWithinPartitions("block")
-            .mapInArrow(_check_blocks, "id long, th int, begin long, mask long"))
+            .mapInArrow(_check_blocks, "id long, th long, begin long, mask long"))
     open_rows = rows.filter("hot").select(
         "block", "id", "th", "begin", F.posexplode("wins").alias("j", "win"))
     twice = (open_rows.groupBy("block", "win").agg(F.count(F.lit(1)).alias("n"))
@@ -245,8 +250,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     hot: int = HOT, keep: list[str] | None = None) -> DataFrame:
-    """id, th, n_words, n_removed, kept_sha256, kept_text for every row of
-    ``docs``, and a struct ``row`` of the columns named in ``keep``. kept_text is the
+    """id (of the text where ``no_id``), th, no_id, n_words, n_removed, kept_sha256,
+    kept_text for every row of ``docs``, and a struct ``row`` of the columns named in ``keep``. kept_text is the
     text as it was when nothing was removed."""
     marks = (repeated_windows(docs, window, gram, hot, keep).groupBy("id", "th")
              .agg(F.collect_set(F.struct("begin", "mask")).alias("marks")))
@@ -255,7 +260,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
     joined = (keyed.join(marks, ["id", "th"], "left")
               .withColumn("marks", F.coalesce("marks", F.expr(
                   "cast(array() as array<struct<begin: bigint, mask: bigint>>)"))))
-    schema = ("id long, th int, n_words long, n_removed long, kept_sha256 string, "
+    schema = ("id long, th long, no_id boolean, n_words long, n_removed long, kept_sha256 string, "
               "kept_text string")
     if keep:
         schema += f", row {keyed.schema['row'].dataType.simpleString()}"
@@ -264,5 +269,5 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
 
 def op4(spark, sf_dir: str) -> DataFrame:
     out = substring_dedup(C.table(spark, sf_dir, "documents"))
-    return out.select(F.when(F.col("id") != C.NULL_ID, F.col("id")).alias("doc_id"),
+    return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"),
                       "n_words", "n_removed", "kept_sha256")
