@@ -47,10 +47,6 @@ FILTERED = 4
 #: Buckets of one bitmap row.
 PART_BITS = 15
 SALTS = 32
-#: Text of one numpy pass over windows.
-SLICE = 8_000_000
-#: Distinct windows that a task adds up before it hands them on.
-HELD_ROWS = 300_000
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _IS_END = np.zeros(256, dtype=bool)
@@ -125,8 +121,8 @@ class Words:
         return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
-    for b in C.slices(batches, size=size):
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
+    for b in C.slices(batches):
         yield Words(b.column("lang").to_pylist(), b.column("text").to_pylist())
 
 
@@ -154,7 +150,7 @@ def _count_buckets(filters: list[np.ndarray], bits: int, min_count: int):
                  pa.array([n[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())],
                 names=["part", "at", "n"])
 
-        for w in _rows(batches, C.SLICE_BYTES):
+        for w in _rows(batches):
             if not w.n:
                 continue
             take = w.passing(filters, bits)[-1]
@@ -212,14 +208,7 @@ def frequent_runs(docs: DataFrame, filters: list[np.ndarray], bits: int,
 def _windows(filters: list[np.ndarray], bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", *COLUMNS]
-        held_rows: list[pa.Table] = []
-        size = 0
-
-        def summed(tables: list[pa.Table]) -> pa.Table:
-            t = pa.concat_tables(tables).group_by(names, use_threads=False).aggregate([("n", "sum")])
-            return t.rename_columns([*names, "n"]).combine_chunks()
-
-        for w in _rows(batches, SLICE):
+        for w in _rows(batches):
             if not w.n:
                 continue
             passing = w.passing(filters, bits)
@@ -240,17 +229,9 @@ def _windows(filters: list[np.ndarray], bits: int):
             langs = pa.array(w.lang_names, pa.string())
             out = [langs.take(t.column("lang").combine_chunks())]
             out += [w.names.take(t.column(c).combine_chunks()).cast(pa.string()) for c in COLUMNS]
-            held_rows.append(pa.Table.from_arrays(
-                [*out, t.column("count_all").cast(pa.int64())], names=[*names, "n"]))
-            size += t.num_rows
-            if size > 2 * HELD_ROWS:
-                held_rows = [summed(held_rows)]
-                size = held_rows[0].num_rows
-                if size > HELD_ROWS:
-                    yield from held_rows[0].to_batches(max_chunksize=50_000)
-                    held_rows, size = [], 0
-        if held_rows:
-            yield from summed(held_rows).to_batches(max_chunksize=50_000)
+            yield from pa.Table.from_arrays(
+                [*out, t.column("count_all").cast(pa.int64())], names=[*names, "n"]).to_batches(
+                    max_chunksize=50_000)
     return run
 
 
