@@ -284,3 +284,10 @@ def test_restore_with_open_brackets_at_the_cuts(form):
 
 def test_bits_of_characters():
     assert guesscost.char_bits("é") == math.log2(100) and guesscost.char_bits("#") == math.log2(33)
+
+
+def test_every_oracle_is_text_of_a_registered_query():
+    from vitrine.llm import queries as Q
+    sql = Q.oracle_sql()
+    assert set(sql) <= set(Q.queries()) and all(isinstance(x, str) for x in sql.values())
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in Q.queries()} - {"pipeline"}
