@@ -37,6 +37,62 @@ def test_pages_without_content(html):
     assert mincut.main_text(html) == ""
 
 
+ARTICLE = ("This is the first sentence of the article. It goes on with a second one, and more "
+           "words. The third sentence ends it.")
+
+
+@pytest.mark.parametrize("body", [
+    '<article class="post comments-open"><p>%s</p></article>',
+    '<div class="content no-sidebar"><p>%s</p></div>',
+    '<div class="fixed-header"><p>%s</p></div>',
+    '<article class="article-social-issues"><p>%s</p></article>',
+    "<p title=it's>%s</p><nav title='x'><a href=/>Home</a></nav>",
+    '<article><p>%s <span class=ad>Buy</span><span style="display: none">x</span></p></article>',
+    '<article><p class="x>%s</p></article>',
+    "<article><p>%s</p><div id=comments><article class=comment><p>" + 3 * ARTICLE
+    + "</p></article></div></article>",
+    '<article><p>%s</p></article><div class="SideBar">' + ARTICLE + "</div>",
+    "<aside><article><p>" + ARTICLE[:60] + "</p></article></aside><main><p>%s</p></main>",
+    '<div class="post-comments"><p>' + 3 * ARTICLE + "</p></div><article><p>%s</p></article>"])
+@pytest.mark.parametrize("frame", ["%s", "<form id=page>%s</form>", "<div class=menu>%s</div>"])
+def test_article_shapes(body, frame):
+    page = "<header><a href=/>Site</a></header>" + body % ARTICLE + "<footer>Imprint</footer>"
+    assert mincut.main_text(frame % page) == ARTICLE
+
+
+def test_less_than_in_text_is_text():
+    assert mincut.main_text(f"<p>{ARTICLE} a <b and c < d, x<5 too.</p>") == (
+        ARTICLE + " a <b and c < d, x<5 too.")
+
+
+def test_names_are_signs_by_their_place():
+    strong, hint = mincut.W_SIGN, mincut.W_HINT
+    for names, sign in {"comments": strong, "postComments": strong, "comment-list": strong,
+                        "comments-open": hint, "no-comments": 0.0, "entry-content": 0.0,
+                        "commentary": 0.0, "x site-footer": strong, "": 0.0}.items():
+        assert mincut.name_signs(names)[0] == sign, names
+
+
+def test_the_cut_turns_doubtful_blocks():
+    # Short lines cost less as boilerplate on their own, but follow the prose around them.
+    page, chosen, turned = mincut.label(f"<div><p>{ARTICLE}</p><p>Yes</p><p>{ARTICLE}</p></div>")
+    assert [b.text for b in page] == [ARTICLE, "Yes", ARTICLE]
+    assert chosen == [True] * 3 and turned == 1
+    # The same line between menus stays out, and a sign can be overturned as well.
+    _, chosen, turned = mincut.label(
+        "<nav><p>One</p></nav><p>Yes</p><nav><p>Two</p></nav>")
+    assert chosen == [False] * 3 and turned == 0
+    _, chosen, turned = mincut.label(
+        f"<div><p>{ARTICLE}</p><p class=social-issues>{ARTICLE[:70]}</p><p>{ARTICLE}</p></div>")
+    assert chosen == [True] * 3 and turned == 1
+
+
+def test_broken_markup_takes_linear_time():
+    for page in ["<p a=\"" * 50_000, "<a b " * 50_000, "<p a='x" * 50_000, "<" * 200_000,
+                 "<div>" * 20_000 + "x", "<a b=c" + " d" * 200_000, "<!--" * 50_000]:
+        mincut.main_text(page)
+
+
 def test_min_cut_against_all_labellings():
     rng = random.Random(2)
     for _ in range(60):

@@ -3,7 +3,8 @@
 A page is read into text blocks (what lies between block-level tags). A linear
 classifier gives each block a cost for being content and one for being boilerplate,
 from the elements, roles and class names around it, its length, links and
-punctuation. The costs become capacities: source to block what it costs to call it
+punctuation. A class name counts by its place in the name, and the frame of the page by
+nothing (``name_signs``, ``settle``). The costs become capacities: source to block what it costs to call it
 boilerplate, block to sink what it costs to call it content. Smoothness edges join
 neighbouring blocks and blocks of one parent, weaker the further apart in the DOM.
 The minimum cut (max-flow, Dinic) parts content from boilerplate at the least total
@@ -12,7 +13,8 @@ pages to learn from: the classifier's weights are fixed values, stated below.
 
 Text: character references are decoded, white space within a block is one blank,
 blocks are joined in page order by an empty line. Scripts, styles, comments, hidden
-elements and the head give no blocks. A line break tag is white space.
+elements and the head give no blocks. A line break tag is white space. Inline elements
+that are hidden or called adverts are left out of their block.
 
 Defined cases: NULL or empty html has the empty text; a page without blocks or with
 no content has the empty text; broken markup is read as far as it goes, an unclosed
@@ -63,14 +65,27 @@ BOILER_WORDS = {
     "footer", "footnav", "share", "sharing", "social", "related", "recommended", "teaser",
     "widget", "search", "comment", "comments", "commentlist", "disqus", "replies", "reply",
     "pagination", "pager", "copyright", "toolbar", "masthead", "skip", "hidden", "alert",
-    "warning", "disclaimer", "outbrain", "taboola",
+    "warning", "disclaimer", "outbrain", "taboola", "adsbygoogle",
 }
 HEADER_WORDS = {"header", "head", "top", "topbar"}
 CONTENT_WORDS = {"article", "content", "post", "entry", "story", "main", "body", "text"}
+#: What an inline element must be called for its text to be no part of its block.
+ADVERT_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "adbox", "adslot", "sponsor",
+                "sponsored", "promo", "share", "sharing"}
+#: Last parts of a compound name that say nothing: its first part names the element.
+CONTAINER_WORDS = {
+    "area", "articles", "bar", "block", "body", "box", "btn", "button", "buttons", "col",
+    "column", "container", "content", "footer", "form", "group", "header", "icons", "inner",
+    "item", "items", "label", "left", "link", "links", "list", "outer", "panel", "posts",
+    "right", "row", "section", "slot", "stories", "text", "title", "unit", "wrap", "wrapper",
+}
+#: First parts that make a compound name a statement about the page or a state.
+STATE_WORDS = {"no", "not", "without", "has", "have", "with", "is", "hide", "show"}
 TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "figcaption", "td",
              "dd", "dt", "li"}
 # The classifier's weights (log odds) and the smoothness.
-W_STRUCTURE = 16.0
+W_SIGN = 6.0
+W_HINT = 2.0
 W_CONTENT_TAG = 4.0
 W_CONTENT_WORD = 1.5
 W_TEXT_TAG = 1.0
@@ -82,51 +97,98 @@ W_PRIOR = 0.8
 W_RIGHTS = 1.5
 S_NEXT = 0.3
 S_PARENT = 1.2
+#: An element around the page's largest article or this share of its text is its frame.
+FRAME, FRAME_ALONE = 0.5, 0.9
 
+# Tags as HTML reads them: an unquoted value runs to white space or ">", whatever quotes it
+# holds; a quote without its end opens no value. A "<" inside makes it no tag.
+_ATTRS = r"(?:[\s/]+|[^\s/<>][^\s/<>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s<>]++))?+)*+"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?/][^>]*>|<[a-zA-Z/!?][^<]*\Z", re.S)
-_ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_WORDS = re.compile(r"[a-z]+")
+    r"<!--.*?(?:-->|\Z)|<([a-zA-Z][^\s/<>]*+)(" + _ATTRS + r")>"
+    r"|</([a-zA-Z][^\s/<>]*+)[^<>]*+>|<[!?/][^<>]*+>|<[a-zA-Z/!?][^<]*+\Z", re.S)
+_ATTR = re.compile(r"([^\s/<>][^\s/<>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s<>]++)))?+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+
+
+def name_signs(value: str) -> tuple[float, bool, bool, bool]:
+    """What the names in a class or id say: boilerplate (0, ``W_HINT`` or ``W_SIGN``),
+    content, header, advert. A name counts by its last part, or by its first where the
+    last is a mere container; a word elsewhere in it is a hint."""
+    sign, content, header, advert = 0.0, False, False, False
+    for name in value.split():
+        parts = [p.lower() for p in _PARTS.findall(name) if len(p) > 1]
+        if not parts or parts[0] in STATE_WORDS and len(parts) > 1:
+            continue
+        first, last, whole = parts[0], parts[-1], "".join(parts)
+        if whole in BOILER_WORDS or whole in HEADER_WORDS:  # "side-bar" is "sidebar"
+            first = last = whole
+        if len(parts) > 1 and first in BOILER_WORDS and last in CONTAINER_WORDS:
+            last = first
+        if last in BOILER_WORDS:
+            sign = W_SIGN
+            advert = advert or last in ADVERT_WORDS
+        elif not BOILER_WORDS.isdisjoint(parts):
+            sign = max(sign, W_HINT)
+        elif not CONTENT_WORDS.isdisjoint(parts):
+            content = True
+        elif last in HEADER_WORDS or first in HEADER_WORDS and last in CONTAINER_WORDS:
+            header = True
+    return sign, content, header, advert
 
 
 class Node:
-    __slots__ = ("tag", "depth", "parent", "content", "boiler", "word", "link")
+    """An element: its own signs, and after ``settle`` those it stands under."""
+
+    __slots__ = ("tag", "depth", "parent", "link", "sign", "landmark", "word", "header",
+                 "unseen", "size", "framed", "boiler", "content")
 
     def __init__(self, tag: str, parent: "Node | None", attrs: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
-        self.content = parent.content if parent else False
-        self.boiler = parent.boiler if parent else False
-        self.word = parent.word if parent else False
         self.link = tag == "a" or bool(parent and parent.link)
-        if tag in CONTENT_TAGS:
-            self.content = True
-        if tag in BOILER_TAGS or tag == "header" and not self.content:
-            self.boiler = True
-        if attrs and not attrs.isspace() and tag not in ("html", "body", "a"):
+        self.sign = W_SIGN if tag in BOILER_TAGS else 0.0
+        self.landmark = tag in CONTENT_TAGS
+        self.header = tag == "header"
+        self.word = False
+        self.unseen = bool(parent and parent.unseen)
+        self.size, self.framed = 0, False
+        self.boiler, self.content = 0.0, False
+        if attrs and not attrs.isspace() and tag not in ("html", "body"):
             self._read(attrs)
 
     def _read(self, attrs: str) -> None:
+        hidden = advert = False
+        named = header = False
         for name, x, y, z in _ATTR.findall(attrs):
-            name, value = name.lower(), (x or y or z).lower()
+            name, value = name.lower(), x or y or z
+            if "&" in value:
+                value = htmllib.unescape(value)
             if name in ("class", "id"):
-                words = set(_WORDS.findall(value))
-                if words & BOILER_WORDS:
-                    self.boiler = True
-                elif words & CONTENT_WORDS:
-                    self.word = True
-                elif words & HEADER_WORDS and not self.content:
-                    self.boiler = True
+                if self.tag == "a":
+                    continue
+                sign, word, head, ad = name_signs(value)
+                self.sign = max(self.sign, sign)
+                named, header, advert = named or word, header or head, advert or ad
             elif name == "role":
+                value = value.strip().lower()
                 if value in BOILER_ROLES:
-                    self.boiler = True
+                    self.sign = W_SIGN
                 elif value in ("main", "article"):
-                    self.content = True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                self.boiler = True
-            elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                self.boiler = True
+                    self.landmark = True
+            elif name == "hidden":
+                hidden = value.lower() != "until-found"
+            elif name == "aria-hidden":
+                if value.strip().lower() == "true" and self.tag not in INLINE:
+                    self.sign = W_SIGN
+            elif name == "style" and _UNSEEN.search(value.lower()):
+                hidden = True
+        self.word = named and self.sign < W_SIGN
+        self.header = self.header or header and not named
+        if self.tag in INLINE:  # its text is left out of the block it stands in
+            self.unseen = self.unseen or hidden or advert
+        elif hidden:
+            self.sign = W_SIGN
 
 
 class Block:
@@ -141,6 +203,7 @@ def blocks(html: str) -> list[Block]:
     out: list[Block] = []
     root = Node("", None, "")
     stack = [root]
+    nodes = [root]
     parts: list[str] = []
     links = 0
     in_head = False
@@ -148,7 +211,7 @@ def blocks(html: str) -> list[Block]:
 
     def text(raw: str) -> None:
         nonlocal links, holder
-        if in_head or not raw:
+        if in_head or not raw or stack[-1].unseen:
             return
         s = htmllib.unescape(raw) if "&" in raw else raw
         if not parts and s.isspace():
@@ -165,6 +228,7 @@ def blocks(html: str) -> list[Block]:
             s = " ".join("".join(parts).split())
             if s:
                 out.append(Block(s, holder, links))
+                holder.size += len(s)
             parts.clear()
             links = 0
 
@@ -213,6 +277,7 @@ def blocks(html: str) -> list[Block]:
                     pop_to({"p"}, FENCES)
             if tag not in VOID and not attrs.endswith("/"):
                 stack.append(Node(tag, stack[-1], attrs))
+                nodes.append(stack[-1])
         elif end:
             end = end.lower()
             if end == "head":
@@ -221,9 +286,42 @@ def blocks(html: str) -> list[Block]:
                 close_block()
             pop_to({end}, set() if end not in INLINE else FENCES)
     close_block()
+    settle(nodes)
     return out
 
 
+def settle(nodes: list[Node]) -> None:
+    """What each element stands under, from the outermost inwards; ``nodes`` in page order.
+
+    A sign of boilerplate ends what content elements around it say, and content elements
+    below it say nothing. The frame of the page, that is an element around its largest
+    article and half its text or around nine tenths of its text, is no boilerplate itself,
+    whatever it is called. A header inside content holds a headline."""
+    for node in reversed(nodes[1:]):
+        node.parent.size += node.size
+    total = nodes[0].size
+    marks = ([n for n in nodes if n.landmark and n.sign < W_SIGN and n.size]
+             or [n for n in nodes if n.tag == "h1" and n.sign < W_SIGN and n.size])
+    top = node = max(marks, key=lambda n: n.size, default=None)
+    while node is not None:
+        node.framed = node is not top and node.size >= FRAME * total
+        node = node.parent
+    for node in nodes[1:]:
+        up = node.parent
+        node.boiler, node.content = up.boiler, up.content
+        node.word = node.word or up.word
+        framed = node.framed or not marks and node.size >= FRAME_ALONE * total
+        sign = node.sign
+        if node.header and not node.content and not node.landmark:
+            sign = W_SIGN
+        if sign and not framed:
+            node.boiler = min(W_SIGN, node.boiler + sign)
+        if node.boiler >= W_SIGN:
+            node.content = node.word = False
+        elif node.landmark:
+            node.content = True
+
+
 def costs(b: Block) -> tuple[float, float]:
     """What it costs to call the block boilerplate, and content."""
     node, s = b.node, b.text
@@ -238,8 +336,7 @@ def costs(b: Block) -> tuple[float, float]:
         keep += W_TEXT_TAG
     if s[-1] in ".!?…:\"”»":
         keep += W_SENTENCE
-    if node.boiler:
-        drop += W_STRUCTURE
+    drop += node.boiler
     drop += W_LINKS * min(1.0, b.links / len(s))
     if len(s) < SHORT and not heading:
         drop += W_SHORT
@@ -344,30 +441,44 @@ def min_cut(keep: list[float], drop: list[float],
                 break
 
 
-def main_text(html: str | None) -> str:
+def label(html: str | None) -> tuple[list[Block], list[bool], int]:
+    """The blocks of a page, which of them the minimum cut calls content, and how many of
+    these labels differ from what each block's own costs say."""
     page = blocks(html or "")
     if not page:
-        return ""
+        return [], [], 0
     keep, drop = zip(*(costs(b) for b in page))
     chosen = min_cut(list(keep), list(drop), edges(page))
+    return page, chosen, sum(c != (k > d) for c, k, d in zip(chosen, keep, drop))
+
+
+def main_text(html: str | None) -> str:
+    page, chosen, _ = label(html)
     return "\n\n".join(b.text for b, c in zip(page, chosen) if c)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in C.slices(batches, "html"):
+        texts, n_blocks, n_turned = [], [], []
+        for h in b.column("html").to_pylist():
+            page, chosen, turned = label(h)
+            texts.append("\n\n".join(p.text for p, c in zip(page, chosen) if c))
+            n_blocks.append(len(page))
+            n_turned.append(turned)
         yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"),
-             pa.array([main_text(h) for h in b.column("html").to_pylist()], pa.string())],
-            names=["page_id", "url", "text"])
+            [b.column("page_id"), b.column("url"), pa.array(texts, pa.string()),
+             pa.array(n_blocks, pa.int64()), pa.array(n_turned, pa.int64())],
+            names=["page_id", "url", "text", "n_blocks", "n_turned"])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of ``pages``."""
+    """page_id, url, text, n_chars for every row of ``pages``, and how many blocks it has
+    (n_blocks) and how many of their labels the cut turned (n_turned)."""
     C.text_session(pages.sparkSession)
     return (pages.select(F.col("page_id").cast("long").alias("page_id"),
                          F.col("url").cast("string").alias("url"),
                          F.col("html").cast("string").alias("html"))
-            .mapInArrow(_extract, "page_id long, url string, text string")
+            .mapInArrow(_extract, "page_id long, url string, text string, n_blocks long, n_turned long")
             .withColumn("n_chars", F.length("text").cast("long")))
 
 
