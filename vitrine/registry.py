@@ -15,6 +15,7 @@ from .operators import audits as A
 from .operators import changes as C
 from .operators import checkout as K
 from .operators import documents as D
+from .operators import history as H
 from .operators import lists as L
 from .operators import views as V
 from .sources.driver import load_shop
@@ -84,6 +85,7 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
     ops.update(_source_ops())
     ops.update(_shared_ops())
     ops.update(_star_ops())
+    ops.update({"price_at_order": H.price_at_order, "sale_results": H.sale_results})
     return ops
 
 
@@ -443,6 +445,8 @@ def oracle_sql() -> dict[str, str]:
     sql.update(sources_oracle())
     from .oracle.shared import oracle as shared_oracle
     sql.update(shared_oracle())
+    from .oracle.history import oracle as history_oracle
+    sql.update(history_oracle())
     for star, plain in (("star_order_lines", "p_order_lines"),
                         ("star_order_item_detail", "v_order_item_detail"),
                         ("star_units_per_product", "q17_units_per_product")):
