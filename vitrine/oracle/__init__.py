@@ -64,17 +64,17 @@ FROM orders WHERE o_orderkey % 11 <> 0 AND o_orderkey % 4 = 0""",
     "shipping": """SELECT l_orderkey * 1000 + l_linenumber AS shipping_id, l_orderkey AS order_id,
        CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'addr ' || CAST(l_orderkey * 1000 + l_linenumber AS VARCHAR) END AS address,
        CASE WHEN l_linenumber % 2 = 0 THEN 'Delivered' ELSE 'Preparing' END AS status
-FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber <= 3) s""",
+FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) s""",
     "reviews": """SELECT min(event_id) AS review_id, user_id, product_id, CAST(1 + min(event_id) % 5 AS INT) AS rating,
        CASE WHEN min(event_id) % 9 = 0 THEN 'ok' WHEN min(event_id) % 10 = 0 THEN NULL
             ELSE 'review ' || CAST(min(event_id) AS VARCHAR) END AS comment, min(ts) AS review_date
 FROM (SELECT event_id, user_id, ts, (event_id * 31) % (SELECT count(*) FROM part WHERE p_partkey % 4 = 0) AS product_id
-      FROM events WHERE event_type IN ('view', 'signup')) e
+      FROM events) e
 GROUP BY user_id, product_id""",
-    "cart": "SELECT DISTINCT user_id AS cart_id, user_id FROM events WHERE event_type = 'click'",
+    "cart": "SELECT DISTINCT user_id AS cart_id, user_id FROM events",
     "cart_items": """SELECT cart_id * (SELECT count(*) FROM part) + variant_id AS cart_item_id, cart_id, variant_id, CAST(sum(qty) AS INT) AS quantity
 FROM (SELECT user_id AS cart_id, (event_id * 17) % (SELECT count(*) FROM part) AS variant_id, 1 + event_id % 3 AS qty
-      FROM events WHERE event_type = 'click') c
+      FROM events) c
 GROUP BY cart_id, variant_id""",
 }
 

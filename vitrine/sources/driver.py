@@ -156,8 +156,7 @@ def load_shop(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> S
     payments = pay_first.unionByName(pay_second)
 
     ship_key = F.col("l_orderkey") * 1000 + F.col("l_linenumber")
-    shipping = (lineitem.filter(F.col("l_linenumber") <= 3)
-                .select("l_orderkey", "l_linenumber").distinct()
+    shipping = (lineitem.select("l_orderkey", "l_linenumber").distinct()
                 .select(ship_key.alias("shipping_id"), F.col("l_orderkey").alias("order_id"),
                         F.when(F.col("l_orderkey") % 13 == 0, F.lit(None).cast("string"))
                          .otherwise(F.concat(F.lit("addr "), ship_key.cast("string")))
@@ -170,8 +169,7 @@ def load_shop(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> S
     n_parts = part.select(F.count(F.lit(1))).scalar()
 
     first_ev = F.min("event_id")
-    reviews = (events.filter(F.col("event_type").isin("view", "signup"))
-               .select("event_id", "user_id", "ts",
+    reviews = (events.select("event_id", "user_id", "ts",
                        ((F.col("event_id") * 31) % n_products).alias("product_id"))
                .groupBy("user_id", "product_id")
                .agg(first_ev.alias("review_id"), F.min("ts").alias("review_date"))
@@ -183,9 +181,8 @@ def load_shop(spark: SparkSession, sf_dir: str, as_of: dt.datetime = AS_OF) -> S
                         .alias("comment"),
                        "review_date"))
 
-    clicks = events.filter(F.col("event_type") == "click")
-    cart = clicks.select(F.col("user_id").alias("cart_id"), "user_id").distinct()
-    cart_items = (clicks.select(F.col("user_id").alias("cart_id"),
+    cart = events.select(F.col("user_id").alias("cart_id"), "user_id").distinct()
+    cart_items = (events.select(F.col("user_id").alias("cart_id"),
                                 ((F.col("event_id") * 17) % n_parts).alias("variant_id"),
                                 (1 + F.col("event_id") % 3).alias("qty"))
                   .groupBy("cart_id", "variant_id")
