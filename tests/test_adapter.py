@@ -12,7 +12,7 @@ def test_row_counts(shop_mid):
     want = {"users": 1500, "brands": 25, "categories": 6, "colors": 8, "sizes": 50,
             "products": 500, "product_variants": 1912, "sales": 3, "product_sales": 584,
             "product_images": 964, "orders": 15000, "order_details": 60000, "payments": 17045,
-            "shipping": 19622, "reviews": 3909, "cart": 150, "cart_items": 1996}
+            "shipping": 45832, "reviews": 9419, "cart": 150, "cart_items": 9871}
     got = {t: getattr(shop_mid, t).count() for t in want}
     assert got == want
 
@@ -30,16 +30,16 @@ def test_model_facts(shop_mid):
              views.v_product_stock_status(s).groupBy("stock_status").count().collect()}
     assert sorted(stock.values()) == [96, 117, 287]
     allowed = C.t_review_purchase_check(s.reviews, s.orders, s.order_details, s.product_variants)
-    assert allowed.filter("allowed").count() == 98
-    assert s.reviews.filter(sql_len(F.col("comment")) < 5).count() == 424
-    assert s.reviews.filter(F.col("comment").isNull()).count() == 352
+    assert allowed.filter("allowed").count() == 226
+    assert s.reviews.filter(sql_len(F.col("comment")) < 5).count() == 1039
+    assert s.reviews.filter(F.col("comment").isNull()).count() == 840
     dup_psc = (s.product_variants.groupBy("product_id", "size_id", "color_id").count()
                .filter("count > 1").count())
     dup_ov = s.order_details.groupBy("order_id", "variant_id").count().filter("count > 1").count()
     assert (dup_psc, dup_ov) == (6, 55)
     assert s.order_details.join(s.product_variants, "variant_id", "left_anti").count() == 2666
     lines = s.cart_items.join(s.product_variants.select("variant_id", "stock"), "variant_id")
-    assert (lines.count(), lines.filter(F.col("quantity") > F.col("stock")).count()) == (1921, 890)
+    assert (lines.count(), lines.filter(F.col("quantity") > F.col("stock")).count()) == (9439, 4352)
     disc = {r.max_discount_percent: r["count"] for r in
             shared.agg_active_discount(s).groupBy("max_discount_percent").count().collect()}
     assert disc == {30: 167, 10: 166}
