@@ -25,13 +25,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter("score < 0.5").select("row.*")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a long ``_key`` for each different text: its row key, but where
+    one id stands for several texts a number of 2**62 and more from id and text, so that
+    ids of one text come before it. Repeated rows share their key."""
+    th = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
+    rows = docs.withColumn("_key", C.row_key()).withColumn("_th", th)
+    shared = (rows.groupBy("_key").agg(F.min("_th").alias("a"), F.max("_th").alias("b"))
+              .filter("a <> b").select("_key", F.lit(True).alias("_shared")).checkpoint())
+    if shared.isEmpty():
+        return rows.drop("_th")
+    own = (F.xxhash64("_key", "_th").bitwiseAND(F.lit(2 ** 62 - 1))
+           .bitwiseOR(F.lit(2 ** 62)))
+    return (rows.join(shared, "_key", "left")
+            .withColumn("_key", F.when(F.col("_shared"), own).otherwise(F.col("_key")))
+            .drop("_th", "_shared"))
+
+
 def keep_one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (operator 6) the document with the smallest
-    id; repeated rows stay once."""
-    classes = jaccard.jaccard_classes(docs)
+    key, which is its id where that names one text; repeated rows stay once."""
+    rows = keyed(docs)
+    classes = jaccard.jaccard_classes(rows.select(F.col("_key").alias("doc_id"), "text"))
     kept = classes.filter("key = class_key").select(F.col("key").alias("_key")).distinct()
-    keyed = docs.withColumn("_key", C.row_key()).withColumn("_th", F.xxhash64("text"))
-    return (keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key", "_th"])
+    return (rows.join(kept, "_key", "left_semi").dropDuplicates(["_key"])
             .select(*docs.columns))
 
 
@@ -48,11 +65,11 @@ def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item (operator 2)."""
-    keyed = docs.withColumn("_key", C.row_key())
+    rows = keyed(docs)
     found = decontaminate.contaminated(
-        keyed.select(F.col("_key").alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
+        rows.select(F.col("_key").alias("doc_id"), "text"), C.table(spark, sf_dir, "benchmark"))
     bad = found.select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*docs.columns)
+    return rows.join(bad, "_key", "left_anti").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
