@@ -161,10 +161,56 @@ def test_warc_empty(spark, tmp_path):
 
 # -------------------------------------------------------------------- packing
 
-def test_cuts():
-    for n in (1, 5, 4095, 4096, 4097, 10_000):
-        c = packing.cuts(n, 4096)
-        assert sum(c) == n and all(4096 % x == 0 for x in c)
+def _packed(lengths, capacity=64, **kw):
+    import numpy as np
+
+    packer = packing.Packer(capacity, 0, **kw)
+    for k, n in enumerate(lengths):
+        packer.add(k, np.arange(n, dtype="<u4"))
+    packer.finish()
+    seqs = defaultdict(list)
+    at = defaultdict(int)
+    for doc, start, n, _, total, seq, offset in sorted(packer.done, key=lambda r: (r[0], r[1])):
+        assert start == at[doc] and total == lengths[doc] and n > 0
+        at[doc] += n
+        seqs[seq].append((offset, doc, n))
+    assert [at[k] for k in range(len(lengths))] == list(lengths)
+    for pieces in seqs.values():
+        end = 0
+        for offset, _, n in sorted(pieces):
+            assert offset == end
+            end += n
+        assert end <= capacity
+    return [[n for _, _, n in sorted(x)] for x in seqs.values()]
+
+
+def test_classes_hold_a_fixed_count_of_whole_documents():
+    # 17..21 tokens: class 3 of 64. The first document waits to fill gaps.
+    for seq in _packed([30] + [20] * 9, least=5):
+        assert seq.count(20) == 3 or sum(seq) & (sum(seq) - 1) == 0
+    # Lengths of exactly capacity / k leave no gap and cut nothing.
+    assert sorted(_packed([64] + [16] * 8)) == [[16] * 4, [16] * 4, [64]]
+    assert _packed([]) == []
+
+
+def test_gaps_are_filled_and_padding_is_small():
+    rng = random.Random(3)
+    for seed in range(20):
+        lengths = [rng.choice([1, 2, 3, 9, 20, 33, 60, 64, 65, 200, 1000])
+                   for _ in range(rng.randrange(300))]
+        for least in (1, 4):
+            used = [sum(x) for x in _packed(lengths, least=least, queue=rng.choice([1, 64]))]
+            odd = [u for u in used if u & (u - 1)]
+            assert all(u > 64 - least for u in odd)
+            assert sum(u < 64 and not u & (u - 1) for u in used) <= 6
+
+
+def test_most_documents_stay_whole():
+    rng = random.Random(4)
+    lengths = [int(rng.lognormvariate(6, 1)) + 1 for _ in range(3000)]
+    pieces = sum(len(x) for x in _packed(lengths, capacity=4096))
+    long = sum(n // 4096 for n in lengths)
+    assert pieces - long < 1.35 * len(lengths)
 
 
 def test_encoder_against_the_tokenizer():
@@ -208,7 +254,7 @@ def test_packing(docs):
         for p in sorted(seq, key=lambda p: p.offset):
             assert p.offset == at
             at += p.length
-        assert at <= 4096 and at & (at - 1) == 0  # no sequence needs padding
+        assert at & (at - 1) == 0 and at <= 4096 or 4096 - packing.LEAST < at < 4096
     assert packing.harmonic_pack(docs([])).count() == 0
 
 
@@ -243,8 +289,21 @@ def test_pipeline_odd_rows(spark, docs, tmp_path):
                    (7, "")]
 
 
+def test_texts_under_one_id_are_judged_apart(spark, docs):
+    copy = " ".join(f"w{i}" for i in range(60))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(3, copy), (5, copy), (5, "an unrelated text that nobody copied at all"),
+            (8, item), (8, "a clean text under the id of a contaminated one"), (9, "alone")]
+    read = corpus_pipeline.keep_one_of_each_class(spark, docs(rows), SF)
+    got = sorted((r.doc_id, r.text) for r in read.collect())
+    assert got == sorted(r for r in rows if r != (5, copy))
+    read = corpus_pipeline.drop_contaminated(spark, docs(rows), SF)
+    assert sorted((r.doc_id, r.text) for r in read.collect()) == sorted(r for r in rows if r != (8, item))
+
+
 def test_every_operator_is_registered():
     names = set(llm_queries.queries())
-    assert "pipeline" in names and len([n for n in names if n.startswith("op")]) == 10
+    assert "pipeline" in names
+    assert sorted(int(n[2:n.index("_")]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == [
         "toxicity", "ngram_jaccard_join", "substring_dedup", "benchmark_decontamination", "packing"]

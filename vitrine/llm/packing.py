@@ -1,16 +1,23 @@
 """Harmonic packing of documents into sequences of a fixed capacity.
 
-A class holds pieces of one length, a reciprocal of the capacity: capacity / 1,
-/ 2, / 4, ... Its bins are filled with exactly 1, 2, 4, ... pieces. Documents may
-be cut, so each one is cut into whole sequences and then along the binary digits
-of what is left; every piece then has the length of its class, and a full bin
-has no padding.
-
-Each worker fills the bins of its own partition in the order it reads, holding
-one open bin of each class (13 for 4096). At the end an open bin of q pieces is
-closed as one bin for each binary digit of q: such a sequence has a power of two
-of tokens, which needs no padding either. No row is moved between workers, and a
-repeated task makes the same sequences, as a partition is read in one order.
+A piece of n tokens belongs to the class k = capacity // n: its length lies in
+(capacity / (k + 1), capacity / k], so k pieces of the class always fit one bin. Each
+worker fills the bins of its own partition in the order it reads, one open bin of a
+class at a time, and closes a bin with its k-th document.
+
+Documents are kept whole where that works. One of more than a sequence first fills whole
+sequences; its rest, and documents of class 1 (over half a sequence), wait in a queue of
+at most ``QUEUE`` sequences and fill what closed bins leave, being cut for it. When the
+queue is empty the next document joins it, whatever its class. A gap of fewer than
+``LEAST`` tokens stays padding, so that it makes no crumb.
+
+At the end of a partition the open bins and the queue are laid end to end, longest
+first, into full sequences; what does not fill one is closed as one sequence for each
+binary digit of its length. Such a sequence has a power of two of tokens, which needs
+no padding. No row is moved between workers, and a repeated task makes the same
+sequences, as a partition is read in one order. A worker holds the ids of its open bins
+(fewer than 2 * sqrt(capacity) bins) and of its queue, and nothing that grows with the
+input.
 
 ``sequence_id`` is partition * 2**36 + a count within the partition.
 
@@ -28,7 +35,9 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,12 +52,17 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 CACHE_CHUNKS = 800_000
 SLICE = 1_000_000
+#: Sequences' worth of tokens that may wait to fill gaps.
+QUEUE = 64
+#: A smaller gap stays padding.
+LEAST = 16
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 #: A word of Latin letters and its closing marks: one or two pieces for the
 #: tokenizer's splitter.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@[-`{-~]*)")
 
+
 def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
@@ -174,53 +188,127 @@ def encoder(path: str, end_id: int) -> Encoder:
     return _encoders[path, end_id]
 
 
-def cuts(n: int, capacity: int) -> list[int]:
-    """Lengths of the pieces of a document of n tokens."""
-    pieces = [capacity] * (n // capacity)
-    rest = n % capacity
-    return pieces + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
+def digits(n: int) -> list[int]:
+    """The powers of two that add up to n, largest first."""
+    return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
+
+
+class Piece(NamedTuple):
+    """Consecutive ids of one document, from ``start`` on."""
+
+    doc_id: int | None
+    start: int
+    ids: np.ndarray
+    doc_tokens: int
+
+    def cut(self, n: int) -> tuple["Piece", "Piece"]:
+        return (self._replace(ids=self.ids[:n]),
+                self._replace(start=self.start + n, ids=self.ids[n:]))
+
+
+class Packer:
+    """Fills the sequences of one partition; ``done`` holds rows of closed ones."""
+
+    def __init__(self, capacity: int, first_id: int, queue: int = QUEUE, least: int = LEAST):
+        self.capacity, self.least, self.room = capacity, least, queue * capacity
+        self.next_id = first_id
+        self.bins: dict[int, list[Piece]] = {}
+        self.queue: deque[Piece] = deque()
+        self.waiting = 0  # tokens in the queue
+        self.short: tuple[list[Piece], int] | None = None  # a closed bin and its gap
+        self.done: list[tuple] = []
+
+    def _emit(self, pieces: list[Piece]) -> None:
+        at = 0
+        for p in pieces:
+            n = len(p.ids)
+            self.done.append((p.doc_id, p.start, n, zlib.crc32(p.ids.tobytes()), p.doc_tokens,
+                              self.next_id, at))
+            at += n
+        self.next_id += 1
+
+    def _fill(self, held: list[Piece], gap: int) -> None:
+        while gap >= self.least and self.queue:
+            p = self.queue.popleft()
+            if len(p.ids) > gap:
+                p, rest = p.cut(gap)
+                self.queue.appendleft(rest)
+            held.append(p)
+            gap -= len(p.ids)
+            self.waiting -= len(p.ids)
+        if gap >= self.least:
+            self.short = held, gap
+        else:
+            self._emit(held)
+
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        p = Piece(doc_id, 0, ids, len(ids))
+        while len(p.ids) >= self.capacity:
+            whole, p = p.cut(self.capacity)
+            self._emit([whole])
+        n = len(p.ids)
+        if not n:
+            return
+        p = p._replace(ids=p.ids.copy())  # the slice's ids are not kept
+        k = self.capacity // n
+        if not self.waiting or (k == 1 or p.start) and self.waiting + n <= self.room:
+            self.queue.append(p)
+            self.waiting += n
+            if self.short:
+                short, self.short = self.short, None
+                self._fill(*short)
+            return
+        held = self.bins.setdefault(k, [])
+        held.append(p)
+        if len(held) == k:
+            del self.bins[k]
+            self._fill(held, self.capacity - sum(len(x.ids) for x in held))
+
+    def finish(self) -> None:
+        rest = [p for held in self.bins.values() for p in held] + list(self.queue)
+        rest.sort(key=lambda p: -len(p.ids))
+        held, gap = self.short or ([], self.capacity)
+        for p in rest:
+            while len(p.ids) >= gap:
+                full, p = p.cut(gap)
+                self._emit(held + [full])
+                held, gap = [], self.capacity
+            if len(p.ids):
+                held.append(p)
+                gap -= len(p.ids)
+        for size in digits(self.capacity - gap):
+            part: list[Piece] = []
+            while size:
+                p = held.pop(0)
+                if len(p.ids) > size:
+                    p, more = p.cut(size)
+                    held.insert(0, more)
+                part.append(p)
+                size -= len(p.ids)
+            self._emit(part)
+        self.bins, self.queue, self.waiting, self.short = {}, deque(), 0, None
 
 
 def _pack(path: str, end_id: int, capacity: int):
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, end_id)
-        base = TaskContext.get().partitionId() << 36
-        next_id = 0
-        open_bins: dict[int, list[tuple]] = {}
+        packer = Packer(capacity, TaskContext.get().partitionId() << 36)
 
-        def rows(pieces: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*pieces))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in cols],
-                names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id",
-                       "offset"])
+        def rows() -> Iterator[pa.RecordBatch]:
+            if packer.done:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int64()) for c in zip(*packer.done)], names=names)
+                packer.done.clear()
 
         for b in C.slices(batches, size=SLICE):
-            done: list[tuple] = []
             flat, first = enc.encode_all(b.column("text").to_pylist())
             for d, doc_id in enumerate(b.column("doc_id").to_pylist()):
-                ids = flat[first[d]:first[d + 1]]
-                start = 0
-                for n in cuts(len(ids), capacity):
-                    piece = (doc_id, start, n, zlib.crc32(ids[start:start + n].tobytes()), len(ids))
-                    start += n
-                    held = open_bins.setdefault(n, [])
-                    held.append(piece)
-                    if len(held) * n == capacity:
-                        done += [(*p, base + next_id, k * n) for k, p in enumerate(held)]
-                        next_id += 1
-                        held.clear()
-            if done:
-                yield rows(done)
-        rest: list[tuple] = []
-        for n, held in sorted(open_bins.items()):
-            at = 0
-            for size in cuts(len(held), capacity // n):
-                rest += [(*p, base + next_id, k * n) for k, p in enumerate(held[at:at + size])]
-                next_id += 1
-                at += size
-        if rest:
-            yield rows(rest)
+                packer.add(doc_id, flat[first[d]:first[d + 1]])
+            yield from rows()
+        packer.finish()
+        yield from rows()
     return run
 
 
