@@ -86,9 +86,18 @@ def _operators() -> dict[str, Callable[[Shop], DataFrame]]:
     ops.update(_shared_ops())
     ops.update(_star_ops())
     ops.update({"price_at_order": H.price_at_order, "sale_results": H.sale_results})
+    ops.update(_search_ops())
     return ops
 
 
+def _search_ops() -> dict[str, Callable[[Shop], DataFrame]]:
+    from .operators import search as SE
+    return {
+        "keyword_matches": lambda s: SE.keyword_matches(s, SE.driver_keywords(s)),
+        "keyword_report": lambda s: SE.keyword_report(s, SE.driver_keywords(s)),
+    }
+
+
 _STARS: dict = {}
 
 
@@ -447,6 +456,8 @@ def oracle_sql() -> dict[str, str]:
     sql.update(shared_oracle())
     from .oracle.history import oracle as history_oracle
     sql.update(history_oracle())
+    from .oracle.search import oracle as search_oracle
+    sql.update(search_oracle())
     for star, plain in (("star_order_lines", "p_order_lines"),
                         ("star_order_item_detail", "v_order_item_detail"),
                         ("star_units_per_product", "q17_units_per_product")):
