@@ -23,4 +23,19 @@ LEFT JOIN (SELECT variant_id, sum(sign * quantity) AS taken FROM feed GROUP BY v
     q["s_cancel_restores"] = with_shop(["order_details", "orders"], """
 SELECT od.variant_id, CAST(sum(od.quantity) AS BIGINT) AS restored FROM shop_order_details od
 JOIN shop_orders o ON o.order_id = od.order_id WHERE o.status = 'Shipping' GROUP BY od.variant_id""")
+    q["s_variant_rollup"] = with_shop(["product_variants"], """
+SELECT product_id, count(*) AS total_variants, CAST(sum(stock) AS BIGINT) AS total_stock,
+       min(price) AS min_price, max(price) AS max_price
+FROM (SELECT variant_id, product_id,
+             CASE WHEN product_id % 4 = 0 THEN CAST(price - 1 AS DECIMAL(10,2)) ELSE price END AS price,
+             CASE WHEN product_id % 4 = 0 THEN stock + 1 ELSE stock END AS stock
+      FROM shop_product_variants) v
+WHERE variant_id % 5 <> 0 AND product_id % 7 <> 0 GROUP BY product_id""")
+    q["s_review_rollup"] = with_shop(["reviews"], """
+SELECT product_id,
+       CAST(((sum(rating) * 200 + count(*)) // (2 * count(*))) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(10,2)) AS avg_rating,
+       count(*) AS review_count
+FROM (SELECT review_id, product_id, CASE WHEN review_id % 3 = 0 THEN 6 - rating ELSE rating END AS rating
+      FROM shop_reviews) r
+WHERE review_id % 5 <> 0 AND product_id % 11 <> 0 GROUP BY product_id""")
     return q

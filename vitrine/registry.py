@@ -265,6 +265,7 @@ def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
 
 def _stream_ops() -> dict[str, Callable[[Shop], DataFrame]]:
     from .streaming import feeds as S
+    from .streaming import rollups as RU
 
     def cart(s: Shop) -> DataFrame:
         feed = _request_feed(s).select("seq", "user_id", "variant_id", "quantity")
@@ -275,6 +276,8 @@ def _stream_ops() -> dict[str, Callable[[Shop], DataFrame]]:
         "s_stock_ledger": S.s_stock_ledger,
         "s_cancel_restores": S.s_cancel_restores,
         "s_cart_merge": cart,
+        "s_variant_rollup": RU.s_variant_rollup,
+        "s_review_rollup": RU.s_review_rollup,
     }
 
 

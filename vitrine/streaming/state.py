@@ -100,6 +100,11 @@ class BucketedState:
     def read(self, version: int) -> DataFrame:
         return self._read(self.placement(version))
 
+    def read_for(self, version: int, rows: DataFrame) -> DataFrame:
+        """The buckets that hold the keys of ``rows``."""
+        touched = {r[0] for r in self._placed(rows).select(_BUCKET).distinct().collect()}
+        return self._read({b: v for b, v in self.placement(version).items() if b in touched})
+
     def latest(self) -> DataFrame:
         return self.read(self.last)
 
