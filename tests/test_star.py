@@ -62,3 +62,14 @@ def test_units_move_one_row_per_variant(star, no_broadcast):
 def test_one_file_per_bucket(star):
     files = star.table("lines_by_variant").inputFiles()
     assert 1 <= len(files) <= 4
+
+
+def test_a_query_writes_only_the_tables_it_reads(spark, shop_small, monkeypatch):
+    star = bucketed.build(shop_small, buckets=4)
+    try:
+        assert _rows(ST.star_units_per_product(star)) == _rows(R.q17_units_per_product(shop_small))
+        assert set(star.pending) == {"headers", "lines_by_order"}
+        monkeypatch.setattr(bucketed, "BUCKET_LINES", 1000)
+        assert bucketed.buckets_for(shop_small, 2) == -(-shop_small.order_details.count() // 1000)
+    finally:
+        star.drop()

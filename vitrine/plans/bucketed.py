@@ -7,9 +7,11 @@ reads bucket n of both sides in one task; neither side moves. The copy by order
 the columns of each line's variant, joined once when the snapshot is written, so a view
 that needs both dimensions has a single join left.
 
-A snapshot is consistent in itself: all its tables come from one state of the shop.
-``build`` pays one shuffle per table; every later query on the snapshot pays none on the
-lines. Buckets should hold some 128 to 256 MB of lines each.
+A snapshot is consistent in itself: all its tables come from one state of the shop, whose
+files must stay as they are meanwhile. Each table is written when a query first reads it
+and pays one shuffle then; every later query on the snapshot pays none on the
+lines. ``buckets_for`` grows the number of buckets with the lines, so that a task can sort
+one in memory.
 
 Files go to the shared checkpoint folder (or ``root``), the catalog holds their bucket
 specification. A hot variant fills one bucket: the share of one variant among all lines
@@ -20,7 +22,8 @@ much (``Shop`` itself is unchanged).
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from ..operators import shared
 from ..session import ensure_checkpoint_dir
 
 BUCKETS = 64
+#: Order lines of a bucket, about.
+BUCKET_LINES = 1_500_000
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
@@ -45,8 +50,13 @@ class StarSnapshot:
     spark: SparkSession
     prefix: str
     shop: Shop
+    #: What writes each table that no query has read yet.
+    pending: dict[str, Callable[[], None]] = field(default_factory=dict)
 
     def table(self, name: str) -> DataFrame:
+        if name in self.pending:
+            self.pending[name]()
+            del self.pending[name]
         return self.spark.table(f"{self.prefix}_{name}")
 
     def drop(self) -> None:
@@ -55,25 +65,31 @@ class StarSnapshot:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.prefix}_{name}")
 
 
+def buckets_for(shop: Shop, least: int) -> int:
+    return max(least, -(-shop.order_details.count() // BUCKET_LINES))
+
+
 def build(shop: Shop, buckets: int = BUCKETS, root: str | None = None) -> StarSnapshot:
     spark = shop.spark
     prefix = f"vitrine_star_{uuid.uuid4().hex[:12]}"
     root = (root or f"{ensure_checkpoint_dir(spark).rstrip('/')}/vitrine-star").rstrip("/")
 
-    def store(name: str, df: DataFrame, key: str) -> None:
-        write_bucketed(df, f"{prefix}_{name}", f"{root}/{prefix}/{name}", key, buckets)
+    star = StarSnapshot(spark, prefix, shop)
 
-    store("variants", shared.variant_dim(shop).join(
+    def store(name: str, df: Callable[[], DataFrame], key: str) -> None:
+        star.pending[name] = lambda: write_bucketed(
+            df(), f"{prefix}_{name}", f"{root}/{prefix}/{name}", key, buckets)
+
+    store("variants", lambda: shared.variant_dim(shop).join(
         shared.top1_first_image(shop), "product_id", "left"), "variant_id")
-    store("headers", shop.orders.select(
+    store("headers", lambda: shop.orders.select(
         "order_id", "order_date", F.col("status").alias("order_status"), "user_id").join(
         shop.users.select("user_id", F.col("name").alias("customer_name"), "email"), "user_id"),
         "order_id")
-    store("lines_by_variant", shop.order_details, "variant_id")
-    star = StarSnapshot(spark, prefix, shop)
-    # The shuffle to order buckets happens here, once, behind a join that needs none.
-    named = star.table("lines_by_variant").join(
+    # Without order_detail_id, which only the copy by order shows: numbering lines moves them.
+    store("lines_by_variant", lambda: shop.order_details.select(
+        "order_id", "variant_id", "quantity", "price"), "variant_id")
+    store("lines_by_order", lambda: shop.order_details.join(
         star.table("variants").select("variant_id", "product_id", "product_name", "size_name",
-                                      "color_name", "image_url"), "variant_id")
-    store("lines_by_order", named, "order_id")
+                                      "color_name", "image_url"), "variant_id"), "order_id")
     return star

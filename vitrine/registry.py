@@ -102,11 +102,12 @@ _STARS: dict = {}
 
 
 def star_for(shop: Shop):
-    """The bucketed snapshot of a shop, written once for a session."""
+    """The bucketed snapshot of a shop, each table written once for a session."""
     from .plans import bucketed
     key = (shop.spark.sparkContext.applicationId, shop.spark, shop.source)
     if key not in _STARS:
-        _STARS[key] = bucketed.build(shop, max(8, int(shop.spark.conf.get("spark.sql.shuffle.partitions"))))
+        least = max(8, int(shop.spark.conf.get("spark.sql.shuffle.partitions")))
+        _STARS[key] = bucketed.build(shop, bucketed.buckets_for(shop, least))
     return _STARS[key]
 
 
