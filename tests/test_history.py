@@ -95,3 +95,14 @@ def test_empty_tables(shop_small, gone):
     shop = shop_small.with_tables(**{gone: getattr(shop_small, gone).limit(0)})
     assert H.price_at_order(shop).count() == (0 if gone != "sales" else H._lines(shop).count())
     assert H.sale_results(shop).count() == (3 if gone != "sales" else 0)
+
+
+def test_instants_look_only_into_widths_and_times_there_are(spark):
+    day = "timestamp'2020-01-01' + make_interval(0, 0, 0, cast(id as int))"
+    instants = spark.range(100).selectExpr("1L as k", f"{day} as t").unionByName(
+        spark.createDataFrame([(1, None)], "k long, t timestamp"))
+    intervals = spark.sql("select 1L as k, timestamp'2020-01-11' as s, timestamp'2020-01-30' as e, 'a' as n")
+    binned = I.binned_intervals(intervals, "s", "e")
+    assert I.probes(instants, binned, "t", "s", "e").count() == 20
+    assert I.in_force(instants, intervals, ["k"], "t", "s", "e").count() == 20
+    assert I.in_force(instants, intervals.limit(0), ["k"], "t", "s", "e").count() == 0

@@ -4,7 +4,8 @@ A join on the key alone tests every instant of a key against every interval it e
 and a join on the time condition alone is a nested loop. Here an interval is put into
 bins of its own width: of the day widths 2**3, 2**6, ... 2**24 it takes the least that is
 no shorter than itself, so it touches at most two bins however long it is. An instant
-looks into one bin of each width. The join is then an equi-join on (key, width, bin),
+looks into one bin of each width that some interval has, and not at all when it lies before the
+first start or after the last end. The join is then an equi-join on (key, width, bin),
 which spreads a hot key over its bins, followed by the exact test of both ends.
 
 Defined cases: both ends are included; an instant, end or key that is NULL and an interval
@@ -41,12 +42,20 @@ def binned_intervals(intervals: DataFrame, start: str, end: str) -> DataFrame:
             .withColumn("_bin", F.explode(F.sequence(first, last))))
 
 
+def probes(instants: DataFrame, binned: DataFrame, at: str, start: str, end: str) -> DataFrame:
+    """``instants`` with (_level, _bin): a row for each width among the ``binned``
+    intervals, of which no more than LEVELS reach the plan."""
+    levels = binned.select(F.collect_set("_level")).scalar()
+    first, last = binned.select(F.min(start)).scalar(), binned.select(F.max(end)).scalar()
+    return (instants.filter(F.col(at).isNotNull() & F.col(at).between(first, last))
+            .withColumn("_level", F.explode(levels))
+            .withColumn("_bin", _bin(_day(F.col(at)), F.col("_level"))))
+
+
 def in_force(instants: DataFrame, intervals: DataFrame, keys: list[str], at: str,
              start: str, end: str) -> DataFrame:
     """Pairs of a row of ``instants`` and an interval of its keys that holds its time, with
     the columns of both."""
-    probes = (instants.filter(F.col(at).isNotNull())
-              .withColumn("_level", F.explode(F.array(*[F.lit(x) for x in LEVELS])))
-              .withColumn("_bin", _bin(_day(F.col(at)), F.col("_level"))))
-    pairs = probes.join(binned_intervals(intervals, start, end), [*keys, "_level", "_bin"])
+    binned = binned_intervals(intervals, start, end)
+    pairs = probes(instants, binned, at, start, end).join(binned, [*keys, "_level", "_bin"])
     return pairs.filter(F.col(at).between(F.col(start), F.col(end))).drop("_level", "_bin")
