@@ -30,3 +30,20 @@ def test_list_filter_has_no_cap_of_its_own(spark):
                                  "product_id int, category string, brand string, price long")
     assert shop_filter(rows).count() == 2
     assert shop_filter(rows, max_price=10).count() == 1
+
+
+def test_shuffle_tasks_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from vitrine import session
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(size, None)
+    try:
+        session.size_shuffles(spark, str(tmp_path))
+        assert spark.conf.get(key, None) is None
+        (tmp_path / "x.parquet").write_bytes(b"x" * 100_000)
+        monkeypatch.setattr(session, "TASK_BYTES", 1000)
+        session.size_shuffles(spark, str(tmp_path))
+        assert spark.conf.get(key) == "100" and spark.conf.get(size) == "1000"
+    finally:
+        spark.conf.unset(key)
+        spark.conf.set(size, old) if old else spark.conf.unset(size)
