@@ -127,3 +127,45 @@ def test_components_beyond_the_bound_go_through_rounds(spark):
     cdf = spark.createDataFrame(cap, "res long, cap long")
     got = allocate_in_order(ldf, cdf, ["res"], group_lines=8).collect()
     assert {r.req_id: r.accepted for r in got} == want
+
+
+def test_rounds_and_hot_resources_equal_a_replay(spark):
+    # With small bounds every path runs: hot resources, slow rounds, components, leftovers.
+    rnd = random.Random(11)
+    lines = [(i, 500 - i, v, rnd.randint(1, 4)) for i in range(40)
+             for v in {0, rnd.randint(0, 12), rnd.randint(0, 12)}]
+    cap = [(v, 40 if v == 0 else 9) for v in range(10)]
+    want = replay_allocation(lines, cap)
+    ldf = spark.createDataFrame(lines, "req_id long, seq long, res long, qty long")
+    cdf = spark.createDataFrame(cap, "res long, cap long")
+    got = allocate_in_order(ldf, cdf, ["res"], group_lines=30).collect()
+    assert {r.req_id: r.accepted for r in got} == want and len(got) == len(want)
+
+
+def test_small_components_are_solved_many_in_a_task(spark):
+    from vitrine.plans import allocate as A
+    lines = [(i, i, i // 2, 1, 1) for i in range(2000)]
+    df = spark.createDataFrame(lines, "req_id long, seq long, res long, qty long, free long")
+    solved = A._solved_components(df, ["res"], 100)
+    assert "FlatMapGroupsInPandas [_task" in solved._jdf.queryExecution().executedPlan().toString()
+    assert {r.seq: r._ok for r in solved.collect()} == {i: i % 2 == 0 for i in range(2000)}
+
+
+def test_nothing_to_allocate(spark):
+    ldf = spark.createDataFrame([], "req_id long, seq long, res long, qty long")
+    cdf = spark.createDataFrame([(1, 1)], "res long, cap long")
+    assert allocate_in_order(ldf, cdf, ["res"]).collect() == []
+
+
+def test_variant_lookup_moves_the_items_once(spark, shop_small):
+    from vitrine.operators import writes as W
+    from vitrine.sources import payloads as P
+    _, items = P.driver_order_payloads(spark, shop_small.source)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        def joins(df):
+            return df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter")
+        assert joins(W.w_variant_resolve(shop_small, items)) - joins(items) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

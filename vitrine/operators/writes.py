@@ -20,7 +20,7 @@ from ..model import Shop
 from ..plans.allocate import allocate_in_order
 from ..plans.claims import decide_claims
 from ..plans.keys import aligned_keys, next_keys
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, stored
 from . import shared
 
 # ---- fixed values ------------------------------------------------------------
@@ -76,21 +76,29 @@ def _parse_int(text):
     return F.when(digits != "", digits.try_cast("long"))
 
 
-def w_variant_resolve(shop: Shop, items: DataFrame) -> DataFrame:
+def w_variant_resolve(shop: Shop, items: DataFrame, carry: DataFrame | None = None) -> DataFrame:
     """Size and colour both given -> the exact variant; otherwise the lowest
     variant id of the product (chosen by presence of input, not by failure);
-    none -> variant_id NULL."""
+    none -> variant_id NULL. Both are one lookup (product, size, colour), where blanks stand
+    for the lowest, so the items move once. ``carry``: variant_id and columns that are
+    joined to the lookup's variants (left) and come with them."""
     v = shared.variants_named(shop)
     exact = (v.groupBy("product_id", F.col("size_name").alias("_s"), F.col("color_name").alias("_c"))
-             .agg(F.min("variant_id").alias("_exact")))
-    first = v.groupBy("product_id").agg(F.min("variant_id").alias("_first"))
+             .agg(F.min("variant_id").alias("variant_id"))
+             .filter((F.col("_s") != "") & (F.col("_c") != "")))
+    first = v.groupBy("product_id").agg(F.min("variant_id").alias("variant_id")).select(
+        "product_id", F.lit("").alias("_s"), F.lit("").alias("_c"), "variant_id")
+    lookup = exact.unionByName(first)
+    if carry is not None:
+        lookup = lookup.join(carry, "variant_id", "left")
     it = (items.withColumn("product_id", _parse_int(F.col("product_id_text")))
           .withColumn("_s", _trim_or_empty(F.col("size")))
           .withColumn("_c", _trim_or_empty(F.col("color"))))
     both = (F.col("_s") != "") & (F.col("_c") != "")
-    return (it.join(exact, ["product_id", "_s", "_c"], "left").join(first, "product_id", "left")
-            .withColumn("variant_id", F.when(both, F.col("_exact")).otherwise(F.col("_first")))
-            .drop("_exact", "_first", "_s", "_c"))
+    for c in ("_s", "_c"):
+        it = it.withColumn(c + "k", F.when(both, F.col(c)).otherwise(F.lit("")))
+    it = it.drop("_s", "_c").withColumnsRenamed({"_sk": "_s", "_ck": "_c"})
+    return it.join(lookup, ["product_id", "_s", "_c"], "left").drop("_s", "_c")
 
 
 def w_customer_upsert(shop: Shop, headers: DataFrame, as_of=None) -> dict[str, DataFrame]:
@@ -153,8 +161,7 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
     reported beside it.
     """
     t = F.lit(as_of or shop.as_of).cast("timestamp")
-    res = w_variant_resolve(shop, items).join(
-        shop.product_variants.select("variant_id", "stock"), "variant_id", "left")
+    res = w_variant_resolve(shop, items, shop.product_variants.select("variant_id", "stock"))
     qty = F.coalesce(F.col("quantity"), F.lit(0.0))
     price = F.coalesce(F.col("price"), F.lit(0.0))
     item_reason = (F.when(F.coalesce(F.col("product_id"), F.lit(0)) == 0, F.lit("invalid item"))
@@ -162,8 +169,8 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
                    .when(F.col("variant_id").isNull() | F.col("stock").isNull(),
                          F.lit("variant not found")))
     # Written once: items, verdicts and new orders each feed several results below.
-    ensure_checkpoint_dir(shop.spark)
-    res = res.withColumn("_why", item_reason).checkpoint()
+    res = stored(res.withColumn("_why", item_reason).select(
+        "payload_id", "pos", "variant_id", "quantity", "price", "_why"))
     per_payload = res.groupBy("payload_id").agg(
         F.count(F.lit(1)).alias("_n"),
         # The first failing item decides the reason (ties on position: by reason).
@@ -187,13 +194,14 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
     h = (h.join(decided.select(F.col("req_id").alias("payload_id"), "accepted"), "payload_id", "left")
          .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
                      .when(~F.col("accepted"), F.lit("insufficient stock")))
-         .withColumn("accepted", F.col("reason").isNull())).checkpoint()
+         .withColumn("accepted", F.col("reason").isNull()))
+    h = stored(h.drop("has_customer", "_n", "_why", "_twice"))
     ok = h.filter("accepted")
     cust = w_customer_upsert(shop, ok, as_of)
-    orders_new = (next_keys(ok.select("payload_id", "total_amount", "order_date", "payment_method",
+    orders_new = stored(next_keys(ok.select("payload_id", "total_amount", "order_date", "payment_method",
                                       "address"),
                             shop.orders, "order_id", [F.col("payload_id").asc()])
-                  .join(cust["payload_user"], "payload_id")).checkpoint()
+                  .join(cust["payload_user"], "payload_id"))
     ok_lines = lines.join(orders_new.select("payload_id", "order_id"), "payload_id")
     computed = ok_lines.groupBy("payload_id").agg(
         F.sum(F.col("quantity_i") * F.col("price_d")).cast(TOTAL).alias("computed_total"))
