@@ -135,3 +135,19 @@ def test_user_edits_free_and_take_addresses_in_order(spark):
         1: False, 2: True, 3: True, 4: True, 5: False, 6: True}
     assert {r.user_id: r.email for r in res["users"].collect()} == {1: "B@x", 2: "c@x", 3: "a@x"}
     assert res["users"].filter(F.col("name") == "N").count() == 3
+
+
+def test_small_components_of_claims_share_tasks(spark, monkeypatch):
+    from vitrine.plans import claims as C
+    calls = spark.sparkContext.accumulator(0)
+    inner = C._replay_group
+
+    def counted(key: tuple, claims, held):
+        calls.add(1)
+        return inner(key, claims, held)
+
+    monkeypatch.setattr(C, "_replay_group", counted)
+    claims = spark.range(300).selectExpr("id as seq", "id as holder", "concat('n', id) as name")
+    held = spark.range(300).selectExpr("id as holder", "concat('h', id) as name")
+    assert [r.ok for r in decide_claims(claims, held).collect()] == [True] * 300
+    assert 1 <= calls.value <= 16

@@ -8,8 +8,8 @@ depends on order.
 1. A name held by someone who makes no claim himself stays held: claims of others to it
    are refused at once.
 2. Names that two holders or more may get link these holders. Connected components of
-   this graph do not touch each other and are replayed side by side, each in one task and
-   in order.
+   this graph do not touch each other and are replayed side by side, each in order and
+   many in one task: a group for each of them would cost more than its replay.
 3. A component of over ``slice_claims`` claims is replayed in slices of that many, in
    order of seq: a slice reads only what is held by the holders, and of the names, that
    occur in it. What a task holds is bounded, whatever a name's or a holder's share of the rows.
@@ -28,6 +28,8 @@ from .components import components
 from .scan import prefix_sum
 
 SLICE_CLAIMS = 200_000
+#: Claims of the components that are dealt to one task together.
+TASK_CLAIMS = 20_000
 OUT = "seq long, holder long, name string, ok boolean"
 
 
@@ -93,7 +95,10 @@ def decide_claims(claims: DataFrame, held: DataFrame,
         near = (state.join(now.select("holder").distinct(), "holder", "left_semi")
                 .unionByName(state.join(now.select("name").distinct(), "name", "left_semi"))
                 .distinct())
-        solved = (now.groupBy("root").cogroup(near.groupBy("root"))
+        tasks = max(1, -(-now.count() // TASK_CLAIMS))
+        task = F.pmod(F.xxhash64("root"), F.lit(tasks))
+        solved = (now.withColumn("_task", task).groupBy("_task")
+                  .cogroup(near.withColumn("_task", task).groupBy("_task"))
                   .applyInPandas(_replay_group, OUT).checkpoint())
         done = solved if done is None else done.unionByName(solved)
         left = left.join(solved.select("seq"), "seq", "left_anti").checkpoint()
