@@ -119,3 +119,14 @@ def test_state_rewrites_only_touched_buckets_and_forgets_old_files(spark):
     resumed = BucketedState(spark, table.path, spark.range(0).selectExpr("id", "0L as n"), ["id"],
                             resume=True, buckets=16)
     assert resumed.last == 4 and dict(rows(resumed.latest(), ["id", "n"])) == want
+
+
+def test_cancel_restores_keeps_no_state_in_python(spark):
+    before = spark.createDataFrame([(1, "Pending", 1), (1, "Cancelled", 5), (2, None, 1)], FEED)
+    changes = spark.createDataFrame([(1, "Cancelled", 3), (1, "Pending", 4), (2, "Cancelled", 2),
+                                     (3, "Cancelled", 1)], FEED)
+    df = S.cancel_moves(before, changes)
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert rows(df, ["order_id", "moves"]) == [(1, 1), (2, 1)]
+    undone = S.cancel_moves(before, spark.createDataFrame([(1, "Cancelled", 2)], FEED))
+    assert rows(undone, ["order_id", "moves"]) == []
