@@ -8,6 +8,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from vitrine.operators import writes as W
+from vitrine.plans.allocate import allocate_in_order
 from vitrine.sources import payloads as P
 from vitrine.sources.tables import load_seed
 from vitrine.streaming.feeds import scratch
@@ -97,6 +98,32 @@ def test_order_intake_matches_sequential_replay(spark):
     assert {r.method for r in res["payments"].filter(F.col("order_id") > 0).collect()} == {"Bank"}
 
 
+def test_order_intake_numbers_lines_only_when_wanted(spark):
+    s = shop(spark)
+    docs = [payload(1, [("1", "M", "Red", 3, 10.0), ("2", "S", "Red", 4, 1.0)]),
+            payload(2, [("2", "S", "Red", 2, 1.0), ("2", "S", "Red", 1, 1.0)]),
+            payload(3, [("2", "S", "Red", 3, 1.0)]), payload(4, [("2", "S", "Red", 2, 1.0)]),
+            payload(5, [])]
+    headers, items = P.explode_order_payloads(write_payloads(spark, docs))
+    whole = W.w_order_intake(s, headers, items)
+    assert {r.payload_id: r.reason for r in whole["outcome"].collect()} == {
+        1: None, 2: "duplicate variant", 3: "insufficient stock", 4: None, 5: "invalid payload"}
+    part = W.w_order_intake(s, headers, items, want=("product_variants",))
+    assert "order_details" not in part
+    for table, rows in part.items():
+        assert sorted(map(str, rows.collect())) == sorted(map(str, whole[table].collect()))
+
+
+def test_allocation_takes_the_capacity_beside_the_lines(spark):
+    rows = [(q, q, f"v{(q * k) % 7}", 1 + (q * k) % 4, 9) for q in range(1, 60) for k in (1, 2)]
+    lines = spark.createDataFrame(rows, "req_id long, seq long, res string, qty int, cap int") \
+        .dropDuplicates(["req_id", "res"])
+    cap = lines.select("res", "cap").distinct()
+    beside = allocate_in_order(lines, None, ["res"]).collect()
+    apart = allocate_in_order(lines.drop("cap"), cap, ["res"]).collect()
+    assert sorted(beside) == sorted(apart) and len({r.accepted for r in beside}) == 2
+
+
 def test_customer_upsert_last_nonblank_wins(spark):
     s = shop(spark)
     h = spark.createDataFrame(

@@ -11,7 +11,7 @@ identity keys follow the largest existing key in a business order
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels
@@ -29,6 +29,8 @@ DEFAULT_COLOR = "Default"
 DEFAULT_SIZE = "Default"
 PENDING = "Pending"
 ROLES = ["admin", "user"]
+#: Why an item fails its payload, by code; ties on position go to the smaller one.
+ITEM_REASONS = {1: "invalid item", 2: "variant not found", 3: "duplicate variant"}
 # -----------------------------------------------------------------------------
 
 
@@ -98,7 +100,8 @@ def w_variant_resolve(shop: Shop, items: DataFrame, carry: DataFrame | None = No
     for c in ("_s", "_c"):
         it = it.withColumn(c + "k", F.when(both, F.col(c)).otherwise(F.lit("")))
     it = it.drop("_s", "_c").withColumnsRenamed({"_sk": "_s", "_ck": "_c"})
-    return it.join(lookup, ["product_id", "_s", "_c"], "left").drop("_s", "_c")
+    # The lookup is the small side, a share of it per task: the items need no sort.
+    return it.join(lookup.hint("shuffle_hash"), ["product_id", "_s", "_c"], "left").drop("_s", "_c")
 
 
 def w_customer_upsert(shop: Shop, headers: DataFrame, as_of=None) -> dict[str, DataFrame]:
@@ -121,13 +124,16 @@ def w_customer_upsert(shop: Shop, headers: DataFrame, as_of=None) -> dict[str, D
     def last_nonblank(c):
         return F.max_by(F.col(c), F.when(F.col(c) != "", F.col("payload_id")))
 
+    first = ("email", "name", "phone", "address")
     per = h.groupBy("_k").agg(
-        F.min_by("email", "payload_id").alias("email"), F.min("payload_id").alias("_first_pid"),
-        *[last_nonblank(c).alias(f"_nb_{c}") for c in ("name", "phone", "address")],
-        *[F.min_by(c, "payload_id").alias(f"_first_{c}") for c in ("name", "phone", "address")])
+        F.min("payload_id").alias("_first_pid"),
+        *[last_nonblank(c).alias(f"_nb_{c}") for c in first[1:]],
+        F.min_by(F.struct(*first), "payload_id").alias("_f")).select(
+        "_k", F.col("_f.email").alias("email"), "_first_pid", *[f"_nb_{c}" for c in first[1:]],
+        *[F.col(f"_f.{c}").alias(f"_first_{c}") for c in first[1:]])
     users = shop.users.withColumn("_k", _name_key(F.col("email")))
     hit_keys = users.groupBy("_k").agg(F.min("user_id").alias("_uid"))  # the first match
-    matched = per.join(hit_keys, "_k", "left")
+    matched = stored(per.join(hit_keys, "_k", "left"))  # the keys and the owners read it
     upd = matched.filter(F.col("_uid").isNotNull()).select(
         F.col("_uid").alias("user_id"), "_k", "_nb_name", "_nb_phone", "_nb_address")
     updated = (shop.users.join(upd, "user_id")
@@ -151,51 +157,57 @@ def w_customer_upsert(shop: Shop, headers: DataFrame, as_of=None) -> dict[str, D
 
 
 def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
-                   as_of=None) -> dict[str, DataFrame]:
+                   as_of=None, want: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """Order payloads -> users, orders, payments, shipping, lines, stock.
 
     A payload is rejected whole when it has no customer or no item, when an
     item has no valid product id, quantity (1 at least) or price, when no
     variant resolves, when two items are the same variant, or when stock (left by earlier accepted payloads, in payload
     order) is short. The stored total is the caller's; the computed one is
-    reported beside it.
+    reported beside it. ``want`` names the results that are used (None: all): the new lines
+    are numbered, which takes jobs of its own, only when they are.
     """
     t = F.lit(as_of or shop.as_of).cast("timestamp")
     res = w_variant_resolve(shop, items, shop.product_variants.select("variant_id", "stock"))
     qty = F.coalesce(F.col("quantity"), F.lit(0.0))
     price = F.coalesce(F.col("price"), F.lit(0.0))
-    item_reason = (F.when(F.coalesce(F.col("product_id"), F.lit(0)) == 0, F.lit("invalid item"))
-                   .when(qty.cast("int") < 1, F.lit("invalid item")).when(price <= 0, F.lit("invalid item"))
-                   .when(F.col("variant_id").isNull() | F.col("stock").isNull(),
-                         F.lit("variant not found")))
-    # Written once: items, verdicts and new orders each feed several results below.
-    res = stored(res.withColumn("_why", item_reason).select(
-        "payload_id", "pos", "variant_id", "quantity", "price", "_why"))
-    per_payload = res.groupBy("payload_id").agg(
-        F.count(F.lit(1)).alias("_n"),
-        # The first failing item decides the reason (ties on position: by reason).
-        F.min_by("_why", F.when(F.col("_why").isNotNull(), F.struct("pos", "_why"))).alias("_why"),
-        # An order holds a variant once (unique order and variant).
-        (F.count("variant_id") > F.size(F.collect_set("variant_id"))).alias("_twice"))
-    h = (headers.join(per_payload, "payload_id", "left")
-         .withColumn("reason", F.when(~F.coalesce(F.col("has_customer"), F.lit(False))
-                                      | (F.coalesce(F.col("_n"), F.lit(0)) == 0),
-                                      F.lit("invalid payload"))
-                     .when(F.col("_why").isNotNull(), F.col("_why"))
-                     .when(F.col("_twice"), F.lit("duplicate variant"))))
-    valid = h.filter(F.col("reason").isNull()).select("payload_id")
-    lines = (res.join(valid, "payload_id", "left_semi")
+    item_reason = (F.when(F.coalesce(F.col("product_id"), F.lit(0)) == 0, F.lit(1))
+                   .when(qty.cast("int") < 1, F.lit(1)).when(price <= 0, F.lit(1))
+                   .when(F.col("variant_id").isNull() | F.col("stock").isNull(), F.lit(2)))
+    # Items move to their payload once: its verdict stands beside each of them, and what
+    # follows reads the written rows. Those of no customer's payload are in no result.
+    known = headers.filter(F.coalesce(F.col("has_customer"), F.lit(False))).select("payload_id")
+    own = Window.partitionBy("payload_id")
+    # The first failing item decides the reason (ties on position: by reason).
+    failing = F.min(F.when(F.col("_why").isNotNull(), F.struct("pos", "_why"))).over(own)
+    # An order holds a variant once (unique order and variant).
+    again = F.col("variant_id") == F.lag("variant_id").over(own.orderBy("variant_id"))
+    res = stored(res.withColumn("_why", item_reason)
+                 .join(known.hint("shuffle_hash"), "payload_id", "left_semi")
+                 .withColumn("_again", again)
+                 .select("payload_id", "pos", "variant_id", "stock", "quantity", "price",
+                         F.coalesce(failing["_why"], F.when(F.max("_again").over(own), F.lit(3)))
+                         .alias("_bad")))
+    per_payload = res.groupBy("payload_id").agg(F.max("_bad").alias("_bad"),
+                                                F.count(F.lit(1)).alias("_n"))
+    reason = F.when(~F.coalesce(F.col("has_customer"), F.lit(False)) | F.col("_n").isNull(),
+                    F.lit("invalid payload"))
+    for code, text in ITEM_REASONS.items():
+        reason = reason.when(F.col("_bad") == code, F.lit(text))
+    h = headers.join(per_payload, "payload_id", "left").withColumn("reason", reason)
+    lines = (res.filter(F.col("_bad").isNull())
              .withColumn("quantity_i", qty.cast("int"))
              .withColumn("price_d", price.cast("decimal(10,2)")))
+    # A valid payload names a variant once, and its item has the variant's stock.
     decided = allocate_in_order(
         lines.select(F.col("payload_id").alias("req_id"), F.col("payload_id").alias("seq"),
-                     "variant_id", F.col("quantity_i").alias("qty")),
-        shop.product_variants.select("variant_id", F.col("stock").alias("cap")), ["variant_id"])
+                     "variant_id", F.col("quantity_i").alias("qty"), F.col("stock").alias("cap")),
+        None, ["variant_id"])
     h = (h.join(decided.select(F.col("req_id").alias("payload_id"), "accepted"), "payload_id", "left")
          .withColumn("reason", F.when(F.col("reason").isNotNull(), F.col("reason"))
                      .when(~F.col("accepted"), F.lit("insufficient stock")))
          .withColumn("accepted", F.col("reason").isNull()))
-    h = stored(h.drop("has_customer", "_n", "_why", "_twice"))
+    h = stored(h.drop("has_customer", "_n", "_bad"))
     ok = h.filter("accepted")
     cust = w_customer_upsert(shop, ok, as_of)
     orders_new = stored(next_keys(ok.select("payload_id", "total_amount", "order_date", "payment_method",
@@ -217,14 +229,7 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
     shipping = aligned_keys(orders_new, "order_id", shop.orders, shop.shipping, "shipping_id").select(
         "shipping_id", "order_id", _trim_or_empty(F.col("address")).alias("address"),
         F.lit(PENDING).alias("status"))
-    details = next_keys(ok_lines.select("order_id", "pos", "variant_id",
-                                        F.col("quantity_i").alias("quantity"),
-                                        F.col("price_d").alias("price")),
-                        shop.order_details, "order_detail_id",
-                        [F.col("order_id").asc(), F.col("pos").asc(), F.col("variant_id").asc(),
-                         F.col("quantity").asc(), F.col("price").asc()]
-                        ).drop("pos")
-    taken = details.groupBy("variant_id").agg(F.sum("quantity").alias("_t"))
+    taken = ok_lines.groupBy("variant_id").agg(F.sum("quantity_i").alias("_t"))
     stock = (shop.product_variants.join(taken, "variant_id", "left")
              .withColumn("stock", (F.col("stock") - F.coalesce(F.col("_t"), F.lit(0))).cast("int"))
              .drop("_t"))
@@ -233,12 +238,21 @@ def w_order_intake(shop: Shop, headers: DataFrame, items: DataFrame,
                .select("payload_id", "accepted", "reason", "order_id", "user_id",
                        F.col("total_amount").cast("decimal(12,2)").alias("client_total"),
                        "computed_total"))
-    return {"outcome": outcome, "users": cust["users"],
-            "orders": shop.orders.unionByName(orders_tbl),
-            "payments": shop.payments.unionByName(payments),
-            "shipping": shop.shipping.unionByName(shipping),
-            "order_details": shop.order_details.unionByName(details),
-            "product_variants": stock}
+    out = {"outcome": outcome, "users": cust["users"],
+           "orders": shop.orders.unionByName(orders_tbl),
+           "payments": shop.payments.unionByName(payments),
+           "shipping": shop.shipping.unionByName(shipping),
+           "product_variants": stock}
+    if want is None or "order_details" in want:
+        details = next_keys(ok_lines.select("order_id", "pos", "variant_id",
+                                            F.col("quantity_i").alias("quantity"),
+                                            F.col("price_d").alias("price")),
+                            shop.order_details, "order_detail_id",
+                            [F.col("order_id").asc(), F.col("pos").asc(), F.col("variant_id").asc(),
+                             F.col("quantity").asc(), F.col("price").asc()]
+                            ).drop("pos")
+        out["order_details"] = shop.order_details.unionByName(details)
+    return out
 
 
 # ---- product upsert ----------------------------------------------------------------

@@ -118,19 +118,24 @@ def _running(lines: DataFrame, res_keys: list[str], hot: DataFrame | None) -> Da
     return cold.unionByName(spread.select(*cold.columns))
 
 
-def allocate_in_order(lines: DataFrame, capacity: DataFrame, res_keys: list[str],
+def allocate_in_order(lines: DataFrame, capacity: DataFrame | None, res_keys: list[str],
                       group_lines: int = GROUP_LINES) -> DataFrame:
     """Decide requests.
 
     ``lines``: req_id, seq, *res_keys, qty (qty > 0; ``seq`` unique per request).
-    ``capacity``: *res_keys, cap (a missing resource has capacity 0).
+    ``capacity``: *res_keys, cap (a missing resource has capacity 0). None: ``lines`` have a
+    resource once per request, with its ``cap``, and are written already.
     Returns req_id, seq, accepted (bool), decided_round.
     """
-    live = stored(
-        lines.groupBy("req_id", "seq", *res_keys).agg(F.sum("qty").cast("long").alias("qty"))
-        .join(capacity.select(*res_keys, "cap"), res_keys, "left")
-        .withColumn("free", F.coalesce(F.col("cap"), F.lit(0)).cast("long")).drop("cap")
-        .withColumn("taken", F.lit(False)))
+    cap = F.coalesce(F.col("cap"), F.lit(0)).cast("long").alias("free")
+    if capacity is None:
+        live = lines.select("req_id", "seq", *res_keys, F.col("qty").cast("long").alias("qty"), cap,
+                            F.lit(False).alias("taken"))
+    else:
+        live = stored(
+            lines.groupBy("req_id", "seq", *res_keys).agg(F.sum("qty").cast("long").alias("qty"))
+            .join(capacity.select(*res_keys, "cap"), res_keys, "left")
+            .select("req_id", "seq", *res_keys, "qty", cap, F.lit(False).alias("taken")))
     hot: DataFrame | None = stored(live.groupBy(*res_keys).count().filter(
         F.col("count") > group_lines).select(*res_keys))
     if not hot.limit(1).count():

@@ -216,7 +216,7 @@ def _write_ops() -> dict[str, Callable[[Shop], DataFrame]]:
         return out
 
     def intake_table(table: str):
-        return lambda s: W.w_order_intake(restocked(s), *intake(s))[table]
+        return lambda s: W.w_order_intake(restocked(s), *intake(s), want=(table,))[table]
 
     def upsert_table(table: str):
         return lambda s: W.w_product_upsert(
