@@ -66,6 +66,27 @@ def test_substring_against_brute_force(docs, hot):
                    for r in got) == brute_cut(rows)
 
 
+def test_a_window_met_very_often_is_split_for_the_join(spark, docs):
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        text = " ".join(f"w{i}" for i in range(35))
+        marks = substring.repeated_windows(docs([(i, text) for i in range(4000)]), hot=100)
+        assert len(marks.collect()) == 4000
+        plan = marks._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    final = plan.split("Initial Plan")[0]
+    assert any("skew=true" in x and "LeftSemi" in x for x in final.splitlines())
+
+
 def test_substring_empty_table(docs):
     assert substring.substring_dedup(docs([])).count() == 0
 

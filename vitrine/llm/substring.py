@@ -240,7 +240,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
             .mapInArrow(_check_blocks, "id long, th long, begin long, mask long"))
     open_rows = rows.filter("hot").select(
         "block", "id", "th", "begin", F.posexplode("wins").alias("j", "win"))
-    twice = (open_rows.groupBy("block", "win").agg(F.count(F.lit(1)).alias("n"))
+    # The third key, as in the index: a window met very often is split for the join.
+    twice = (open_rows.groupBy("block", "win", F.hash("win").alias("again"))
+             .agg(F.count(F.lit(1)).alias("n"))
              .filter("n > 1").select("block", "win"))
     warm = (open_rows.join(twice, ["block", "win"], "left_semi")
             .groupBy("id", "th", "begin")
