@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -80,6 +81,52 @@ def test_phrases_of_an_empty_table(docs):
     assert mined(docs([]).filter("false"), min_count=2) == set()
 
 
+def _handed_on(batches):
+    """The window rows of one task that gets these batches of (lang, text)."""
+    bits = 16
+    every = [np.full(1 << (bits - 3), 255, dtype=np.uint8)] * 4
+    run = phrases._windows(every, bits)
+    return [tuple(r.values()) for b in run(iter(batches)) for r in b.to_pylist()]
+
+
+def test_a_task_hands_on_a_window_once(monkeypatch):
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en", "fr"], "text": ["big data. big", f"x{i % 2}"]})
+               for i in range(40)]
+    want = {("en", "big", "data", None, None, None, 40), ("en", "data", None, None, None, None, 40),
+            ("en", "big", None, None, None, None, 40), ("fr", "x0", None, None, None, None, 20),
+            ("fr", "x1", None, None, None, None, 20)}
+    once = _handed_on(batches)
+    assert len(once) == len(want) and set(once) == want
+    assert _handed_on([]) == []
+    # what a task may not hold any more leaves in parts with the same sums
+    monkeypatch.setattr(phrases, "HELD_BYTES", 100)
+    parts, sums = _handed_on(batches), Counter()
+    for *window, n in parts:
+        sums[tuple(window)] += n
+    assert len(parts) > len(want) and {(*w, n) for w, n in sums.items()} == want
+
+
+def test_windows_are_made_by_a_task_for_each_core(spark, docs, monkeypatch):
+    made = []
+    frame = type(docs([]))
+    counted = frame.mapInArrow
+
+    def watched(self, func, schema, *args):
+        if "w5" in str(schema):
+            made.append(self.rdd.getNumPartitions())
+        return counted(self, func, schema, *args)
+
+    monkeypatch.setattr(frame, "mapInArrow", watched)
+    rows = [(i, f"big data r{i} big data", "en") for i in range(90)]
+    want = brute_phrases(rows, 6, 2000)
+    cores = spark.sparkContext.defaultParallelism
+    for tables in (1, 5 * cores):
+        assert mined(docs(rows).repartition(tables), min_count=6) == want
+    monkeypatch.setattr(phrases, "TASK_CHARS", 100)
+    assert mined(docs(rows).repartition(5 * cores), min_count=6) == want
+    assert made == [1, cores, min(5 * cores, -(-sum(len(r[1]) for r in rows) // 100))]
+
+
 def test_score_products_over_64_bits(spark):
     a, n, l, r = 10 ** 13, 10 ** 16, 10 ** 14 + 7, 10 ** 13 + 3
     got = spark.createDataFrame([(a, n, l, r)], "a long, n long, l long, r long").select(F.expr(

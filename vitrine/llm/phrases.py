@@ -49,6 +49,10 @@ PART_BITS = 15
 SALTS = 32
 #: Text of one numpy pass over windows.
 SLICE = 8_000_000
+#: Bytes of distinct windows that a task holds, and of those it takes before adding them up.
+HELD_BYTES = 48_000_000
+#: Text of one task over windows, where there is more of it than that for each core.
+TASK_CHARS = 1 << 32
 
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 _IS_END = np.zeros(256, dtype=bool)
@@ -208,8 +212,17 @@ def frequent_runs(docs: DataFrame, filters: list[np.ndarray], bits: int,
 # -------------------------------------------------------------- lead windows
 
 def _windows(filters: list[np.ndarray], bits: int):
+    """The windows of a task with their counts, summed over all its rows as long as the
+    distinct ones fit ``HELD_BYTES``; beyond that they leave in several sums."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["lang", *COLUMNS]
+        total: list[pa.Table] = []  # a sum, if any, and the windows met since
+        met = 0
+
+        def summed() -> pa.Table:
+            return pa.concat_tables(total).group_by(names, use_threads=False).aggregate(
+                [("n", "sum")]).select([*names, "n_sum"]).rename_columns([*names, "n"])
+
         for w in _rows(batches, SLICE):
             if not w.n:
                 continue
@@ -231,9 +244,15 @@ def _windows(filters: list[np.ndarray], bits: int):
             langs = pa.array(w.lang_names, pa.string())
             out = [langs.take(t.column("lang").combine_chunks())]
             out += [w.names.take(t.column(c).combine_chunks()).cast(pa.string()) for c in COLUMNS]
-            yield from pa.Table.from_arrays(
-                [*out, t.column("count_all").cast(pa.int64())], names=[*names, "n"]).to_batches(
-                    max_chunksize=50_000)
+            total.append(pa.Table.from_arrays(
+                [*out, t.column("count_all").cast(pa.int64())], names=[*names, "n"]))
+            met += total[-1].nbytes
+            if met > HELD_BYTES:
+                total, met = [summed()], 0
+                if total[0].nbytes > HELD_BYTES:
+                    yield from total.pop().to_batches(max_chunksize=50_000)
+        if total:
+            yield from summed().to_batches(max_chunksize=50_000)
     return run
 
 
@@ -244,13 +263,16 @@ def phrase_counts(docs: DataFrame, min_count: int = MIN_COUNT, filtered: int = F
     C.text_session(docs.sparkSession)
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    chars = own.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
     if bits is None:
-        chars = own.agg(F.sum(F.length("text").cast("long")).alias("n")).first().n or 0
         bits = max(LEAST_BITS, min(MOST_BITS, int(chars).bit_length() - CHARS_BITS))
     filters: list[np.ndarray] = []
     for _ in range(filtered):
         filters.append(frequent_runs(own, filters, bits, min_count))
-    windows = own.mapInArrow(
+    # A task for each core: every task hands on a phrase once, so tasks that grew in number
+    # with the input, as phrases do, would hand on rows with its square.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // TASK_CHARS))
+    windows = own.coalesce(tasks).mapInArrow(
         _windows(filters, bits), "lang string, " + ", ".join(f"{c} string" for c in COLUMNS)
         + ", n long")
     rolled = windows.rollup("lang", *COLUMNS).agg(F.sum("n").alias("f"),
